@@ -92,7 +92,7 @@ def binary(column: pa.Array) -> pa.Array:
     return column.fill_null(b"") if column.null_count else column
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text each (one row at least)."""
     import pyarrow.compute as pc
 

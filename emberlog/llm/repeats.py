@@ -5,54 +5,60 @@ length that also occurs elsewhere. A window's anchor is its leftmost smallest k-
 function of the window's content alone, so equal windows share their anchor wherever they
 stand. The plan:
 
-1. scan     texts -> anchors with the run of windows each one stands for (Arrow, numpy);
-2. meet     anchors are dealt by hash in packed rows; those seen twice or more survive;
-3. fetch    surviving runs are cut out of the texts as regions and dealt by anchor;
-            equal regions of one anchor collapse to one content with its first place;
+1. scan     texts -> anchors with the run of windows each one stands for, the "region" those
+            windows cover, and its digest (Arrow, numpy; no text is sent anywhere);
+2. meet     anchors are dealt by hash in packed rows. Equal regions are one content: its later
+            places repeat its first one. Anchors with two contents or more are open;
+3. fetch    the first places of open contents are cut out of their texts, dealt by anchor;
 4. resolve  per anchor, the operator's own method decides which windows of the distinct
             contents repeat something earlier;
-5. apply    marked spans return to their texts.
+5. apply    marked windows return to their texts.
 
 No step holds more than a bounded slice of rows, pairs of copies are never made, and a hot
-anchor is pre-aggregated before each shuffle (one packed entry per slice in step 2, one
-content per slice in step 3).
+anchor is pre-aggregated before it is dealt (one place of each content for each slice).
 
-Row identity is (doc_id, hash of the text): repeated rows are one place, rows that share an id
-but not a text are ordered by that hash, null ids come last.
+A text is known by two 64-bit hashes. Copies of a whole text are answered by that text's row with
+the least id: rows with larger ids repeat it throughout. Places are ordered by id, then by the text's
+hash (rows that share an id but not a text), then by position; null ids come last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .textstats import grams, mix, prefix, slices_of, word_hashes, words
+from .textstats import grams, mix, powers, prefix, slices_of, word_hashes, words
 
 NO_ID = (1 << 63) - 1
-KEY = [T.StructField("_id", T.LongType(), False), T.StructField("_hash", T.LongType(), False)]
+KEY = [T.StructField(n, T.LongType(), False) for n in ("_id", "_hash", "_more")]
 
 
 @dataclass(frozen=True)
 class Scan:
-    """What one slice of texts gives: for each run of windows with one anchor, its text, first window, last window, hash."""
+    """For each run of windows with one anchor: its text, first and last window (in units), anchor hash, region digest."""
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
+    digest: np.ndarray
+
+
+def nothing() -> Scan:
+    return Scan(*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """_id and _hash: a row's identity, also where doc_id or text is null."""
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """_id, _hash and _more: a row's identity, also where doc_id or text is null."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_hash", F.xxhash64(text)).withColumn("_more", F.xxhash64(F.lit("more"), text))
 
 
 def _runs(g: np.ndarray, start_of: np.ndarray, text: np.ndarray, window: int, k: int) -> Scan:
@@ -68,37 +74,49 @@ def _runs(g: np.ndarray, start_of: np.ndarray, text: np.ndarray, window: int, k:
         best = np.minimum(best[: len(key) - span + 1], best[span - width : span - width + len(key) - span + 1])
     at = (best[start_of] & low).astype(np.int64)
     if not len(at):
-        return Scan(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
+        return nothing()
     turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start_of[1:] != start_of[:-1] + 1) | (text[1:] != text[:-1]))))
     end = np.concatenate((turn[1:], [len(at)])) - 1
-    return Scan(text[turn], start_of[turn], start_of[end], g[at[turn]])
+    return Scan(text[turn], start_of[turn], start_of[end], g[at[turn]], np.zeros(0, np.uint64))
+
+
+def _window_starts(per: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, unit) of every window start; per: units of each text, laid one after another."""
+    count = np.maximum(per - window + 1, 0)
+    first = np.cumsum(per) - per
+    text = np.repeat(np.arange(len(per)), count)
+    return text, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 def scan_bytes(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
     """Anchors of all ``window``-byte windows inside the texts."""
-    n = len(raw)
-    if n < window:
-        return Scan(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
+    text, start = _window_starts(np.diff(offs), window)
+    if not len(start):
+        return nothing()
     s, down = prefix(raw)
-    g = mix((s[k:] - s[:-k]) * down[: n - k + 1])
-    count = np.maximum(np.diff(offs) - window + 1, 0)
-    text = np.repeat(np.arange(len(count)), count)
-    start = np.repeat(offs[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return _runs(g, start, text, window, k)
+    got = _runs(mix((s[k:] - s[:-k]) * down[: len(raw) - k + 1]), start, text, window, k)
+    s, down = prefix(raw, second=True)
+    end = got.last + window
+    return replace(got, digest=mix((s[end] - s[got.first]) * down[got.first] + (end - got.first).astype(np.uint64)))
 
 
-def scan_words(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> tuple[Scan, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows of ``window`` words; also the words' starts, ends and first word of each text."""
+def scan_words(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
+    """Anchors of all windows of ``window`` words; places count words from the slice's start."""
     starts, ends, per = words(raw, offs)
-    first = np.concatenate(([0], np.cumsum(per)))
-    g = grams(word_hashes(raw, starts, ends), k)
-    count = np.maximum(per - window + 1, 0)
-    text = np.repeat(np.arange(len(per)), count)
-    start = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return (_runs(g, start, text, window, k) if len(start) else Scan(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))), starts, ends, first
+    text, start = _window_starts(per, window)
+    if not len(start):
+        return nothing()
+    h = word_hashes(raw, starts, ends)
+    got = _runs(grams(h, k), start, text, window, k)
+    up, down = powers(len(h), second=True)
+    s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
+    end = got.last + window
+    first = np.cumsum(per) - per
+    got = replace(got, digest=mix((s[end] - s[got.first]) * down[got.first] + (end - got.first).astype(np.uint64)))
+    return replace(got, first=got.first - first[got.text], last=got.last - first[got.text])
 
 
-MOST_UNITS = 1 << 23  # bytes of text in one slice; _runs packs places into 24 bits
+MOST_UNITS = 1 << 22  # bytes of one text scanned at once; _runs packs places into 24 bits
 
 
 def _pieces(raw: np.ndarray, offs: np.ndarray, overlap: int):
@@ -120,22 +138,38 @@ def _pieces(raw: np.ndarray, offs: np.ndarray, overlap: int):
             yield raw[at:to], np.array([0, to - at]), i, at - a
 
 
+def _joined(parts: list[Scan]) -> Scan:
+    return Scan(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("text", "first", "last", "anchor", "digest"))) if parts else nothing()
+
+
 class Units:
     """How an operator counts: windows of bytes or of words, with k-gram anchors."""
 
     def __init__(self, window: int, k: int, by_words: bool):
         self.window, self.k, self.by_words = window, k, by_words
 
-    def scan(self, raw: np.ndarray, offs: np.ndarray):
-        """(text, first unit, last unit in its text, anchor) of every run of windows, whole texts."""
+    def scan(self, raw: np.ndarray, offs: np.ndarray) -> Scan:
+        """Runs of windows of whole texts; places count units from each text's start."""
         if self.by_words:
-            got, _, _, first = scan_words(raw, offs, self.window, self.k)
-            return got.text, got.first - first[got.text], got.last - first[got.text], got.anchor
+            if len(raw) < 1 << 24:
+                return scan_words(raw, offs, self.window, self.k)
+            parts = []
+            for i in range(len(offs) - 1):  # very long texts: pieces of words that overlap by a window
+                text = raw[offs[i] : offs[i + 1]]
+                starts, ends, _ = words(text, np.array([0, len(text)]))
+                step = 1 << 20
+                for w in range(0, max(1, len(starts) - self.window + 1), step):
+                    to = min(len(starts), w + step + self.window - 1)
+                    if to > w:
+                        piece = text[starts[w] : ends[to - 1]]
+                        got = scan_words(piece, np.array([0, len(piece)]), self.window, self.k)
+                        parts.append(replace(got, text=got.text + i, first=got.first + w, last=got.last + w))
+            return _joined(parts)
         parts = []
         for r, o, i, skip in _pieces(raw, offs, self.window - 1):
             got = scan_bytes(r, o, self.window, self.k)
-            parts.append((got.text + i, got.first - o[got.text] + skip, got.last - o[got.text] + skip, got.anchor))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append(replace(got, text=got.text + i, first=got.first - o[got.text] + skip, last=got.last - o[got.text] + skip))
+        return _joined(parts)
 
     def units(self, text: bytes):
         """The text's units: bytes themselves, or its list of words."""
@@ -145,159 +179,196 @@ class Units:
         return b" ".join(units[a:b]) if self.by_words else units[a:b]
 
 
-def buckets(docs: DataFrame, each: int = 48 << 20) -> int:
+def buckets(docs: DataFrame, each: int = 24 << 20) -> int:
     """Packed rows are dealt to so many buckets: about ``each`` bytes of text stand behind one."""
     return max(8, -(-common.table_bytes(docs) // each))
 
 
-PACKED = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("first", "<u4"), ("last", "<u4")])
-HIT = np.dtype([("first", "<u4"), ("last", "<u4"), ("anchor", "<u8")])
-
-
-def surviving_runs(docs: DataFrame, units: Units, n_buckets: int) -> DataFrame:
-    """(_id, _hash, runs): packed HIT entries of the windows whose anchor stands in two places or more.
-
-    docs must be keyed. A packed row holds one bucket's anchors of one slice of rows. Of an anchor
-    that repeats inside a slice only its first place goes to the anchor's bucket; the others are
-    known to survive and travel in a bucket of their own text, so hot anchors stay small.
-    """
-    schema = T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("known", T.BinaryType()), T.StructField("open", T.BinaryType())])
+PARTS = ("docs", "per", "anchor", "digest", "first", "size")
+KINDS = dict(zip(PARTS, ("<i8", "<u4", "<u8", "<u8", "<u4", "u1"), strict=True))
+PACKED = T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("known", T.BooleanType(), False), *[T.StructField(n, T.BinaryType()) for n in PARTS]])
+MET = T.StructType([*KEY, T.StructField("marks", T.BinaryType()), T.StructField("wanted", T.BinaryType())])
+MARK = np.dtype([("first", "<u4"), ("last", "<u4")])
+WANT = np.dtype([("first", "<u4"), ("last", "<u4"), ("anchor", "<u8")])
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys (already sorted)."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    turn = np.zeros(len(keys[0]), bool)
+    turn[0] = True
+    for k in keys:
+        turn[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(turn)
+
+
+def _first_of_group(group: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sorted rows the start of its group."""
+    return np.repeat(group, np.diff(np.concatenate((group, [n]))))
+
+
+def _pack(bucket: int, known: bool, key: np.ndarray, got: Scan) -> tuple:
+    """One packed row: the texts' keys, entries of each, and the entries in columns."""
+    turn = _groups(got.text)
+    per = np.diff(np.concatenate((turn, [len(got.text)]))).astype("<u4")
+    docs = key[got.text[turn]].astype("<i8")
+    return (bucket, known, docs.tobytes(), per.tobytes(), *((None, None) if known else (got.anchor.tobytes(), got.digest.tobytes())), got.first.astype("<u4").tobytes(), (got.last - got.first).astype("u1").tobytes())
+
+
+def _take(got: Scan, at: np.ndarray) -> Scan:
+    return Scan(*(getattr(got, f)[at] for f in ("text", "first", "last", "anchor", "digest")))
+
+
+def met_anchors(docs: DataFrame, units: Units, by_document: bool) -> DataFrame:
+    """(_id, _hash, _more, marks, wanted): windows that repeat for sure, and regions of open anchors."""
+    n_buckets = buckets(docs)
+
+    def pack(parts: list[Scan], key: np.ndarray):
+        """Scans of some texts of a batch -> packed rows. Of a content met twice here only the first place is dealt by anchor."""
+        got = _joined(parts)
+        content = mix(got.anchor) + got.digest
+        ids, hashes = key[got.text, 0], key[got.text, 1]
+        order = np.lexsort((got.first, hashes, ids, content))
+        lead = order[_first_of_group(_groups(content[order]), len(order))]
+        later = lead != order
+        if by_document:
+            later &= ids[order] > ids[lead]
+        known, open_ = np.sort(order[later]), np.sort(order[~later])
+        for is_known, rows in ((True, known), (False, open_)):
+            if len(rows):
+                to = (mix(hashes[rows].astype(np.uint64)) if is_known else got.anchor[rows]) % np.uint64(n_buckets)
+                by = np.argsort(to, kind="stable")
+                edge = np.searchsorted(to[by], np.arange(n_buckets + 1).astype(np.uint64))
+                for b in range(n_buckets):
+                    if edge[b] < edge[b + 1]:
+                        yield _pack(b, is_known, key, _take(got, rows[by[edge[b] : edge[b + 1]]]))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * len(PARTS)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=PACKED.names)
 
     def scan(batch: pa.RecordBatch):
-        ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for a, _, raw, offs in slices_of(batch.column(2)):
-            text, first, last, anchor = units.scan(raw, offs)
-            if not len(text):
-                continue
-            rows = np.empty(len(text), PACKED)
-            rows["anchor"], rows["id"], rows["hash"], rows["first"], rows["last"] = anchor, ids[a + text], hashes[a + text], first, last
-            order = np.argsort(anchor, kind="stable")
-            same = anchor[order][1:] == anchor[order][:-1]
-            again = np.zeros(len(rows), bool)
-            again[order[1:][same]] = True  # later places of an anchor that is met here before
-            multi = np.zeros(len(rows), bool)
-            multi[order[:-1][same]] = True
-            multi |= again
-            # an anchor that repeats here survives for sure: mark its first place by a zero-length twin
-            twins = rows[multi & ~again].copy()
-            twins["id"], twins["first"], twins["last"] = -1, 1, 0
-            open_rows = np.concatenate((rows[~again], twins))
-            known = rows[again]
-            to = (open_rows["anchor"] % np.uint64(n_buckets)).astype(np.int64)
-            to_known = (mix(known["hash"].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-            out = []
-            for b, part in _split(to, open_rows, n_buckets):
-                out.append((b, None, part.tobytes()))
-            for b, part in _split(to_known, known, n_buckets):
-                out.append((b, part.tobytes(), None))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in out], pa.int32()), "known": pa.array([x[1] for x in out], pa.binary()), "open": pa.array([x[2] for x in out], pa.binary())})
-
-    back = T.StructType([*KEY, T.StructField("runs", T.BinaryType(), False)])
-
-    def meet(bucket: pa.Table) -> pa.Table:
-        open_rows = np.frombuffer(b"".join(x for x in bucket.column("open").to_pylist() if x), PACKED)
-        known = np.frombuffer(b"".join(x for x in bucket.column("known").to_pylist() if x), PACKED)
-        ranked = open_rows[np.argsort(open_rows["anchor"], kind="stable")]
-        same = ranked["anchor"][1:] == ranked["anchor"][:-1]
-        hit = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(ranked) else np.zeros(0, bool)
-        found = np.concatenate((ranked[hit & (ranked["first"] <= ranked["last"])], known))
-        found = found[np.lexsort((found["hash"], found["id"]))]
-        turn = np.flatnonzero(np.concatenate(([True], (found["id"][1:] != found["id"][:-1]) | (found["hash"][1:] != found["hash"][:-1])))) if len(found) else np.zeros(0, int)
-        hits = np.empty(len(found), HIT)
-        for name in HIT.names:
-            hits[name] = found[name]
-        packed = [hits[x:y].tobytes() for x, y in zip(turn, [*turn[1:], len(found)], strict=True)]
-        return pa.table([pa.array(found["id"][turn]), pa.array(found["hash"][turn]), pa.array(packed, pa.binary())], names=["_id", "_hash", "runs"])
-
-    packed = common.arrow_map(docs.select("_id", "_hash", "text"), scan, schema)
-    met = packed.groupBy("bucket").applyInArrow(lambda t: meet(t), back)
-    return met.groupBy("_id", "_hash").agg(F.collect_list("runs").alias("runs"))
-
-
-def _split(to: np.ndarray, rows: np.ndarray, n: int):
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            yield b, rows[order[edges[b] : edges[b + 1]]]
-
-
-REGION = T.StructType([T.StructField("anchor", T.LongType(), False), T.StructField("digest", T.LongType(), False), *KEY, T.StructField("first", T.LongType(), False), T.StructField("count", T.IntegerType(), False), T.StructField("content", T.BinaryType())])
-
-
-def regions(docs: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
-    """One row for each surviving run: anchor, digest, place, number of windows, content.
-
-    Within a slice of rows only the least place of a content carries its bytes.
-    """
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+        order = np.lexsort((key[:, 0], key[:, 2], key[:, 1]))
+        once = np.sort(order[_groups(key[order, 1], key[order, 2])])  # of copies of a text the least id
+        key, texts = key[once], batch.column(3).take(pa.array(once))
+        parts, held = [], 0
+        for a, _, raw, offs in slices_of(texts):
+            got = units.scan(raw, offs)
+            parts.append(replace(got, text=got.text + a))
+            held += len(got.text)
+            if held > 250_000:
+                yield batch_of(list(pack(parts, key)))
+                parts, held = [], 0
+        if held:
+            yield batch_of(list(pack(parts, key)))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        flag = rows.column("known").to_numpy(zero_copy_only=False)
+        col = {n: rows.column(n).to_pylist() for n in PARTS}
+
+        def read(known: bool) -> dict[str, np.ndarray]:
+            at = np.flatnonzero(flag == known)
+            out = {n: np.frombuffer(b"".join(col[n][i] or b"" for i in at), KINDS[n]) for n in PARTS}
+            out["key"] = np.repeat(out.pop("docs").reshape(-1, 3), out.pop("per"), axis=0)
+            return out
+
+        o, k = read(False), read(True)
+        content = mix(o["anchor"]) + o["digest"]
+        place = mix((o["key"][:, 1] ^ (o["key"][:, 2] << 1)).astype(np.uint64) + o["first"])
+        order = np.lexsort((o["key"][:, 0], place, content))
+        order = order[_groups(content[order], place[order])]  # copies of a text: the least id
+        ids, hashes = o["key"][order, 0], o["key"][order, 1]
+        order = order[np.lexsort((o["first"][order], hashes, ids, content[order], o["anchor"][order]))]
+        c, anchor, ids = content[order], o["anchor"][order], o["key"][order, 0]
+        groups = _groups(c)
+        lead = _first_of_group(groups, len(order))
+        later = ids > ids[lead] if by_document else lead != np.arange(len(order))
+        by_anchor = _groups(anchor)
+        contents = np.diff(np.concatenate((np.searchsorted(groups, by_anchor), [len(groups)]))) if len(order) else np.zeros(0, int)
+        is_open = np.repeat(contents > 1, np.diff(np.concatenate((by_anchor, [len(order)])))) if len(order) else np.zeros(0, bool)
+        out: dict[tuple, list] = {}
+
+        def put(column: int, kind: np.dtype, key: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray | None) -> None:
+            by = np.lexsort((first, key[:, 2], key[:, 1], key[:, 0]))
+            entry = np.empty(len(by), kind)
+            entry["first"], entry["last"] = first[by], first[by].astype(np.int64) + size[by]
+            if anchor is not None:
+                entry["anchor"] = anchor[by]
+            key = key[by]
+            turn = _groups(key[:, 0], key[:, 1], key[:, 2])
+            for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True) if len(by) else ():
+                out.setdefault(tuple(key[x].tolist()), [None, None])[column] = entry[x:y].tobytes()
+
+        mark = order[later]
+        put(0, MARK, np.concatenate((o["key"][mark], k["key"])), np.concatenate((o["first"][mark], k["first"])), np.concatenate((o["size"][mark], k["size"])), None)
+        want = order[is_open & ~later]
+        put(1, WANT, o["key"][want], o["first"][want], o["size"][want], o["anchor"][want])
+        keys = np.array(list(out), np.int64).reshape(-1, 3)
+        return pa.table([*(pa.array(keys[:, i]) for i in range(3)), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1))], names=MET.names)
+
+    packed = common.arrow_map(docs.select("_id", "_hash", "_more", "text"), scan, PACKED)
+    return packed.groupBy("bucket").applyInArrow(lambda t: meet(t), MET)
+
+
+REGION = T.StructType([T.StructField("anchor", T.LongType(), False), *KEY, T.StructField("first", T.LongType(), False), T.StructField("content", T.BinaryType(), False)])
+
+
+def regions(docs: DataFrame, met: DataFrame, units: Units) -> DataFrame:
+    """The wanted regions, cut out of their texts."""
+    wanted = met.where("wanted IS NOT NULL").groupBy("_id", "_hash", "_more").agg(F.collect_list("wanted").alias("wanted"))
 
     def fetch(batch: pa.RecordBatch):
-        ids, hashes = (batch.column(i).to_pylist() for i in (0, 1))
-        texts, packed = common.binary(batch.column(2)), batch.column(3).to_pylist()
-        rows: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
-        held = 0
-        for i in sorted(range(batch.num_rows), key=lambda i: (ids[i], hashes[i])):
-            text = units.units(texts[i].as_py())
-            hits = np.frombuffer(b"".join(packed[i]), HIT)
-            for first, last, anchor in hits[np.argsort(hits["first"], kind="stable")].tolist():
-                content = units.content(text, first, last + units.window)
-                digest = xxhash.xxh3_64_intdigest(content)
-                fresh = (anchor, digest) not in seen
-                if fresh:
-                    seen.add((anchor, digest))
-                    held += len(content)
-                rows.append((anchor, digest, ids[i], hashes[i], first, last - first + 1, content if fresh else None))
-            if held > 16 << 20 or len(rows) > 100_000:
-                yield _region_batch(rows)
-                rows, held = [], 0
-                seen.clear()
-        if rows:
-            yield _region_batch(rows)
-
-    return common.arrow_map(docs.select("_id", "_hash", "text").join(runs, ["_id", "_hash"]), fetch, REGION)
-
-
-def _region_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    for i in (0, 1):
-        cols[i] = np.array(cols[i], np.uint64).view(np.int64)
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.name for f in REGION.fields])
-
-
-#: resolve(contents, ids, hashes, firsts) -> (index of the content, first window, last window), one entry for each run of
-#: windows that repeats something earlier than the content's least place (id, hash, first)
-Resolve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-SOLVED = T.StructType([T.StructField("anchor", T.LongType(), False), T.StructField("digest", T.LongType(), False), T.StructField("at_id", T.LongType(), False), T.StructField("at_hash", T.LongType(), False), T.StructField("at_first", T.LongType(), False), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
-
+        key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        texts, packed = common.binary(batch.column(3)), batch.column(4).to_pylist()
+        who, entries, contents, held = [], [], [], 0
 
-def marked(places: DataFrame, resolve: Resolve, by_document: bool, most: int = 3 << 20) -> DataFrame:
-    """(_id, _hash, first, last): marked windows.
+        def flush() -> pa.RecordBatch:
+            e, w = np.concatenate(entries), np.array(who)
+            return pa.RecordBatch.from_arrays([pa.array(e["anchor"].view(np.int64)), *(pa.array(k[w]) for k in key), pa.array(e["first"].astype(np.int64)), pa.array(contents, pa.binary())], names=REGION.names)
 
-    by_document: only smaller ids count as earlier; else also earlier starts in the same text.
-    Contents get their least place by a partial aggregation, and ``resolve`` sees the distinct
-    contents of anchors that have two or more. A content's later places repeat its least
-    place, so they are marked throughout.
-    """
-    least = F.min(F.struct("_id", "_hash", "first")).alias("least")
-    contents = places.groupBy("anchor", "digest").agg(least, F.max("content").alias("content"), F.count("*").alias("n"))
-    contents = contents.select("anchor", "digest", F.col("least._id").alias("at_id"), F.col("least._hash").alias("at_hash"), F.col("least.first").alias("at_first"), "n", "content")
-    contents = contents.repartition("anchor").sortWithinPartitions("anchor", "digest")
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        anchor, digest, ids, hashes, firsts, n = (rows.column(i).to_numpy() for i in range(6))
-        turn = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        group = np.cumsum(turn) - 1
-        shared = np.flatnonzero(np.bincount(group)[group] > 1)
-        spans: list[list[dict]] = [[] for _ in range(len(anchor))]
-        if len(shared):
-            who, a, b = resolve(rows.column(6).take(pa.array(shared)).to_pylist(), ids[shared], hashes[shared], firsts[shared])
-            for i, x, y in zip(shared[who].tolist(), a.tolist(), b.tolist(), strict=True):
-                spans[i].append({"a": x, "b": y})
-        keep = np.array([i for i in range(len(anchor)) if n[i] > 1 or spans[i]], np.int64)
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (anchor, digest, ids, hashes, firsts)), pa.array([spans[i] for i in keep], kind)], names=[f.name for f in SOLVED.fields])
+        for i in range(batch.num_rows):
+            text = units.units(texts[i].as_py())
+            e = np.frombuffer(b"".join(packed[i]), WANT)
+            e = np.ascontiguousarray(e[np.argsort(e["first"], kind="stable")])
+            entries.append(np.array([tuple(x) for x in e.tolist()], WANT))
+            who.extend([i] * len(e))
+            for first, last, _ in e.tolist():
+                contents.append(units.content(text, first, last + units.window))
+                held += len(contents[-1])
+            if held > 4 << 20:
+                yield flush()
+                who, entries, contents, held = [], [], [], 0
+        if who:
+            yield flush()
+
+    # repeated rows (same id, same text) give equal regions of equal places: harmless
+    return common.arrow_map(docs.select("_id", "_hash", "_more", "text").join(wanted, ["_id", "_hash", "_more"]), fetch, REGION)
+
+
+#: resolve(contents, ids, hashes, firsts) -> (index of the content, first window, last window): one entry for each run of
+#: windows that repeats something earlier than the content's place (id, hash, first)
+Resolve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+SOLVED = T.StructType([*KEY, T.StructField("marks", T.BinaryType())])
+
+
+def resolved(rows: DataFrame, resolve: Resolve, most: int = 2 << 20) -> DataFrame:
+    """(_id, _hash, _more, marks) of the regions' windows that repeat something earlier."""
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor")
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        key = np.stack([t.column(i).to_numpy() for i in (1, 2, 3)], 1)
+        first = t.column(4).to_numpy()
+        who, a, b = resolve(t.column(5).to_pylist(), key[:, 0], key[:, 1], first)
+        mark = np.empty(len(who), MARK)
+        mark["first"], mark["last"] = first[who] + a, first[who] + b
+        key = key[who]
+        by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
+        key, mark = key[by], mark[by]
+        turn = _groups(*key.T)
+        packed = [mark[x:y].tobytes() for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True)] if len(by) else []
+        return pa.RecordBatch.from_arrays([*(pa.array(key[turn, i]) for i in range(3)), pa.array(packed, pa.binary())], names=SOLVED.names)
 
     def run(batches):
         held, size = [], 0
@@ -305,45 +376,47 @@ def marked(places: DataFrame, resolve: Resolve, by_document: bool, most: int = 3
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 held.append(part)
-                size += part.get_total_buffer_size() if batch.num_rows <= 2000 else part.nbytes
+                size += part.nbytes
                 if size < most:
                     continue
-                rows = pa.Table.from_batches(held)
-                anchors = rows.column(0).to_numpy()
+                t = pa.Table.from_batches(held)
+                anchors = t.column(0).to_numpy()
                 to = int(np.searchsorted(anchors, anchors[-1], side="left"))
                 if to:
-                    yield solve(rows.slice(0, to))
-                held = rows.slice(to).to_batches()
+                    yield solve(t.slice(0, to))
+                held = t.slice(to).to_batches()
                 size = sum(b.nbytes for b in held)
         if held and sum(b.num_rows for b in held):
             yield solve(pa.Table.from_batches(held))
 
-    solved = contents.mapInArrow(run, SOLVED)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("count") - 1).cast("long").alias("b")))
-    same = F.col("_id") == F.col("at_id")
-    if not by_document:
-        same = same & (F.col("_hash") == F.col("at_hash")) & (F.col("first") == F.col("at_first"))
-    both = places.select("anchor", "digest", *[f.name for f in KEY], "first", "count").join(solved, ["anchor", "digest"])
-    spans = both.select("_id", "_hash", "first", F.explode(F.when(same, F.col("spans")).otherwise(whole)).alias("s"))
-    return spans.select("_id", "_hash", (F.col("first") + F.col("s.a")).alias("first"), (F.col("first") + F.col("s.b")).alias("last"))
-
-
-def spans_by_text(docs: DataFrame, units: Units, resolve: Resolve, by_document: bool) -> DataFrame:
-    """(_id, _hash, spans): packed (first, last) pairs of marked windows of each text that has any."""
-    runs = surviving_runs(docs, units, buckets(docs))
-    places = common.cut(regions(docs, runs, units))
-    common.release(docs.sparkSession)
-    found = common.cut(marked(places, resolve, by_document).groupBy("_id", "_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    common.drop(places)
-    common.release(docs.sparkSession)
-    return found
-
-
-def covered(spans: list, window: int, n: int) -> np.ndarray:
-    """Which of n units the marked windows cover."""
+    return rows.mapInArrow(run, SOLVED)
+
+
+def answers(docs: DataFrame, units: Units, resolve: Resolve, by_document: bool) -> DataFrame:
+    """(_hash, _more, _least, marks) of every distinct text: its least id and that row's packed marks."""
+    spark = docs.sparkSession
+    met = common.cut(met_anchors(docs, units, by_document))
+    common.release(spark)
+    solved = common.cut(resolved(regions(docs, met, units), resolve))
+    common.release(spark)
+    marks = met.where("marks IS NOT NULL").select(*SOLVED.names).unionAll(solved)
+    texts = docs.groupBy("_hash", "_more").agg(F.min("_id").alias("_least"))
+    found = texts.withColumnRenamed("_least", "_id").join(marks, ["_id", "_hash", "_more"]).groupBy("_hash", "_more").agg(F.collect_list("marks").alias("marks"))
+    return common.cut(texts.join(found, ["_hash", "_more"], "left"))
+
+
+def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keyed docs with _marks: null (nothing repeats), packed marks, or an empty list (every window repeats)."""
+    joined = docs.join(found, ["_hash", "_more"])
+    return joined.withColumn("_marks", F.when(F.col("_id") > F.col("_least"), F.array().cast("array<binary>")).otherwise(F.col("marks"))).drop("_id", "_hash", "_more", "_least", "marks")
+
+
+def covered(marks: list[bytes], window: int, n: int) -> np.ndarray:
+    """Which of n units the marked windows cover; no marks at all: every window is marked."""
+    if not marks:
+        return np.full(n, n >= window)
+    m = np.frombuffer(b"".join(marks), MARK).astype([("first", "<i8"), ("last", "<i8")])
     step = np.zeros(n + 1, np.int64)
-    if spans:
-        first, last = np.array([(s["first"], s["last"]) for s in spans], np.int64).T
-        np.add.at(step, first, 1)
-        np.add.at(step, last + window, -1)
+    np.add.at(step, m["first"], 1)
+    np.add.at(step, m["last"] + window, -1)
     return np.cumsum(step[:n]) > 0

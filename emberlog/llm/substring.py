@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import common
-from .repeats import Units, covered, keyed, spans_by_text
+from .repeats import Units, answers, covered, keyed, with_marks
 from .suffixdedup import runs_of
 
 WINDOW, GRAM = 13, 5
@@ -70,13 +70,14 @@ def resolver(window: int):
     return resolve
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    return spans_by_text(docs, Units(window, gram, by_words=True), resolver(window), by_document=True)
+def with_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with _marks of the windows that start in an earlier document (see repeats.with_marks)."""
+    rows = keyed(docs)
+    return with_marks(rows, answers(rows.select("_id", "_hash", "_more", "text"), Units(window, gram, by_words=True), resolver(window), by_document=True))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keyed(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    joined = rows.join(repeated_spans(rows), ["_id", "_hash"], "left").select("doc_id", "text", "spans")
+    joined = with_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "_marks")
     schema = T.StructType([joined.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def apply(batch: pa.RecordBatch):
@@ -84,7 +85,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for value, spans in zip(common.binary(batch.column(1)), batch.column(2), strict=True):
             words, spans = value.as_py().split(), spans.as_py()
             kept, removed = words, 0
-            if spans:
+            if spans is not None:
                 gone = covered(spans, WINDOW, len(words))
                 removed = int(gone.sum())
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]

@@ -4,7 +4,7 @@ Equal windows are brought together by anchors (``repeats``); within an anchor th
 contents are laid into one text, whose Burrows-Wheeler transform is expanded by intervals up
 to the minimum length (``bwt``). What the expansion leaves unbounded are equal windows; all but
 the earliest place of each are marked. A content that is the only one of its anchor has nothing
-to expand: its later places repeat its first.
+to expand: its later places repeat its first, as copies of a whole text repeat that text.
 
 Defined results: null and empty texts have no bytes; texts are whole UTF-8 bytes of any
 length; rows that repeat (same id, same text) are one place and get equal answers; rows that
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt, common
-from .repeats import Units, covered, keyed, spans_by_text
+from .repeats import Units, answers, covered, keyed, with_marks
 
-LENGTH, GRAM = 100, 40
+LENGTH, GRAM = 100, 24
 
 
 def resolver(length: int):
@@ -58,27 +58,21 @@ def runs_of(who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return who[turn], at[turn], at[end]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """keyed docs -> (_id, _hash, spans) of windows of ``length`` bytes that occur earlier."""
-    return spans_by_text(docs, Units(length, gram, by_words=False), resolver(length), by_document=False)
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with ``_kept`` (the bytes that stay), ``_bytes``, ``_removed`` and ``_spans`` (counts)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with ``_kept`` (the bytes that stay), ``_bytes``, ``_removed`` and ``_runs`` (counts)."""
     rows = keyed(docs)
-    found = repeated_spans(rows.select("_id", "_hash", "text"), length)
-    joined = rows.join(found.withColumnRenamed("spans", "_spans_list"), ["_id", "_hash"], "left").drop("_id", "_hash")
-    fields = [f for f in joined.schema.fields if f.name != "_spans_list"]
+    joined = with_marks(rows, answers(rows.select("_id", "_hash", "_more", "text"), Units(length, gram, by_words=False), resolver(length), by_document=False))
+    fields = [f for f in joined.schema.fields if f.name != "_marks"]
     extra = [T.StructField("_kept", T.BinaryType(), False), *[T.StructField(n, T.LongType(), False) for n in ("_bytes", "_removed", "_runs")]]
-    at, spans_at = joined.columns.index("text"), joined.columns.index("_spans_list")
-    others = [i for i, n in enumerate(joined.columns) if n != "_spans_list"]
+    at, spans_at = joined.columns.index("text"), joined.columns.index("_marks")
+    others = [i for i, n in enumerate(joined.columns) if n != "_marks"]
 
     def apply(batch: pa.RecordBatch):
         kept, size, removed, runs = [], [], [], []
         for value, spans in zip(common.binary(batch.column(at)), batch.column(spans_at), strict=True):
             text, spans = value.as_py(), spans.as_py()
             size.append(len(text))
-            if not spans:
+            if spans is None:
                 kept.append(text)
                 removed.append(0)
                 runs.append(0)

@@ -11,23 +11,24 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
+OTHER = 0xC2B2AE3D27D4EB4F  # for hashes that must not depend on those of BASE
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n, kept between calls up to 32M entries."""
-    have = _POWERS.get(0)
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i up to n, kept between calls up to 4M entries."""
+    base = OTHER if second else BASE
+    have = _POWERS.get(base)
     if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
-        a, b = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+        size = max(n + 1, 1 << 18)
+        a, b = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         a[0] = b[0] = 1
         have = (np.multiply.accumulate(a), np.multiply.accumulate(b))
-        if size <= 1 << 25:
-            _POWERS[0] = have
+        if size <= 1 << 22:
+            _POWERS[base] = have
     return have[0][: n + 1], have[1][: n + 1]
 
 
@@ -49,9 +50,9 @@ def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix(raw: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(S, inverse powers): the hash of raw[i:j] is (S[j] - S[i]) * inverse[i]."""
-    up, down = powers(len(raw))
+    up, down = powers(len(raw), second)
     s = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=s[1:])
     return s, down
@@ -93,7 +94,7 @@ def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def slices_of(column: pa.Array, most: int = 8 << 20):
+def slices_of(column: pa.Array, most: int = 1 << 20):
     """(first row, end row, bytes, offsets) for slices of about ``most`` bytes of a text column."""
     from .common import binary, slices
 
