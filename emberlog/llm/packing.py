@@ -15,6 +15,7 @@ equal length are broken by id, piece and checksum; repeated rows are packed each
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, read_file
+from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, read_file, vocabulary
 
-ROOM, SALTS, GROUPS, SMALL = 2048, 32, 64, 64
+ROOM, SALTS, GROUPS = 2048, 32, 32
 
 
 class LibraryEncoder(dict):
@@ -40,25 +41,29 @@ class LibraryEncoder(dict):
         self.tokenizer, self.entries = Tokenizer.from_str(text), entries
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        v = vocabulary(text)
+        self.pretokens = lambda w: v.pieces.findall(w.lower())
+        self.ends_word = np.array([s.endswith(v.end) for s in v.strings])
 
     def learn(self, lists: list[list[str]]) -> None:
         wanted = set().union(*lists)
         if len(self) + len(wanted) > self.entries:
             self.clear()
         fresh = [w for w in wanted if w not in self]
-        for w in [w for w in fresh if "<|" in w]:
-            self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         plain = [w for w in fresh if "<|" not in w]
+        for w in set(fresh).difference(plain):
+            self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            # every pre-token ends with one word-end token, and a chunk's pre-tokens can be counted
+            count = [len(self.pretokens(w if w.isascii() else unicodedata.normalize("NFC", w))) for w in part]
+            ends = np.concatenate(([-1], np.flatnonzero(self.ends_word[ids])))[np.cumsum(count)] + 1
+            packed = ids.tobytes()
             begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self[w] = ids[begin:end].tobytes()
-                begin = end + 1
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self[w] = packed[4 * begin : 4 * end]
+                begin = end
 
 
 def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = 0) -> DataFrame:
@@ -134,8 +139,16 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, most: int =
     return [(columns[:, i].astype(int), float(x[i])) for i in range(m) if x[i] > 0]
 
 
-def plan(histogram: dict[int, int], room: int = ROOM, groups: int = GROUPS, small: int = SMALL) -> list[Bins]:
-    """Sequences for all pieces of the histogram (length -> count)."""
+def plan(histogram: dict[int, int], room: int = ROOM, groups: int = GROUPS) -> list[Bins]:
+    """Sequences for all pieces of the histogram (length -> count).
+
+    Lengths above a third or above a half of the room count as large; the better plan is taken.
+    """
+    return min((scheme(histogram, room, groups, small) for small in (room // 3, room // 2)), key=lambda p: sum(b.count for b in p))
+
+
+def scheme(histogram: dict[int, int], room: int, groups: int, small: int) -> list[Bins]:
+    """The linear grouping scheme with lengths above ``small`` as the large ones."""
     left = {n: c for n, c in histogram.items() if c}
     bins: list[Bins] = []
     if left.get(room):

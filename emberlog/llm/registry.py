@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
+from .chat import op2_chat_format
+from .embeddings import op1_embedding_near_dedup
+from .packing import op9_packing
 from .quality import op6_quality_rules
 from .simhash import op5_simhash
 from .substring import op8_substring_dedup
 from .suffixdedup import op7_suffix_dedup
+from .urls import op4_url_filter
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op3_bpe": op3_bpe,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
