@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat import op2_chat_format
 from .embeddings import op1_embedding_near_dedup
+from .langid import op10_language_id
 from .packing import op9_packing
 from .quality import op6_quality_rules
 from .simhash import op5_simhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
