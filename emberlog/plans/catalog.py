@@ -1,4 +1,203 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import masking, scalars, times
+from ..operators import anomaly, search, security, stages, views
+from .eventlog import END, LOGS_SQL, START, logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+A, B = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-31 00:00:00'"
+SECONDS = int((END - START).total_seconds())
+ERR = "(coalesce(level IN ('ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY'), false) OR coalesce(status_code >= 500, false))"
+STEP = {w: f"INTERVAL {s} SECOND" for w, s in times.WINDOWS.items()}
+
+
+def add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None, raw: bool = False) -> None:
+    """sql reads ``logs`` (all canonical rows) and ``scoped`` (those of the range) unless raw."""
+    QUERIES[name] = build
+    if sql:
+        ORACLE_SQL[name] = sql if raw else f"WITH logs AS ({LOGS_SQL}), scoped AS (SELECT * FROM logs WHERE timestamp BETWEEN {A} AND {B}) {sql}"
+
+
+def scoped(spark: SparkSession, sf: str) -> DataFrame:
+    return views.scoped(logs(spark, sf), START, END)
+
+
+def over(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: fn(scoped(spark, sf))
+
+
+def stats_sql(skip: int = 0, ms: str = "response_time_ms") -> str:
+    items = [
+        f"count({ms}) AS n", f"round(coalesce(sum({ms}), 0), 6) AS total", f"round(coalesce(avg({ms}), 0), 6) AS mean", f"coalesce(min({ms}), 0) AS least", f"coalesce(max({ms}), 0) AS most",
+        *[f"round(coalesce(quantile_cont({ms}, {q}), 0), 6) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99)], f"round(coalesce(stddev_samp({ms}), 0), 6) AS deviation",
+    ]
+    return ", ".join(items[skip:])
+
+
+def counts_sql(dimensions: list[str], table: str = "scoped", top: int = 10) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS key, count(*) AS n FROM {table} WHERE {d} IS NOT NULL GROUP BY {d}" for d in dimensions)
+    return top_sql(f"({parts})", top)
+
+
+def top_sql(counts: str, top: int) -> str:
+    return f"SELECT dimension, key, n, round(n * 100.0 / sum(n) OVER (PARTITION BY dimension), 6) AS percentage FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS r FROM {counts}) WHERE r <= {top}"
+
+
+# -- views ---------------------------------------------------------------------------------------------------------------
+add("agg_overview", over(views.overview), f"""SELECT count(*) AS records, count(status_code) AS requests, count(*) FILTER (WHERE {ERR}) AS errors, round(count(*) FILTER (WHERE {ERR}) / count(*), 6) AS error_rate,
+  round(coalesce(avg(response_time_ms), 0), 6) AS latency_avg, round(coalesce(quantile_cont(response_time_ms, 0.95), 0), 6) AS latency_p95, round(coalesce(quantile_cont(response_time_ms, 0.99), 0), 6) AS latency_p99, count(DISTINCT service) AS services FROM scoped""")
+add("agg_errors", over(views.errors), f"""SELECT * FROM ({counts_sql(['service', 'endpoint', 'hostname', 'level'], f'(SELECT * FROM scoped WHERE {ERR})')})
+  UNION ALL SELECT 'all', 'errors', count(*) FILTER (WHERE {ERR}), round(count(*) FILTER (WHERE {ERR}) * 100.0 / count(*), 6) FROM scoped""")
+add("agg_status_codes", over(views.status_codes), "SELECT * FROM ("
+    + top_sql("""(SELECT 'class' AS dimension, CAST(status_code // 100 AS VARCHAR) || 'xx' AS key, count(*) AS n FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL UNION ALL
+  SELECT 'rate', CASE WHEN status_code // 100 IN (2, 3) THEN 'success' WHEN status_code // 100 = 4 THEN 'client_error' WHEN status_code // 100 = 5 THEN 'server_error' ELSE 'other' END, count(*) FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL)""", 1000)
+    + ") UNION ALL SELECT * FROM (" + top_sql("(SELECT 'code' AS dimension, CAST(status_code AS VARCHAR) AS key, count(*) AS n FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL)", 15) + ")")
+add("agg_latency", over(views.latency), f"""SELECT dimension, key, n, total, mean, least, most, p50, p95, p99, deviation FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS r FROM (
+  SELECT 'everything' AS dimension, 'all' AS key, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL
+  UNION ALL SELECT 'service', service, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL AND service IS NOT NULL GROUP BY service
+  UNION ALL SELECT 'endpoint', endpoint, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL AND endpoint IS NOT NULL GROUP BY endpoint)) WHERE r <= 10""")
+add("agg_traffic", over(lambda d: views.traffic(d, START, END)), f"""SELECT * FROM ({counts_sql(['ip_address', 'endpoint', 'user_agent', 'http_method'])})
+  UNION ALL SELECT 'total', k, CASE WHEN k = 'bytes' THEN b ELSE n END, CASE k WHEN 'per_minute' THEN round(n * 60.0 / {SECONDS}, 6) WHEN 'per_hour' THEN round(n * 3600.0 / {SECONDS}, 6) WHEN 'per_day' THEN round(n * 86400.0 / {SECONDS}, 6) ELSE 0 END
+  FROM (SELECT count(*) AS n, CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) AS b FROM scoped), (VALUES ('requests'), ('bytes'), ('per_minute'), ('per_hour'), ('per_day')) AS t(k)""")
+add("agg_services", over(lambda d: views.services(d, START, END)), f"""SELECT service, requests, errors, round(f, 6) AS failure_rate, round(1 - f, 6) AS availability, round(requests / {SECONDS}, 6) AS throughput, total, mean, least, most, p50, p95, p99, deviation,
+  CASE WHEN f >= 0.10 THEN 'unhealthy' WHEN f >= 0.02 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT service, count(*) AS requests, count(*) FILTER (WHERE {ERR}) AS errors, count(*) FILTER (WHERE {ERR}) / count(*) AS f, {stats_sql(1)}
+  FROM scoped WHERE service IS NOT NULL GROUP BY service) ORDER BY requests DESC, service LIMIT 50""")
+add("agg_top_of_all", over(lambda d: views.count_by(d, ["endpoint"], 5, of_all=True)), "SELECT 'endpoint' AS dimension, endpoint AS key, n, round(n * 100.0 / s, 6) AS percentage FROM (SELECT endpoint, count(*) AS n, sum(count(*)) OVER () AS s FROM scoped WHERE endpoint IS NOT NULL GROUP BY endpoint) ORDER BY n DESC, key LIMIT 5")
+add("agg_distinct_values", over(lambda d: views.distinct_values(d, "service")), "SELECT DISTINCT service AS value FROM scoped WHERE service IS NOT NULL ORDER BY 1 LIMIT 100")
+add("agg_suggest", over(lambda d: views.distinct_values(d, "hostname", 20, prefix="HOST-1")), "SELECT DISTINCT hostname AS value FROM scoped WHERE hostname ILIKE 'host-1%' ORDER BY 1 LIMIT 20")
+add("agg_dataset_summary", lambda s, sf: views.dataset_summary(logs(s, sf)), "SELECT count(*) AS records, min(timestamp) AS first, max(timestamp) AS last, count(DISTINCT service) AS services FROM logs")
+add("agg_count_filtered", lambda s, sf: views.scoped(logs(s, sf), START, END, {"level": "ERROR", "service": ["svc-1", "svc-2"], "hostname": None, "parser": []}).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM scoped WHERE level = 'ERROR' AND service IN ('svc-1', 'svc-2')")
+add("agg_describe", over(lambda d: views.describe(d, "bytes_sent", "level")), f"SELECT level, {stats_sql(0, 'CAST(bytes_sent AS DOUBLE)')} FROM scoped WHERE bytes_sent IS NOT NULL GROUP BY level")
+add("agg_service_errors_p95", over(lambda d: d.groupBy("service").agg(F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"), F.round(F.percentile("response_time_ms", 0.95), 6).alias("p95"))), "SELECT service, count(*) AS n, count(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors, round(quantile_cont(response_time_ms, 0.95), 6) AS p95 FROM scoped GROUP BY service")
+
+# -- time series ---------------------------------------------------------------------------------------------------------
+METRIC_SQL = {
+    "requests": "count(*)", "errors": f"count(*) FILTER (WHERE {ERR})", "error_rate": f"count(*) FILTER (WHERE {ERR}) / count(*)", "server_errors": "count(*) FILTER (WHERE status_code >= 500)",
+    "client_errors": "count(*) FILTER (WHERE status_code BETWEEN 400 AND 499)", "latency_avg": "avg(response_time_ms)", "latency_p95": "quantile_cont(response_time_ms, 0.95)", "latency_p99": "quantile_cont(response_time_ms, 0.99)",
+    "latency_max": "max(response_time_ms)", "bytes": "sum(bytes_sent)", "unique_ips": "count(DISTINCT ip_address)", "unique_users": "count(DISTINCT user_id)",
+}
+
+
+def series_sql(window: str, metrics, fill: bool = True) -> str:
+    cols = ", ".join(f"round(CAST(coalesce({METRIC_SQL[m]}, 0) AS DOUBLE), 6) AS {m}" for m in metrics)
+    got = f"SELECT time_bucket({STEP[window]}, timestamp) AS bucket, {cols} FROM scoped GROUP BY 1"
+    if not fill:
+        return got
+    return f"SELECT s.bucket, {', '.join(f'coalesce({m}, 0) AS {m}' for m in metrics)} FROM (SELECT unnest(generate_series({A}, {B}, {STEP[window]})) AS bucket) s LEFT JOIN ({got}) g ON s.bucket = g.bucket"
+
+
+for _w in times.WINDOWS:
+    _m = views.METRICS if _w in ("1h", "6h", "1d") else ("requests", "errors", "latency_p95")
+    add(f"series_{_w}", over(lambda d, w=_w, m=_m: views.timeseries(d, START, END, w, m)), series_sql(_w, _m))
+add("series_sparse", over(lambda d: views.timeseries(d, START, END, "5m", ("requests", "bytes"), fill_gaps=False)), series_sql("5m", ("requests", "bytes"), False))
+add("series_by_service", over(lambda d: views.timeseries(d, START, END, "1d", ("requests", "errors"), by="service")), f"SELECT time_bucket({STEP['1d']}, timestamp) AS bucket, service, CAST(count(*) AS DOUBLE) AS requests, CAST(count(*) FILTER (WHERE {ERR}) AS DOUBLE) AS errors FROM scoped GROUP BY ALL")
+
+
+# -- window operators and anomaly detection ------------------------------------------------------------------------------
+def hourly(spark: SparkSession, sf: str) -> DataFrame:
+    return views.long_series(views.timeseries(scoped(spark, sf), START, END, "1h", anomaly.DEFAULT_METRICS), anomaly.DEFAULT_METRICS)
+
+
+HOURLY = "series AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, bucket, {m} AS value FROM ({series_sql('1h', anomaly.DEFAULT_METRICS)})" for m in anomaly.DEFAULT_METRICS) + ")"
+
+
+def add_series(name: str, fn, sql: str) -> None:
+    add(name, fn, None)
+    ORACLE_SQL[name] = f"WITH logs AS ({LOGS_SQL}), scoped AS (SELECT * FROM logs WHERE timestamp BETWEEN {A} AND {B}), {HOURLY} {sql}"
+
+
+def six(*names: str):
+    return lambda d: d.withColumns({n: views.rounded(F.col(n)) for n in names})
+
+
+W = "PARTITION BY metric ORDER BY bucket"
+add_series("win_moving_average", lambda s, sf: six("moving_average")(anomaly.moving_average(hourly(s, sf), 12)), f"SELECT *, round(avg(value) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM series")
+add_series("win_rolling_std", lambda s, sf: six("rolling_std")(anomaly.rolling_std(hourly(s, sf), 12)), f"SELECT *, round(coalesce(stddev_samp(value) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0), 6) AS rolling_std FROM series")
+add_series("win_zscores", lambda s, sf: six("zscore")(anomaly.zscores(hourly(s, sf))), "SELECT metric, bucket, value, round(CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END, 6) AS zscore FROM (SELECT *, stddev_samp(value) OVER (PARTITION BY metric) AS sd, avg(value) OVER (PARTITION BY metric) AS m FROM series)")
+add_series("win_iqr_bounds", lambda s, sf: six("median", "lower", "upper")(anomaly.iqr_bounds(hourly(s, sf))), "SELECT metric, n, round(q2, 6) AS median, round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM (SELECT metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM series GROUP BY metric)")
+COUNTS = "((value > expected AND value >= 3) OR (value <= expected AND metric IN ('requests', 'bytes', 'unique_users')))"
+DETECT_SQL = {
+    "zscore": "SELECT metric, bucket, value, m AS expected, abs((value - m) / sd) AS score, 'zscore' AS detector FROM (SELECT *, stddev_samp(value) OVER p AS sd, avg(value) OVER p AS m, count(*) OVER p AS n FROM series WINDOW p AS (PARTITION BY metric)) WHERE sd > 0 AND n >= 10 AND abs((value - m) / sd) >= 3",
+    "moving_average": f"SELECT metric, bucket, value, m AS expected, CASE WHEN sd > 0 THEN abs(value - m) / sd ELSE 4.0 END AS score, 'moving_average' AS detector FROM (SELECT *, avg(value) OVER p AS m, coalesce(stddev_samp(value) OVER p, 0) AS sd, row_number() OVER ({W}) AS i FROM series WINDOW p AS ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE i > 12 AND (CASE WHEN sd > 0 THEN abs(value - m) / sd >= 3 ELSE value <> m END)",
+    "iqr": "SELECT metric, bucket, value, q2 AS expected, abs(value - q2) / greatest(hi - q2, 1e-9) * 3 AS score, 'iqr' AS detector FROM (SELECT s.*, q2, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM series s JOIN (SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM series GROUP BY metric) USING (metric)) WHERE value > hi OR value < lo",
+    "ewma": """SELECT metric, bucket, value, lvl AS expected, CASE WHEN v > 0 THEN abs(value - lvl) / sqrt(v) ELSE CASE WHEN value <> lvl THEN 4.0 ELSE 0 END END AS score, 'ewma' AS detector FROM (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY bucket) AS i FROM series), f AS (
+  SELECT metric, i, bucket, value, CAST(NULL AS DOUBLE) AS lvl, CAST(0 AS DOUBLE) AS v, value AS nl, CAST(0 AS DOUBLE) AS nv FROM o WHERE i = 1
+  UNION ALL SELECT o.metric, o.i, o.bucket, o.value, f.nl, f.nv, f.nl + 0.3 * (o.value - f.nl), (f.nv + 0.3 * (o.value - f.nl) * (o.value - f.nl)) * 0.7 FROM f JOIN o ON o.metric = f.metric AND o.i = f.i + 1) SELECT * FROM f)
+  WHERE lvl IS NOT NULL AND CASE WHEN v > 0 THEN abs(value - lvl) / sqrt(v) >= 3 ELSE value <> lvl END""",
+}
+for _d in anomaly.DETECTORS:
+    add_series(f"detect_{_d}", lambda s, sf, d=_d: six("expected", "score")(anomaly.DETECTORS[d](hourly(s, sf))), f"SELECT metric, bucket, value, round(expected, 6) AS expected, round(score, 6) AS score, detector FROM ({DETECT_SQL[_d]}) WHERE {COUNTS}")
+add("anomaly_scan", over(lambda d: anomaly.scan(d, START, END, "1h")))
+add("anomaly_scan_by_service", over(lambda d: anomaly.scan_by(d, "service", START, END, "6h", least="low")))
+
+# -- security ------------------------------------------------------------------------------------------------------------
+PUBLIC = "NOT (subject LIKE '10.%')"
+
+
+def finding_sql(kind: str, where: str, breadth: str, having: str, order: str, subject: str = "ip_address") -> str:
+    return f"(SELECT '{kind}' AS type, {subject} AS subject, count(*) AS event_count, count(DISTINCT {breadth}) AS breadth, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM scoped WHERE {where} GROUP BY {subject} HAVING {having} ORDER BY {order} DESC, 2 LIMIT 50)"
+
+
+PATHS = " OR ".join(f"endpoint ILIKE '{p}%'" for p in security.SENSITIVE_PATHS)
+AGENTS = " OR ".join(f"user_agent ILIKE '%{a}%'" for a in security.SUSPICIOUS_AGENTS)
+FINDING_SQL = {
+    "brute_force": finding_sql("brute_force", "ip_address IS NOT NULL AND status_code IN (401, 403)", "endpoint", "count(*) >= 5", "3"),
+    "credential_stuffing": finding_sql("credential_stuffing", "ip_address IS NOT NULL AND user_id IS NOT NULL AND status_code IN (401, 403)", "user_id", "count(DISTINCT user_id) >= 5", "4"),
+    "endpoint_scanning": finding_sql("endpoint_scanning", "ip_address IS NOT NULL AND status_code = 404", "endpoint", "count(*) >= 25", "4"),
+    "sensitive_endpoints": finding_sql("sensitive_endpoint_access", f"ip_address IS NOT NULL AND ({PATHS})", "endpoint", "true", "3"),
+    "suspicious_agents": finding_sql("suspicious_user_agent", f"ip_address IS NOT NULL AND ({AGENTS})", "endpoint", "true", "3"),
+    "request_floods": f"(SELECT * FROM {finding_sql('request_flood', 'ip_address IS NOT NULL', 'endpoint', 'count(*) >= 300', '3')} WHERE event_count / greatest(epoch_us(last_seen) - epoch_us(first_seen), 1000000) * 1e6 >= 1)",
+    "secrets_in_logs": finding_sql("secret_in_log", "json_extract_string(metadata, '$.masked') = 'true'", "logger", "true", "3", "coalesce(service, 'unknown')"),
+}
+for _k, _sql in FINDING_SQL.items():
+    add(f"sec_{_k}", over(getattr(security, _k)), f"SELECT * FROM {_sql}")
+add("sec_analyze", over(security.analyze), "SELECT * EXCLUDE (pub), CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'info' END AS severity FROM (SELECT *, round(greatest(0, least(100, CASE type "
+    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in security.BASE.items())
+    + " END + least(32.0, 8.0 * log10(greatest(event_count, 1))) + least(10.0, 5.0 * log10(greatest(breadth, 1))) + least(15.0, 7.5 * (signals - 1)) - CASE WHEN pub THEN 0 ELSE 12 END)), 2) AS risk_score FROM (SELECT *, type <> 'secret_in_log' AND "
+    + PUBLIC + " AS pub, CAST((SELECT count(DISTINCT type) FROM found g WHERE g.subject = f.subject) AS INTEGER) AS signals FROM found f)) ORDER BY risk_score DESC, subject, type LIMIT 100")
+ORACLE_SQL["sec_analyze"] = ORACLE_SQL["sec_analyze"].replace(f"BETWEEN {A} AND {B})", f"BETWEEN {A} AND {B}), found AS ({' UNION ALL '.join(f'SELECT * FROM {s}' for s in FINDING_SQL.values())})", 1)
+add("sec_by_severity", over(lambda d: security.by_severity(security.analyze(d))), f"SELECT severity, count(*) AS n FROM ({ORACLE_SQL['sec_analyze']}) GROUP BY severity", raw=True)
+
+# -- search --------------------------------------------------------------------------------------------------------------
+SEARCHES = {
+    "equals": ("level=ERROR", "level = 'ERROR'"),
+    "number": ("status>=500", "status_code >= 500"),
+    "and_or": ("service=svc-1 AND status=401 OR level=NOTICE host=host-3", "(service = 'svc-1' AND status_code = 401) OR (level = 'NOTICE' AND hostname = 'host-3')"),
+    "list": ("service=svc-1,svc-2,svc-3", "service IN ('svc-1', 'svc-2', 'svc-3')"),
+    "wildcard": ("path~/api/v1/click/*", "endpoint ILIKE '/api/v1/click/%'"),
+    "contains": ("msg~100%", "message ILIKE '%100\\%%' ESCAPE '\\'"),
+    "not": ("NOT service=svc-1 -  level!=INFO", "NOT (service = 'svc-1') AND NOT (level <> 'INFO')"),
+    "not_wildcard": ("path!=/api/*", "NOT (endpoint ILIKE '/api/%')"),
+    "time": ("time>=2024-01-10T00:00:00Z AND time<2024-01-11", "timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-11'"),
+    "free_text": ('"did purchase"', "message ILIKE '%did purchase%' OR raw_message ILIKE '%did purchase%'"),
+    "nested": ("(level=ERROR (latency>100 OR bytes<50)) NOT ip~10.0.*", "(level = 'ERROR' AND (response_time_ms > 100 OR bytes_sent < 50)) AND NOT (ip_address ILIKE '10.0.%')"),
+}
+for _k, (_q, _where) in SEARCHES.items():
+    add(f"search_{_k}", over(lambda d, q=_q: search.search(d, q).select("event_id", "timestamp", "service", "level")), f"SELECT event_id, timestamp, service, level FROM scoped WHERE {_where}")
+add("search_filters", over(lambda d: search.search(d, "status>=400", {"service": ["svc-1", "svc-4"], "method": "GET", "user": ""}).select("event_id")), "SELECT event_id FROM scoped WHERE status_code >= 400 AND service IN ('svc-1', 'svc-4') AND http_method = 'GET'")
+add("search_page", over(lambda d: search.page(search.search(d, "level=ERROR"), "service", descending=False, offset=20, limit=30).select("event_id", "service")), "SELECT event_id, service FROM scoped WHERE level = 'ERROR' ORDER BY service ASC NULLS LAST, event_id ASC LIMIT 30 OFFSET 20")
+add("search_after", over(lambda d: search.page_after(d, "2024-01-15 12:00:00", "500", 40).select("event_id", "timestamp")), "SELECT event_id, timestamp FROM scoped WHERE timestamp < TIMESTAMP '2024-01-15 12:00:00' OR (timestamp = TIMESTAMP '2024-01-15 12:00:00' AND event_id < '500') ORDER BY timestamp DESC, event_id DESC LIMIT 40")
+add("search_by_id", lambda s, sf: search.by_id(logs(s, sf), "77").select("event_id", "service", "message"), "SELECT event_id, service, message FROM logs WHERE event_id = '77'")
+
+# -- functions and row stages over real text -----------------------------------------------------------------------------
+add("fn_status_class", over(lambda d: d.where("status_code IS NOT NULL").groupBy(scalars.status_class(F.col("status_code")).alias("class")).agg(F.count("*").alias("n"))), "SELECT CAST(status_code // 100 AS VARCHAR) || 'xx' AS class, count(*) AS n FROM scoped WHERE status_code IS NOT NULL GROUP BY 1")
+add("fn_agent_family", over(lambda d: d.groupBy(scalars.agent_family(F.col("user_agent")).alias("family")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN user_agent ILIKE '%chrome%' THEN 'Chrome' WHEN user_agent ILIKE '%curl%' THEN 'curl' ELSE 'Other' END AS family, count(*) AS n FROM scoped GROUP BY 1")
+add("fn_ip_class", over(lambda d: d.groupBy(scalars.ip_class(F.col("ip_address")).alias("kind")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN ip_address LIKE '10.%' THEN 'private' WHEN ip_address IS NULL THEN NULL ELSE 'public' END AS kind, count(*) AS n FROM scoped GROUP BY 1")
+add("fn_endpoint_template", over(lambda d: d.groupBy(scalars.endpoint_template(F.col("endpoint")).alias("template")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN endpoint IS NULL THEN NULL ELSE lower(regexp_replace(endpoint, '/[0-9]+$', '/{id}')) END AS template, count(*) AS n FROM scoped GROUP BY 1")
+add("fn_environment", over(lambda d: d.select(scalars.environment(F.concat(F.lit("web-"), F.when(F.col("environment") == "production", "PROD").otherwise("x")), F.concat(F.col("service"), F.lit(".qa"))).alias("env")).groupBy("env").agg(F.count("*").alias("n"))), "SELECT CASE WHEN environment = 'production' THEN 'production' WHEN service IS NULL THEN 'unknown' ELSE 'test' END AS env, count(*) AS n FROM scoped GROUP BY 1")
+add("fn_mask_text", lambda s, sf: s.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(masking.mask_text(F.col("text"), ("email",)), 256).alias("masked"), masking.contains_sensitive(F.col("text"), ("email",)).alias("has_email")),
+    "SELECT doc_id, sha256(regexp_replace(CASE WHEN length(text) > 65536 THEN left(text, 65536) ELSE text END, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b', '***REDACTED***', 'g')) AS masked, regexp_matches(text, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b') AS has_email FROM documents", raw=True)
+add("fn_fingerprint", lambda s, sf: logs(s, sf).select("event_id", scalars.fingerprint(F.col("service"), F.col("message")).alias("f")), "SELECT event_id, left(sha256(coalesce(service, chr(0) || 'none') || chr(31) || message), 32) AS f FROM logs")
+add("stage_dedup_content", lambda s, sf: stages.deduplicate(s.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("event_id"), F.col("text").alias("message"), "doc_id"), "content_hash", order=("doc_id",)).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) > 0 GROUP BY text", raw=True)
+add("stage_dedup_fields", lambda s, sf: stages.deduplicate(logs(s, sf), "fields", fields=("service", "level", "endpoint"), order=("timestamp", "event_id")).select("event_id"), "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY service, level, endpoint ORDER BY timestamp, event_id) AS r FROM logs) WHERE r = 1")
+add("stage_validate", lambda s, sf: stages.validate(logs(s, sf).withColumn("message", F.when(F.col("event_id").cast("long") % 10 == 0, " ").otherwise(F.col("message"))).withColumn("response_time_ms", F.col("response_time_ms") - 20)).groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN 'missing_message' WHEN response_time_ms - 20 < 0 THEN 'invalid_response_time' ELSE 'ok' END AS reason, count(*) AS n FROM logs GROUP BY 1")
