@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import masking
 from ..functions.scalars import LEVELS, agent_family, clean_text, endpoint_template, environment, fingerprint, fingerprint_fields, host_name, ip_class, repair_encoding, service_name, status_class, valid_ip
 from ..schema import LIMITS, conform, is_error
+from .parsers import parse, settle
 
 CLEANED = ("service", "hostname", "logger", "user_id", "request_id", "user_agent", "referrer")
 MASKED = ("message", "user_agent", "referrer", "endpoint", "user_id", "raw_message")
@@ -27,7 +28,7 @@ def clean(df: DataFrame, longest_message: int = 32768, repair: bool = True) -> D
     cols["message"] = F.coalesce(clean_text(fix(F.col("message")), longest_message), F.lit(""))
     cols["endpoint"] = clean_text(F.regexp_extract("endpoint", r"^[^?#]*", 0), LIMITS["endpoint"])
     cols["metadata"] = F.transform_values("metadata", lambda _, v: F.coalesce(clean_text(v, 4096), F.lit("")))
-    return df.withColumns(cols)
+    return settle(df, **cols)
 
 
 def _put(meta: Column, **items: Column) -> Column:
@@ -38,11 +39,12 @@ def _put(meta: Column, **items: Column) -> Column:
 
 
 def normalise(df: DataFrame, default_service: str | None = None) -> DataFrame:
+    df = settle(df, _template=endpoint_template(F.col("endpoint")), _family=agent_family(F.col("user_agent")), _class=ip_class(F.col("ip_address")))
     named = F.coalesce(service_name(F.col("service")), F.lit(default_service))
-    template = endpoint_template(F.col("endpoint"))
+    template = F.col("_template")
     env = F.when(F.coalesce(F.col("environment"), F.lit("unknown")) != "unknown", F.col("environment")).otherwise(environment(F.col("hostname"), F.col("service"), F.col("source")))
-    meta = _put(F.col("metadata"), endpoint_raw=F.when(template != F.col("endpoint"), F.col("endpoint")), ua_family=agent_family(F.col("user_agent")), ip_class=ip_class(F.col("ip_address")))
-    return df.withColumns({"metadata": meta, "environment": env, "service": named, "hostname": host_name(F.col("hostname")), "endpoint": template})
+    meta = _put(F.col("metadata"), endpoint_raw=F.when(template != F.col("endpoint"), F.col("endpoint")), ua_family=F.col("_family"), ip_class=F.col("_class"))
+    return settle(df, metadata=meta, environment=env, service=named, hostname=host_name(F.col("hostname")), endpoint=template).drop("_template", "_family", "_class")
 
 
 def enrich(df: DataFrame, rules: Sequence[str] = masking.DEFAULT_RULES, drop_raw: bool = False) -> DataFrame:
@@ -52,7 +54,7 @@ def enrich(df: DataFrame, rules: Sequence[str] = masking.DEFAULT_RULES, drop_raw
     cols = {c: masking.mask_text(F.col(c), rules) for c in MASKED}
     if drop_raw:
         cols["raw_message"] = F.lit(None).cast("string")
-    return df.withColumns({**cols, "metadata": meta})
+    return settle(df, **cols, metadata=meta)
 
 
 def transform(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]] = (clean, normalise, enrich)) -> DataFrame:
@@ -130,8 +132,6 @@ class Rejections(RuntimeError):
 
 def ingest(lines: DataFrame, parser="plaintext", *, dedup: str = "event_id", source: str = "unknown", default_service: str | None = None, most_rejected: float = 0.5, limit: int | None = None, check: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters) of text lines through every stage, as one lazy plan each."""
-    from .parsers import parse
-
     parsed = parse(lines, parser, source=source)
     if limit is not None:
         parsed = parsed.limit(limit)
