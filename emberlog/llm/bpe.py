@@ -33,7 +33,7 @@ from . import common
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"  # Unicode white space
 SEPARATORS = regex.compile(f"[{WHITE}]+")
 ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 3 << 16
 
 
 def byte_letters() -> list[str]:
@@ -51,7 +51,7 @@ class Vocabulary:
         model = data["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        letters = byte_letters()
+        letters = self.byte = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.end] for c in letters]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -71,6 +71,10 @@ class Vocabulary:
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.lookahead = self.sufficient_lookahead()
 
+    def letters(self, piece: str) -> str:
+        """The bytes of a pre-token as the file's letters."""
+        return "".join(map(self.byte.__getitem__, piece.encode()))
+
     def length(self, token: int) -> int:
         s = self.strings[token]
         return len(s) - len(self.end) if self.end and s.endswith(self.end) and len(s) > len(self.end) else len(s)
@@ -158,22 +162,46 @@ class Transducer:
         return v.merge(symbols)
 
 
-class Encoder(dict):
-    """Chunk without white space -> its ids as little-endian 32-bit words; a memo of bounded size."""
+def folded(chunk: str) -> str:
+    """NFC and lower case, letter by letter (sigma has no final form here)."""
+    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def __init__(self, vocabulary: Vocabulary, entries: int = MEMO_ENTRIES):
+
+class Memo(dict):
+    """Chunk without white space -> its ids as little-endian 32-bit words. Two generations of bounded size: what is
+    asked for again outlives a full generation."""
+
+    def __init__(self, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.vocabulary, self.entries = vocabulary, entries
-        self.transducer = Transducer(vocabulary)
+        self.entries, self.older = entries, {}
+
+    def compute(self, chunk: str) -> bytes:
+        raise NotImplementedError
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.compute(chunk)
+            if len(chunk) > 256:
+                return out
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        out = array("I", self._ids(chunk)).tobytes()
-        if len(chunk) <= 256:
-            self[chunk] = out
+        self[chunk] = out
         return out
 
+
+class Encoder(Memo):
+    """Chunk -> ids through the transducer."""
+
+    def __init__(self, vocabulary: Vocabulary, entries: int = MEMO_ENTRIES):
+        super().__init__(entries)
+        self.vocabulary = vocabulary
+        self.transducer = Transducer(vocabulary)
+
+    def compute(self, chunk: str) -> bytes:
+        return array("I", self._ids(chunk)).tobytes()
+
     def _ids(self, chunk: str) -> Iterator[int]:
         v, at = self.vocabulary, 0
         if "<" in chunk and v.specials:
@@ -186,9 +214,7 @@ class Encoder(dict):
     def _plain(self, chunk: str) -> Iterator[int]:
         if not chunk:
             return
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # sigma has no final form here
-        for piece in self.vocabulary.pieces.findall(chunk.lower()):
+        for piece in self.vocabulary.pieces.findall(chunk.lower() if chunk.isascii() else folded(chunk)):
             yield from self.transducer.feed(piece.encode())
             yield from self.transducer.finish()
 

@@ -15,8 +15,8 @@ equal length are broken by id, piece and checksum; repeated rows are packed each
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,44 +26,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, read_file, vocabulary
+from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, Memo, folded, read_file, vocabulary
 
 ROOM, SALTS, GROUPS = 2048, 32, 32
 
 
-class LibraryEncoder(dict):
-    """Chunk -> packed ids by the tokenizers library; unknown chunks of a slice go through it in one call."""
+class LibraryEncoder(Memo):
+    """Chunk -> packed ids by the tokenizers library's model, which takes the file's pre-tokens one by one."""
 
     def __init__(self, text: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.entries = Tokenizer.from_str(text), entries
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        v = vocabulary(text)
-        self.pretokens = lambda w: v.pieces.findall(w.lower())
-        self.ends_word = np.array([s.endswith(v.end) for s in v.strings])
-
-    def learn(self, lists: list[list[str]]) -> None:
-        wanted = set().union(*lists)
-        if len(self) + len(wanted) > self.entries:
-            self.clear()
-        fresh = [w for w in wanted if w not in self]
-        plain = [w for w in fresh if "<|" not in w]
-        for w in set(fresh).difference(plain):
-            self[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            # every pre-token ends with one word-end token, and a chunk's pre-tokens can be counted
-            count = [len(self.pretokens(w if w.isascii() else unicodedata.normalize("NFC", w))) for w in part]
-            ends = np.concatenate(([-1], np.flatnonzero(self.ends_word[ids])))[np.cumsum(count)] + 1
-            packed = ids.tobytes()
-            begin = 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self[w] = packed[4 * begin : 4 * end]
-                begin = end
+        super().__init__(entries)
+        self.vocabulary = vocabulary(text)
+        tokenizer = Tokenizer.from_str(text)
+        self.model, self.whole = tokenizer.model, tokenizer
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+
+    def compute(self, chunk: str) -> bytes:
+        if "<|" in chunk:  # may hold a special token
+            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if chunk.isascii() and chunk.isprintable():  # these bytes are the file's letters already
+            low = chunk.lower()
+            parts = (low,) if low.isalpha() else self.vocabulary.pieces.findall(low)
+        else:
+            parts = [self.vocabulary.letters(p) for p in self.vocabulary.pieces.findall(folded(chunk))]
+        return array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
 
 
 def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int = 0) -> DataFrame:
@@ -80,7 +69,6 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int
             for a, b in common.slices(texts, 1 << 20):
                 values = [t.decode() for t in texts.slice(a, b - a).to_pylist()]
                 lists = [[c for c in SEPARATORS.split(t) if c] if ONLY_PYTHON_SPACE.search(t) else t.split() for t in values]
-                memo.learn(lists)
                 who, piece, start, length, crc = [], [], [], [], []
                 for i, chunks in enumerate(lists):
                     ids = b"".join(map(memo.__getitem__, chunks)) + stop
