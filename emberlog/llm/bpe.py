@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"  # Unicode white space
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode white space
 SEPARATORS = regex.compile(f"[{WHITE}]+")
 ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
 MEMO_ENTRIES = 3 << 16
@@ -48,10 +48,12 @@ class Vocabulary:
 
     def __init__(self, text: str):
         data = json.loads(text)
+        self.text, self.library = text, None
         model = data["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         letters = self.byte = byte_letters()
+        self.unletter = {c: b for b, c in enumerate(letters)}
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.end] for c in letters]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -71,9 +73,23 @@ class Vocabulary:
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.lookahead = self.sufficient_lookahead()
 
-    def letters(self, piece: str) -> str:
+    def letters(self, piece: bytes) -> str:
         """The bytes of a pre-token as the file's letters."""
-        return "".join(map(self.byte.__getitem__, piece.encode()))
+        return "".join(map(self.byte.__getitem__, piece))
+
+    def pretokens(self, chunk: str) -> list[bytes]:
+        """Normalised pre-tokens of a chunk. Scripts beyond Latin go through the library's own normaliser and splitter,
+        as versions of Unicode differ in what counts as a letter."""
+        if chunk.isascii():
+            return [p.encode() for p in self.pieces.findall(chunk.lower())]
+        if max(chunk) <= "\u024f":
+            return [p.encode() for p in self.pieces.findall(folded(chunk))]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.text)
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.unletter.__getitem__, p)) for p, _ in parts]
 
     def length(self, token: int) -> int:
         s = self.strings[token]
@@ -163,8 +179,8 @@ class Transducer:
 
 
 def folded(chunk: str) -> str:
-    """NFC and lower case, letter by letter (sigma has no final form here)."""
-    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    """NFC and lower case of Latin letters."""
+    return unicodedata.normalize("NFC", chunk).lower()
 
 
 class Memo(dict):
@@ -214,8 +230,8 @@ class Encoder(Memo):
     def _plain(self, chunk: str) -> Iterator[int]:
         if not chunk:
             return
-        for piece in self.vocabulary.pieces.findall(chunk.lower() if chunk.isascii() else folded(chunk)):
-            yield from self.transducer.feed(piece.encode())
+        for piece in self.vocabulary.pretokens(chunk):
+            yield from self.transducer.feed(piece)
             yield from self.transducer.finish()
 
     def chunks(self, text: str) -> Iterable[str]:

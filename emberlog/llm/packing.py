@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, Memo, folded, read_file, vocabulary
+from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, Memo, read_file, vocabulary
 
 ROOM, SALTS, GROUPS = 2048, 32, 32
 
@@ -51,7 +51,7 @@ class LibraryEncoder(Memo):
             low = chunk.lower()
             parts = (low,) if low.isalpha() else self.vocabulary.pieces.findall(low)
         else:
-            parts = [self.vocabulary.letters(p) for p in self.vocabulary.pieces.findall(folded(chunk))]
+            parts = map(self.vocabulary.letters, self.vocabulary.pretokens(chunk))
         return array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
 
 
