@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # -- fixed values: spellings that mean a level, severity ranks, methods, environments, agent families ------------------
 LEVELS = ("TRACE", "DEBUG", "INFO", "NOTICE", "WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY", "UNKNOWN")
@@ -75,9 +78,9 @@ def status_class(status: Column) -> Column:
 def clean_text(raw: Column, limit: int | None = None) -> Column:
     """Escapes, control characters and odd spaces go; markers of absence become null."""
     t = F.regexp_replace(raw, r"\x1b\[[0-9;?]{0,32}[ -/]{0,8}[@-~]", "")
-    t = F.regexp_replace(t, r"[\r\n\x0b\f\u0085  ]+", " ")
+    t = F.regexp_replace(t, r"[\r\n\x0b\f\u0085\u2028\u2029]+", " ")
     t = F.regexp_replace(t, r"[\x00-\x08\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, r"[ \t  -​  　﻿]+", " ")
+    t = F.regexp_replace(t, r"[ \t\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]+", " ")
     t = F.trim(t)
     if limit:
         t = F.left(t, F.lit(limit))
@@ -86,9 +89,6 @@ def clean_text(raw: Column, limit: int | None = None) -> Column:
 
 def compose(raw: Column) -> Column:
     """NFC, which Spark has no builtin for: an Arrow UDF that only non-ASCII values reach."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
@@ -220,11 +220,6 @@ def fingerprint_fields(names: list[str]) -> Column:
 
 def blake2b_id(*parts: Column) -> Column:
     """The same parts under BLAKE2b-128 (an Arrow UDF), for ids that must agree with other writers."""
-    import hashlib
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def digest(s: pd.Series) -> pd.Series:
         return s.map(lambda v: hashlib.blake2b(v.encode(), digest_size=16).hexdigest())

@@ -41,7 +41,7 @@ def csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFra
     """Rows of a delimited file as JSON lines (value), so that the record parser takes them; surplus cells go to ``_extra``."""
     lines = spark.read.text(path)
     head = lines.limit(1).first()
-    header = (head["value"] if head else "").lstrip("﻿")
+    header = (head["value"] if head else "").lstrip("\ufeff")
     sep = delimiter or sniff(header)
     names = [h.strip().strip('"') or f"column_{i}" for i, h in enumerate(header.split(sep))]
     schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names) + ", `_extra` string"

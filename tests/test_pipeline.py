@@ -1,0 +1,205 @@
+import json
+from datetime import UTC, date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.operators import anomaly, parsers, report, search, security, stages, views
+from emberlog.schema import EVENT
+from emberlog.sources import generator, readers, writers
+from emberlog.streaming import pipeline as streaming
+
+
+@pytest.fixture(scope="module")
+def fixture_logs(spark):
+    """200 rows: every fourth, all of service api, is an error."""
+    i = F.col("id")
+    bad = i % 4 == 0
+    return spark.range(200).select(
+        i.cast("string").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + i * 30).alias("timestamp"), F.when(bad, "ERROR").otherwise("INFO").alias("level"), F.get(F.array(*map(F.lit, ("api", "auth", "payment", "search"))), (i % 4).cast("int")).alias("service"),
+        F.concat(F.lit("host-0"), (i % 3).cast("string")).alias("hostname"), F.concat(F.lit("request "), i.cast("string")).alias("message"), F.concat(F.lit("192.0.2."), (i % 50 + 1).cast("string")).alias("ip_address"), F.when(i % 2 == 1, "GET").otherwise("POST").alias("http_method"),
+        F.concat(F.lit("/api/v1/resource/"), (i % 7).cast("string")).alias("endpoint"), F.when(bad, 500).otherwise(200).cast("short").alias("status_code"), (20.0 + 5 * (i % 40)).alias("response_time_ms"), (100 + i).alias("bytes_sent"), F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("user_agent"),
+    )
+
+
+def test_views_of_the_fixture(fixture_logs):
+    o = views.overview(fixture_logs).first()
+    assert (o["records"], o["errors"], o["error_rate"], o["services"]) == (200, 50, 0.25, 4)
+    classes = {r["key"]: r["n"] for r in views.status_codes(fixture_logs).collect() if r["dimension"] == "class"}
+    assert classes == {"2xx": 150, "5xx": 50}
+    health = {r["service"]: r["status"] for r in views.services(fixture_logs, datetime(2024, 1, 1), datetime(2024, 1, 2)).collect()}
+    assert health == {"api": "unhealthy", "auth": "healthy", "payment": "healthy", "search": "healthy"}
+
+
+def test_unknown_metric_and_window(fixture_logs):
+    with pytest.raises(ValueError):
+        views.timeseries(fixture_logs, datetime(2024, 1, 1), datetime(2024, 1, 2), metrics=("nope",))
+    with pytest.raises(ValueError):
+        views.timeseries(fixture_logs, datetime(2024, 1, 1), datetime(2024, 1, 2), window="2m")
+
+
+def series(spark, values, metric="requests"):
+    return spark.createDataFrame([(metric, datetime(2024, 1, 1, i // 60, i % 60), float(v)) for i, v in enumerate(values)], "metric string, bucket timestamp, value double")
+
+
+@pytest.mark.parametrize("name, config", [("zscore", anomaly.Config(threshold=2.5)), ("moving_average", anomaly.Config(window=5)), ("iqr", anomaly.Config()), ("ewma", anomaly.Config(threshold=2.5))])
+def test_detectors_find_a_spike(spark, name, config):
+    found = anomaly.DETECTORS[name](series(spark, [10] * 20 + [300] + [10] * 5), config)
+    assert 300.0 in [r["value"] for r in found.collect()]
+
+
+@pytest.mark.parametrize("name", ["zscore", "moving_average", "iqr"])
+def test_detectors_pass_a_steady_series(spark, name):
+    assert not anomaly.DETECTORS[name](series(spark, [10 + i % 3 for i in range(40)]), anomaly.Config()).collect()
+
+
+def test_drops_count_for_volume_only(spark):
+    drop = [100] * 20 + [1] + [100] * 5
+    assert [r["type"] for r in anomaly.merged(anomaly.typed(anomaly.detect(series(spark, drop), ("zscore",)))).collect()] == ["traffic_drop"]
+    assert not anomaly.detect(series(spark, drop, "errors"), ("zscore",)).collect()
+
+
+def test_attack_is_found_and_correlated(spark):
+    rows = [(str(i), datetime(2024, 1, 1, 0, 0, i % 60), "198.51.100.9", 401, "/login", f"user{i}", "sqlmap/1") for i in range(60)] + [(str(100 + i), datetime(2024, 1, 1, 1, 0, i), "203.0.113.4", 404, f"/.env{i}", None, "x") for i in range(40)]
+    logs = spark.createDataFrame(rows, "event_id string, timestamp timestamp, ip_address string, status_code int, endpoint string, user_id string, user_agent string").withColumns({"service": F.lit("web"), "logger": F.lit(None).cast("string"), "metadata": F.lit('{"masked":"true"}')})
+    found = security.analyze(logs).collect()
+    kinds = {r["type"] for r in found}
+    assert {"brute_force", "credential_stuffing", "endpoint_scanning", "suspicious_user_agent", "secret_in_log"} <= kinds
+    assert next(r for r in found if r["type"] == "brute_force")["signals"] >= 3
+
+
+@pytest.mark.parametrize("bad", ["level=", "nope=1", "(a", "status=abc", "a=b,c>", '"open', "status!=1,2", "x" * 5000])
+def test_bad_queries_are_refused(spark, bad):
+    with pytest.raises(search.SearchError):
+        search.compile_query(bad)
+
+
+def test_empty_query_filters_nothing(fixture_logs):
+    assert search.search(fixture_logs, "  ").count() == 200
+
+
+def test_keyset_pages_cover_everything_once(fixture_logs):
+    seen, cursor = [], (None, None)
+    while rows := search.page_after(fixture_logs, *cursor, limit=60).collect():
+        seen += [r["event_id"] for r in rows]
+        cursor = (rows[-1]["timestamp"], rows[-1]["event_id"])
+    assert len(seen) == len(set(seen)) == 200
+
+
+def lines(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
+SAMPLES = {
+    "access": '203.0.114.1 - bob [01/Jan/2024:00:00:00 +0000] "GET /a%2520b?x=1 HTTP/1.1" 503 12 "-" "curl/8" 0.250',
+    "json": '{"timestamp": "2024-01-01T00:00:00Z", "level": "warn", "http": {"method": "get", "status_code": 404, "path": "/x"}, "msg": "m", "colour": "red"},',
+    "nginx_error": '2024/01/01 00:00:00 [error] 12#0: *5 upstream timed out, client: 1.2.3.4, server: api, request: "GET /x?y HTTP/1.1", host: "h"',
+    "syslog": "<34>Oct 11 22:14:15 mymachine su[12]: 'su root' failed",
+    "keyvalue": 'ts=2024-01-01T00:00:00Z level=info msg="hello world" duration=12ms',
+    "plaintext": "2024-01-01 00:00:00 ERROR [app.db] failed status=500 duration=3s",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SAMPLES))
+def test_each_format_is_detected(spark, name):
+    assert parsers.detect(lines(spark, *[SAMPLES[name]] * 4)) == name
+
+
+def test_parsed_fields(spark):
+    e = {n: parsers.parse(lines(spark, s), n).first()["event"] for n, s in SAMPLES.items()}
+    assert (e["access"]["level"], e["access"]["endpoint"], e["access"]["response_time_ms"], e["access"]["user_id"]) == ("ERROR", "/a%20b", 250.0, "bob")
+    assert (e["json"]["status_code"], e["json"]["http_method"], e["json"]["level"], e["json"]["metadata"]["colour"]) == (404, "GET", "WARNING", "red")
+    assert (e["nginx_error"]["ip_address"], e["nginx_error"]["endpoint"], e["nginx_error"]["level"]) == ("1.2.3.4", "/x", "ERROR")
+    assert (e["syslog"]["level"], e["syslog"]["hostname"], e["syslog"]["service"]) == ("CRITICAL", "mymachine", "su")
+    assert (e["keyvalue"]["message"], e["keyvalue"]["response_time_ms"]) == ("hello world", 12.0)
+    assert (e["plaintext"]["level"], e["plaintext"]["logger"], e["plaintext"]["status_code"], e["plaintext"]["response_time_ms"]) == ("ERROR", "app.db", 500, 3000.0)
+
+
+def test_unsafe_patterns_are_refused():
+    for bad in ("(a+)+", ".*.*x", "x" * 3000):
+        with pytest.raises(ValueError):
+            parsers.safe_pattern(bad)
+
+
+def test_ingest_masks_rejects_and_deduplicates(spark):
+    good = '{"timestamp": "2024-01-01T00:00:00Z", "level": "info", "service": "Pay_API", "message": "password=hunter2 for a@b.io"}'
+    ok, dead = stages.ingest(lines(spark, *[good] * 10, "{broken", '{"level": "info", "message": "no time"}'), "json")
+    rows = ok.collect()
+    assert len(rows) == 1 and ok.columns == EVENT.names
+    r = rows[0]
+    assert "hunter2" not in str(r) and "a@b.io" not in str(r) and r["service"] == "pay-api" and json.loads(r["metadata"])["masked"] == "true"
+    assert {x["reason"]: x["n"] for x in writers.rejection_counts(dead).collect()} == {"unparseable": 1, "missing_timestamp": 1}
+    with pytest.raises(stages.Rejections):
+        stages.ingest(lines(spark, "{a", "{b", good), "json", check=True)
+
+
+def test_dedup_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([("1", None), ("2", None), ("3", "x"), ("4", "x")], "event_id string, message string")
+    assert [r[0] for r in stages.deduplicate(df, "content_hash", order=("event_id",)).orderBy("event_id").select("event_id").collect()] == ["1", "2", "3"]
+    assert stages.deduplicate(df, "none").count() == 4
+
+
+def test_storage_round_trip(spark, tmp_path):
+    ok, dead = stages.ingest(generator.lines(spark, 400, "json").select("value"), "json")
+    ok = ok.persist()
+    root, n = str(tmp_path / "events"), ok.count()
+    writers.write_events(ok, root, run="r1")
+    writers.write_events(ok, root, run="r1")
+    assert readers.events(spark, root).count() == n == writers.count_rows(spark, root)
+    day = date(2024, 1, 1)
+    assert list(writers.day_partitions(spark, root)) == [day]
+    pruned = readers.events(spark, root, "2024-02-01", "2024-02-02")
+    assert pruned.count() == 0 and "PartitionFilters: [isnotnull" in pruned._jdf.queryExecution().toString()
+    assert writers.compact(spark, root, day) == 1
+    assert readers.events(spark, root).count() == n
+    assert writers.expire(spark, root, 10, today=date(2024, 3, 1)) and writers.day_partitions(spark, root)
+    writers.expire(spark, root, 10, today=date(2024, 3, 1), dry_run=False)
+    assert not writers.day_partitions(spark, root)
+    writers.write_dead_letters(dead, str(tmp_path / "dead"))
+    assert readers.dead_letters(spark, str(tmp_path / "dead")).count() == dead.count() > 0
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time;level;msg\n2024-01-01 00:00:00;warn;hi\n2024-01-01 00:00:01;info;ho\n")
+    assert readers.sniff("a\tb\tc") == "\t"
+    got = parsers.parse(readers.csv(spark, str(tmp_path / "a.csv")), "json").select("event.level", "event.message").collect()
+    assert sorted(tuple(r) for r in got) == [("INFO", "ho"), ("WARNING", "hi")]
+    (tmp_path / "b.json").write_text('[{"msg": "x"}, {"msg": "y"}, 3]')
+    assert readers.for_target(spark, str(tmp_path / "b.json")).count() == 3
+    (tmp_path / "c.log").write_text("one\n\ntwo\n")
+    assert readers.text(spark, str(tmp_path / "c.log")).count() == 2
+    assert readers.directory(spark, str(tmp_path)).count() > 4
+    assert readers.redact_url("https://u:p@h.example/x?token=abc&a=1") == "https://h.example/x?token=***&a=1"
+    for bad in ("ftp://x", "http://127.0.0.1/", "http://10.0.0.1/x"):
+        with pytest.raises(ValueError):
+            readers.allowed_url(bad)
+    with pytest.raises(ValueError):
+        readers.identifier("a; drop table b")
+    assert readers.dig({"a": {"b": [1, {"c": 2}]}}, "a.b.1.c") == 2
+
+
+def test_generator_is_seeded(spark):
+    a, b, c = (generator.lines(spark, 50, "access", seed=s).orderBy("n").collect() for s in (1, 1, 2))
+    assert a == b != c
+    assert parsers.detect(generator.lines(spark, 50, "access").select("value")) == "access"
+
+
+def test_stream_is_idempotent_and_deduplicated(spark, tmp_path):
+    inbox, root, dead = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "dead")
+    inbox.mkdir()
+    line = '{"timestamp": "2024-01-01T00:00:%02dZ", "level": "info", "message": "m%d", "status": 200}'
+    (inbox / "1.txt").write_text("\n".join([line % (i, i) for i in range(25)] + [line % (1, 1)] * 7 + ["garbage"]))
+    q = streaming.start(streaming.text_stream(spark, str(inbox)), root, dead, str(tmp_path / "cp"), available_now=True)
+    q.awaitTermination()
+    assert readers.events(spark, root).count() == 25
+    assert readers.dead_letters(spark, dead).count() == 1
+    assert streaming.snapshot(q)["running"] is False
+    live = streaming.live_window(readers.events(spark, root), "5 minutes", "5 minutes").collect()
+    assert live[0]["events"] == 25 and live[0]["errors"] == 0
+
+
+def test_reports_render(fixture_logs, tmp_path):
+    r = report.build(fixture_logs.withColumns({"logger": F.lit("x"), "metadata": F.lit(None).cast("string")}), datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 2, tzinfo=UTC))
+    assert json.loads(report.to_json(r))["sections"]["overview"][0]["records"] == 200
+    assert "| records |" in report.to_markdown(r) and "<table>" in report.to_html(r)
+    assert json.load(open(report.save(r, str(tmp_path / "r.json"))))["name"] == "Log report"
