@@ -8,6 +8,7 @@ tests), so results survive lost executors and are visible to every one of them.
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import os
 import tempfile
@@ -26,6 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeps_columns(stage):
+    """For a pipeline stage: columns beyond those of documents ride along in one struct, whatever their names are."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        columns = docs.columns
+        extra = [c for c in columns if c not in DOCUMENT]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        packed = docs.select(*[c for c in columns if c in DOCUMENT], F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_packed"))
+        out = stage(spark, packed, sf_dir)
+        return out.select(*[F.col(c) if c in DOCUMENT else F.col("_packed").getField(c).alias(c) for c in columns])
+
+    return run
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage; a temporary one only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)

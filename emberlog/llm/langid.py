@@ -206,6 +206,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lang").alias("language"), F.round("_confidence", 6).alias("confidence"), F.col("_declared").alias("declared"), F.col("_text_lang").alias("text_language"), F.col("_kept").alias("kept"))
 
 
+@common.keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents without a language that can be told go; lang stays as it was."""
     cols = docs.columns

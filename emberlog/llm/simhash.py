@@ -182,6 +182,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(components(rows), "_fp").select("doc_id", hexed(F.col("_fp")).alias("fingerprint"), "component_id")
 
 
+@common.keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the row with the smallest doc_id of each group of near copies stays.
 

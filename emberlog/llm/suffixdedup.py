@@ -93,6 +93,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+@common.keeps_columns
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: every document stays, without the bytes that repeat earlier ones.
 
