@@ -129,8 +129,8 @@ def events(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
 
 
 def dead_letters(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    rows = spark.read.schema("raw string, reason string, stage string, source string, rejected_at timestamp, _corrupt_record string").option("mode", "PERMISSIVE").json(root)
-    rows = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = spark.read.schema("raw string, reason string, stage string, source string, rejected_at timestamp").option("mode", "PERMISSIVE").json(root)
+    rows = rows.where("reason IS NOT NULL")  # broken lines have none
     return rows.where(F.col("rejected_at") >= F.lit(since).cast("timestamp")) if since else rows
 
 
