@@ -83,7 +83,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> dict[int, Forest
     """A forest for each vector length, from at most ``sample`` rows (smallest hash of the id first)."""
     rows = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()
     counts = {r["d"]: r["n"] for r in rows}
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    got = common.smallest(vectors.select("vec_id", "v"), sample, "vec_id").select("v").collect()
     found = {}
     for d, n in counts.items():
         x = np.array([r["v"] for r in got if len(r["v"]) == d], float)

@@ -70,7 +70,7 @@ class Model:
 
 def fit(texts: DataFrame, sample: int = SAMPLE) -> Model:
     """texts: text, language (null ones don't count). At most ``sample`` rows (smallest hash of the text first)."""
-    few = texts.where("text IS NOT NULL AND language IS NOT NULL").orderBy(F.xxhash64("text"), "language").limit(sample)
+    few = common.smallest(texts.where("text IS NOT NULL AND language IS NOT NULL").select("text", "language"), sample, "text", "language")
     schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("counts", T.BinaryType())])
 
     def run(batch: pa.RecordBatch):

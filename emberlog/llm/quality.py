@@ -181,7 +181,7 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality", samp
     labelled: columns text and label (0 rejects, 1 keeps; null labels are ignored).
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = rows.orderBy(F.xxhash64("text", "label")).limit(sample)
+    rows = common.smallest(rows, sample, "text", "label")
     stats = with_statistics(rows).select("label", *[c.alias(n) for n, c in features(F.col("stats")).items()])
     got = stats.collect()
     if not got:
@@ -211,7 +211,7 @@ def base_failed(stats: Column) -> Column:
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> DataFrame:
     """Texts of at most ``bound`` labelled ids; that many ids are small enough to broadcast."""
-    ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = common.smallest(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")), bound, "doc_id")
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality")
 
 

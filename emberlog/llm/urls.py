@@ -133,7 +133,7 @@ def _score(tree, row) -> float:
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Model:
     """labelled: url, blocked (boolean). At most ``sample`` rows are used (smallest hash of the url first)."""
     feats = lexical(F.col("url"))
-    few = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").orderBy(F.xxhash64("url"), "url", "blocked").limit(sample)
+    few = common.smallest(labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked"), sample, "url", "blocked")
     got = few.select(F.col("blocked"), suffix(host_and_path(F.col("url"))[0]).alias("suffix"), *[c.alias(n) for n, c in feats.items()]).collect()
     y = [1.0 if r["blocked"] else 0.0 for r in got]
     if not y or not 0 < sum(y) < len(y):
