@@ -135,3 +135,10 @@ def test_pipeline_end_to_end(spark, sf):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert len(corpus_pipeline.run(spark, sf).collect()) == len(last)
+
+
+def test_bounded_sample_is_the_rows_of_smallest_hash(spark):
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    want = [r["k"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(10).collect()]
+    assert [r["k"] for r in common.smallest(rows, 10, "k").collect()] == want
+    assert common.smallest(rows.limit(5), 10, "k").count() == 5
