@@ -1,7 +1,10 @@
 """Embedding near-duplicates (1): a random-projection tree forest.
 
-A bounded sample fits the trees: every node projects on a random direction and splits at the
-median, points within ``spill`` of the split going to both sides. Each row is then sent to all its
+A bounded sample fits the trees: every node projects on random directions and splits one at its
+median, points within a margin of the split going to both sides. The margin follows from the
+threshold: a pair at the threshold, and the links that the sample has in the node, may be split
+with the small chance that leaves ``recall`` over all levels and trees. A node where that sends more than ``most_spill`` of its rows to both
+sides, in every direction tried, is dense and stays a leaf. Each row is then sent to all its
 leaves in every tree, leaves are compared by cosine in double precision, and links are joined into
 components. A pair is counted in the first leaf that it shares, which both rows' leaf lists
 tell, so link counts are exact sums over leaves and no pair ever leaves a task: a leaf
@@ -28,28 +31,70 @@ from pyspark.sql import types as T
 
 from . import common
 
-THRESHOLD, TREES, LEAF, SPILL, SAMPLE, MOST = 0.9, 8, 256, 0.15, 20_000, 2048
+THRESHOLD, TREES, LEAF, RECALL, MOST_SPILL, TRIED, SAMPLE, MOST = 0.9, 8, 256, 0.999, 0.3, 8, 20_000, 2048
+
+
+def _split_chance(u: np.ndarray) -> np.ndarray:
+    """E max(|z| - u, 0) of a standard normal z."""
+    tail = np.array([math.erfc(k / math.sqrt(2)) for k in u])
+    return 2 * np.exp(-u * u / 2) / math.sqrt(2 * math.pi) - u * tail
+
+
+_WIDTHS = np.linspace(0, 4, 401)
+_CHANCES = _split_chance(_WIDTHS)
 
 
 class Forest:
-    """Trees for vectors of one length. Nodes are numbered as in a heap; leaves are numbered over all trees."""
+    """Trees for vectors of one length. Nodes are numbered as in a heap; leaves are numbered over all trees.
 
-    def __init__(self, x: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 11):
+    A node that isn't split sends all its rows to the left, down to the last level: its cut is infinite.
+    """
+
+    def __init__(self, x: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, most_spill: float = MOST_SPILL, threshold: float = THRESHOLD, seed: int = 11):
         rng = np.random.default_rng(seed)
         need = max(0, math.ceil(math.log2(max(rows, 1) / leaf))) if rows > leaf else 0
         self.depth = min(need, max(0, int(math.log2(max(len(x), 1) / 16))))
         self.trees, self.nodes = trees, (1 << self.depth) - 1
-        self.direction = rng.standard_normal((trees, self.nodes, x.shape[1]))
-        self.direction /= np.linalg.norm(self.direction, axis=2, keepdims=True)
-        self.cut, self.margin = np.zeros((trees, self.nodes)), np.zeros((trees, self.nodes))
+        self.loss = 1 - (1 - (1 - recall) ** (1 / trees)) ** (1 / max(self.depth, 1))
+        self.most_spill, self.threshold = most_spill, threshold
+        self.direction = np.zeros((trees, self.nodes, x.shape[1]))
+        self.cut, self.margin = np.full((trees, self.nodes), np.inf), np.zeros((trees, self.nodes))
         for t in range(trees):
             inside = {0: np.arange(len(x))}
             for node in range(self.nodes):
-                at = inside.pop(node)
-                p = x[at] @ self.direction[t, node]
-                if len(p):
-                    self.cut[t, node], self.margin[t, node] = np.median(p), spill * p.std()
-                inside[2 * node + 1], inside[2 * node + 2] = at[p <= self.cut[t, node]], at[p > self.cut[t, node]]
+                at = inside.pop(node, None)
+                if at is None or not len(at):
+                    continue
+                found = self._split(x[at], rng)
+                if found is None:
+                    continue
+                self.direction[t, node], self.cut[t, node], self.margin[t, node], p = found
+                p = p - self.cut[t, node]
+                inside[2 * node + 1], inside[2 * node + 2] = at[p <= self.margin[t, node]], at[p >= -self.margin[t, node]]
+
+    def _split(self, x: np.ndarray, rng: np.random.Generator):
+        """(direction, cut, margin, projections) of the direction that sends the fewest rows to both sides; None in a dense node."""
+        some = x if len(x) <= 256 else x[rng.choice(len(x), 256, replace=False)]
+        i, j = np.nonzero(np.triu(some @ some.T >= self.threshold, 1))
+        if len(i) > 5000:
+            few = rng.choice(len(i), 5000, replace=False)
+            i, j = i[few], j[few]
+        direction = rng.standard_normal((TRIED, x.shape[1]))
+        direction /= np.linalg.norm(direction, axis=1, keepdims=True)
+        p, q = x @ direction.T, some @ direction.T
+        step = math.sqrt(max(2 - 2 * self.threshold, 1e-12) / x.shape[1])  # how far a pair at the threshold lies apart on a direction
+        for part in ((0.5,), (0.25, 0.75)):  # off the median only where a dense group lies on it
+            for cut in np.quantile(p, part, axis=0):
+                away = np.abs(p - cut)
+                near = np.maximum((away <= step).mean(axis=0) / 2, 1e-12)  # rows a step, at the cut
+                margin = step / 2 * np.interp(-self.loss / near, -_CHANCES, _WIDTHS)
+                if len(i):
+                    margin = np.maximum(margin, np.quantile(np.minimum(cut - np.minimum(q[i], q[j]), np.maximum(q[i], q[j]) - cut), 1 - self.loss, axis=0))
+                spilled = (away <= margin).mean(axis=0)
+                best = int(np.argmin(spilled))
+                if spilled[best] <= self.most_spill * min(1, 4 * part[0] * (1 - part[0])):
+                    return direction[best], cut[best], margin[best], p[:, best]
+        return None
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for all leaves of all trees."""
@@ -120,12 +165,26 @@ def placed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
 
 
 def _compare(x: np.ndarray, y: np.ndarray, every_x: list, every_y: list, leaf: int, threshold: float):
-    """(i, j) of linked pairs of x and y rows whose first common leaf is this one, in blocks of rows."""
+    """(i, j) of linked pairs of x and y rows whose first common leaf is this one, in blocks of rows.
+
+    Rows with equal leaves are taken together: what shares an earlier leaf with a whole block was compared there.
+    """
+    order = np.array(sorted(range(len(x)), key=every_x.__getitem__), np.int64)
+    held = np.repeat(np.arange(len(y)), [len(e) // 4 for e in every_y])
+    holds = np.frombuffer(b"".join(every_y), "<i4")
     for at in range(0, len(x), 512):
-        i, j = np.nonzero(x[at : at + 512] @ y.T >= threshold)
+        block = order[at : at + 512]
+        names, times = np.unique(np.frombuffer(b"".join([every_x[k] for k in block]), "<i4"), return_counts=True)
+        names = names[(times == len(block)) & (names < leaf)]
+        new = np.ones(len(y), bool)
+        new[held[np.isin(holds, names)]] = False
+        new = np.flatnonzero(new)
+        if not len(new):
+            continue
+        i, j = np.nonzero(x[block] @ y[new].T >= threshold)
         if not len(i):
             continue
-        i += at
+        i, j = block[i], new[j]
         us, vs = np.unique(i), np.unique(j)
         flat = [np.frombuffer(every_x[u], "<i4") for u in us], [np.frombuffer(every_y[v], "<i4") for v in vs]
         known = np.unique(np.concatenate([*flat[0], *flat[1]]))
@@ -193,7 +252,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options)
     """vec_id, n_links, component_id, kept for each vector of (vec_id, embedding)."""
     every = common.cut(_clean(vectors))
     good = every.where("v IS NOT NULL")
-    rows = common.cut(placed(good, fit(good, **options)))
+    rows = common.cut(placed(good, fit(good, threshold=threshold, **options)))
     found = common.cut(links(rows, threshold).groupBy("vec_id", "root").agg(F.sum("n").alias("n")))
     common.drop(rows)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))

@@ -120,3 +120,28 @@ def test_odd_vectors(spark, table_dir):
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[10] == (2, 1, False) and got[None] == (0, None, True)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)) and len(got) == 11
     assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_forest_keeps_links_of_loose_groups_in_deep_trees():
+    """Recall at depth 10, where a third of 300,000 rows is one loose group: over its pairs and over isolated pairs near the threshold."""
+    rng = np.random.default_rng(5)
+    for sigma in (0.2, 0.3, 0.34):
+        x = rng.standard_normal((20_000, 64))
+        x[:6600] = rng.standard_normal(64) + sigma * rng.standard_normal((6600, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = embeddings.Forest(x, 300_000)
+        assert forest.depth == 10
+
+        def held(v, forest=forest):
+            row, leaf = forest.leaves(v)
+            out = np.zeros((len(v), forest.trees << forest.depth), np.float32)
+            out[row, leaf] = 1
+            return out
+
+        a = held(x[:1000])
+        linked = brute_links(x[:1000])
+        assert ((a @ a.T > 0) & linked).sum() >= 0.99 * linked.sum()
+        y, z = x[7000:8000], rng.standard_normal((1000, 64))
+        z -= (z * y).sum(1, keepdims=True) * y
+        z = 0.91 * y + (1 - 0.91**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+        assert (held(y) * held(z)).any(1).mean() >= 0.99
