@@ -25,14 +25,12 @@ RULES = {
     "phone": (r"(?<![\w.])\+?\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\w.])", ""),
 }
 DEFAULT_RULES = ("authorization_header", "sensitive_kv", "jwt", "vendor_key", "private_key_block", "email")
-LONGEST = 65536
 # ------------------------------------------------------------------------------------------------------------------------
 
 
 def mask_text(text: Column, rules=DEFAULT_RULES) -> Column:
-    """Every rule's matches replaced, in the order of RULES; longer texts than LONGEST are cut first."""
-    cut = F.when(F.length(text) > LONGEST, F.left(text, F.lit(LONGEST))).otherwise(text)
-    return reduce(lambda t, name: F.regexp_replace(t, RULES[name][0], RULES[name][1] + REDACTED.replace("$", "\\$")), [n for n in RULES if n in rules], cut)
+    """Every rule's matches replaced, in the order of RULES, over the whole text."""
+    return reduce(lambda t, name: F.regexp_replace(t, RULES[name][0], RULES[name][1] + REDACTED.replace("$", "\\$")), [n for n in RULES if n in rules], text)
 
 
 def contains_sensitive(text: Column, rules=DEFAULT_RULES) -> Column:

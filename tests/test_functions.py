@@ -81,6 +81,11 @@ def test_masking(spark):
     assert out == {"token": masking.REDACTED, "note": masking.REDACTED, "n": "1"}
 
 
+def test_masking_of_whole_texts(spark):
+    head = "word " * 20_000
+    assert each(spark, masking.mask_text, [head + "mail a.b@example.com now, then the end"]) == [head + "mail ***REDACTED*** now, then the end"]
+
+
 def test_fingerprints_mark_nulls(spark):
     df = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
     a, b = [r[0] for r in df.select(scalars.fingerprint(F.col("x"), F.col("y"))).collect()]
