@@ -128,15 +128,22 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def smallest(df: DataFrame, most: int, *keys: str) -> DataFrame:
-    """The ``most`` rows with the smallest hashes of keys (ties by the keys), as a bounded sample.
+    """The ``most`` distinct keys with the smallest hashes (ties by the keys), one row each, as a bounded sample.
 
-    On large tables rows above a cutoff, which about 4 * most rows pass, are left out before the ordered limit;
-    else every task would send ``most`` rows to one.
+    Rows above a cutoff are left out before the ordered limit; else every task would send ``most`` rows to one. The
+    cutoff is the least power of two under which there are ``most`` distinct hashes, all of them if there are fewer.
     """
-    n = df.count()
-    if n > 4 * most:
-        df = df.where(F.xxhash64(*keys) < F.lit(int(-(1 << 63) + (1 << 64) * (4 * most / n))))
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(most)
+    least = -(1 << 63)
+    h = F.xxhash64(*keys)
+    width = F.length(F.bin(h.bitwiseXOR(F.lit(least))))  # bits of the hash as a distance from the least long
+    found = {r["width"]: r["n"] for r in df.select(h.alias("h")).distinct().groupBy(F.length(F.bin(F.col("h").bitwiseXOR(F.lit(least)))).alias("width")).agg(F.count("*").alias("n")).collect()}
+    held = 0
+    for w in sorted(found):
+        held += found[w]
+        if held >= most:
+            df = df.where(width <= w)
+            break
+    return df.dropDuplicates(list(keys)).orderBy(F.xxhash64(*keys), *keys).limit(most)
 
 
 def table_bytes(docs: DataFrame, column: str = "text") -> int:

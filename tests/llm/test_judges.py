@@ -142,3 +142,13 @@ def test_bounded_sample_is_the_rows_of_smallest_hash(spark):
     want = [r["k"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(10).collect()]
     assert [r["k"] for r in common.smallest(rows, 10, "k").collect()] == want
     assert common.smallest(rows.limit(5), 10, "k").count() == 5
+
+
+def test_bounded_sample_of_copies(spark):
+    """Copies neither empty the sample nor fill it: every distinct key counts once."""
+    for k in range(6):
+        few = spark.range(20_000).select(F.concat(F.lit(f"text {k} "), (F.col("id") % 2).cast("string")).alias("k"))
+        assert sorted(r["k"] for r in common.smallest(few, 50, "k").collect()) == [f"text {k} 0", f"text {k} 1"]
+    mixed = spark.range(20_000).select(F.when(F.col("id") < 19_000, F.col("id") % 3).otherwise(F.col("id")).cast("string").alias("k"))
+    want = [r["k"] for r in mixed.distinct().orderBy(F.xxhash64("k"), "k").limit(50).collect()]
+    assert [r["k"] for r in common.smallest(mixed, 50, "k").collect()] == want
