@@ -164,12 +164,12 @@ def candidate_links(distinct: DataFrame, bits: int = BITS, segments: int = SEGME
 
 
 def components(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """rows (doc_id, _fp) -> (_fp, component_id) for every distinct fingerprint."""
+    """rows (doc_id, _fp) -> (_fp, _root, component_id) for every distinct fingerprint; _root is the least fingerprint of the component."""
     distinct = common.cut(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
     roots = common.connected_components(candidate_links(distinct.select("_fp"), bits))
     named = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("component", "_fp").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return named.join(least, "_root").select("_fp", "component_id")
+    return named.join(least, "_root").select("_fp", "_root", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -186,12 +186,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the row with the smallest doc_id of each group of near copies stays.
 
-    Of several rows with that id one stays (smallest row hash); a group without any id keeps one
-    row of each fingerprint.
+    Of several rows with that id in the group one stays (smallest row hash); null ids come after all
+    others, so a group without any id keeps one row too.
     """
     cols = docs.columns
     named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64(*cols))
     rows = common.cut(fingerprints(named, keep=["doc_id", "_id", "_row"]))
     known = rows.join(components(rows.select("doc_id", "_fp")), "_fp")
-    lead = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_id", F.when(F.col("doc_id").isNull(), F.col("_fp")).alias("_group")).agg(F.min("_row").alias("_row"))
-    return named.join(lead.select("_id", "_row"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*cols)
+    lead = known.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "_id", "_row")).alias("_lead"))
+    return named.join(lead.select("_lead._id", "_lead._row"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*cols)

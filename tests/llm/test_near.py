@@ -79,6 +79,18 @@ def test_simhash_stage_keeps_one_row_of_each_group(spark, docs_of):
     assert simhash.stage(spark, df.where("false"), "").count() == 0
 
 
+def test_simhash_stage_groups_by_component(spark, docs_of):
+    """A repeated id with another text stays; near copies without ids leave one."""
+    base = [f"w{i}" for i in range(400)]
+    near = " ".join([*base[:399], "other"])
+    text, unlike = " ".join(base), " ".join(f"v{i}" for i in range(50))
+    assert brute_fingerprint(text) != brute_fingerprint(near) and (brute_fingerprint(text) ^ brute_fingerprint(near)).bit_count() <= 4
+    out = simhash.stage(spark, docs_of((1, text), (1, unlike), (2, near)), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(1, text), (1, unlike)])
+    out = simhash.stage(spark, docs_of((None, text), (None, near), (None, unlike)), "").collect()
+    assert len(out) == 2 and unlike in [r["text"] for r in out]
+
+
 def brute_links(x, threshold=0.9):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T >= threshold
