@@ -58,8 +58,23 @@ def runs_of(who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return who[turn], at[turn], at[end]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with ``_kept`` (the bytes that stay), ``_bytes``, ``_removed`` and ``_runs`` (counts)."""
+_NEED = np.zeros(256, np.int64)  # bytes of the character that each first byte announces
+_NEED[:0x80], _NEED[0xC2:0xE0], _NEED[0xE0:0xF0], _NEED[0xF0:0xF5] = 1, 2, 3, 4
+
+
+def widened(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone with all bytes of the UTF-8 characters that it cuts apart; bytes outside of characters stand alone."""
+    at = np.arange(len(data))
+    first = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, at, 0))
+    starts = np.flatnonzero((first == at) | (at - first >= _NEED[data[first]]))
+    return np.repeat(np.logical_or.reduceat(gone, starts), np.diff(np.append(starts, len(data))))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
+    """docs with ``_kept`` (the bytes that stay), ``_bytes``, ``_removed`` and ``_runs`` (counts).
+
+    With ``characters``, what stays of characters that a span cuts apart is not in ``_kept``.
+    """
     rows = keyed(docs)
     joined = with_marks(rows, answers(rows.select("_id", "_hash", "_more", "text"), Units(length, gram, by_words=False), resolver(length), by_document=False))
     fields = [f for f in joined.schema.fields if f.name != "_marks"]
@@ -78,7 +93,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 runs.append(0)
                 continue
             gone = covered(spans, length, len(text))
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+            data = np.frombuffer(text, np.uint8)
+            kept.append(data[~(widened(data, gone) if characters and gone.any() else gone)].tobytes())
             removed.append(int(gone.sum()))
             runs.append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
         arrays = [*[batch.column(i) for i in others], pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (size, removed, runs)]]
@@ -100,14 +116,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Characters that a removed span cuts apart go too; null texts stay null; n_chars follows the text.
     """
     cols = docs.columns
-    out = without_repeats(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.when(F.col("_removed") == 0, F.col("text")).otherwise(_clean("_kept")))
+    out = without_repeats(docs, characters=True)
+    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.when(F.col("_removed") == 0, F.col("text")).otherwise(F.col("_kept").cast("string")))
     out = out.withColumn("text", text)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*cols)
-
-
-def _clean(column: str):
-    """Bytes as text; broken characters at cuts go."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(column).cast("string")), "\\uFFFD", "")

@@ -135,3 +135,15 @@ def test_components(spark):
             a, b = sorted((find(u), find(v)))
             root[b] = a
     assert got == {n: find(n) for n in root}
+
+
+def test_suffix_stage_leaves_replacement_characters(spark, docs_of):
+    """Only characters that a removed span cuts apart go; U+FFFD of the source stays."""
+    passage = " ".join(f"word{i}" for i in range(40))
+    out = suffixdedup.stage(spark, docs_of((1, "first " + passage), (2, "a \ufffd b \u00e9 " + passage + " c \ufffd d")), "").collect()
+    text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out}[2]
+    assert text == ("a \ufffd b \u00e9 c \ufffd d", len("a \ufffd b \u00e9 c \ufffd d"))
+    data = np.frombuffer("\u00e9x\u20acy\ufffd".encode() + b"\x80z", np.uint8)
+    for cut, want in (([1], "x\u20acy\ufffd"), ([4], "\u00e9xy\ufffd"), ([2, 3], "\u00e9y\ufffd"), ([6], "\u00e9x\u20ac\ufffd")):
+        gone = np.isin(np.arange(len(data)), cut)
+        assert data[~suffixdedup.widened(data, gone)].tobytes() == want.encode() + b"\x80z"
