@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import functools
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -152,18 +153,21 @@ def table_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(got["n"] or 0) if got else 0
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each made of aggregates and equi-joins over
-    distributed edges and written to the scratch folder. Nodes are longs; self links and null
+    distributed edges and written to the scratch folder, until the edges are stable; a bound of
+    ``most_rounds`` that is hit before is an error. Nodes are longs; self links and null
     ends are ignored. An empty edge table gives an empty result.
     """
     spark = edges.sparkSession
     state = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
     state = cut(state)
     mark = _mark(state)
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"components are not stable after {most_rounds} rounds")
         both = state.select(F.col("hi").alias("n"), F.col("lo").alias("b")).unionAll(state.select(F.col("lo").alias("n"), F.col("hi").alias("b")))
         least = both.groupBy("n").agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
         large = both.join(least, "n").where("b > n").select(F.col("b").alias("hi"), F.col("m").alias("lo")).distinct()

@@ -147,3 +147,10 @@ def test_suffix_stage_leaves_replacement_characters(spark, docs_of):
     for cut, want in (([1], "x\u20acy\ufffd"), ([4], "\u00e9xy\ufffd"), ([2, 3], "\u00e9y\ufffd"), ([6], "\u00e9x\u20ac\ufffd")):
         gone = np.isin(np.arange(len(data)), cut)
         assert data[~suffixdedup.widened(data, gone)].tobytes() == want.encode() + b"\x80z"
+
+
+def test_components_say_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        common.connected_components(edges, most_rounds=1)
+    assert {r["component"] for r in common.connected_components(edges).collect()} == {0}
