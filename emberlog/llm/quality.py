@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .textstats import grams, mix, slices_of, sums, word_hashes, words
+from .textstats import numbered, slices_of, sums, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bang")
 STATS_TYPE = T.StructType([T.StructField(n, T.LongType(), False) for n in STATS])
@@ -31,13 +31,15 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """For each key, whether it occurs twice or more."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    hit = np.zeros(len(keys), bool)
-    hit[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+def _repeated(*keys: np.ndarray) -> np.ndarray:
+    """For each row of the key columns, whether it occurs twice or more."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    hit = np.zeros(len(order), bool)
+    if len(order):
+        same = np.ones(len(order) - 1, bool)
+        for k in keys:
+            same &= k[order][1:] == k[order][:-1]
+        hit[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
     return hit
 
 
@@ -46,18 +48,17 @@ def statistics(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     n = len(offs) - 1
     starts, ends, per = words(raw, offs)
     text_of = np.repeat(np.arange(n), per)
-    salt = mix(np.arange(1, n + 1).astype(np.uint64))
     lead = (raw & 0xC0) != 0x80  # first bytes of code points
     space = np.isin(raw, np.frombuffer(common.WORD_SPACE, np.uint8))
     chars = sums(lead & ~space, offs)
-    # repeated 5-word windows: equal hashes within one text
-    h = word_hashes(raw, starts, ends)
-    g = grams(h, WINDOW)
+    # 5-word windows found twice or more in their text, compared word by word
+    h = numbered(raw, starts, ends)
     repeat = np.zeros(n, np.int64)
-    if len(g):
-        inside = text_of[: len(g)] == text_of[WINDOW - 1 :]
-        at = np.flatnonzero(inside)
-        hit = _repeated(g[at] ^ salt[text_of[at]])
+    if len(h) >= WINDOW:
+        at = np.flatnonzero(text_of[: len(h) - WINDOW + 1] == text_of[WINDOW - 1 :])
+        for j in (0, WINDOW - 2):  # a window repeats only if its first and its last two words do; a slice's numbers fit
+            at = at[_repeated((h[at + j] * len(h) + h[at + j + 1]) * n + text_of[at])]
+        hit = _repeated(*[h[at + j] for j in range(WINDOW)], text_of[at])
         step = np.zeros(len(h) + 1, np.int64)
         np.add.at(step, at[hit], 1)
         np.add.at(step, at[hit] + WINDOW, -1)
@@ -74,7 +75,7 @@ def statistics(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         full = (first_word < len(starts)) & (starts[np.minimum(first_word, len(starts) - 1)] < line_end)
         line_start, line_end = line_start[full], line_end[full]
         doc = np.searchsorted(offs, line_start, side="right") - 1
-        keys = word_hashes(raw, line_start, line_end) ^ salt[doc]
+        keys = numbered(raw, line_start, line_end) * n + doc
         _, first = np.unique(keys, return_index=True)
         again = np.ones(len(keys), bool)
         again[first] = False

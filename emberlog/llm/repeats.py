@@ -9,17 +9,22 @@ stand. The plan:
             windows cover, and its digest (Arrow, numpy; no text is sent anywhere);
 2. meet     anchors are dealt by hash in packed rows. Equal regions are one content: its later
             places repeat its first one. Anchors with two contents or more are open;
-3. fetch    the first places of open contents are cut out of their texts, dealt by anchor;
-4. resolve  per anchor, the operator's own method decides which windows of the distinct
+3. fetch    the first places of open contents are cut out of their texts, dealt by anchor, a hot
+            anchor's in blocks of about MOST_CONTENTS;
+4. resolve  per anchor (and block), the operator's own method decides which windows of the distinct
             contents repeat something earlier;
-5. apply    marked windows return to their texts.
-
-No step holds more than a bounded slice of rows, pairs of copies are never made, and a hot
-anchor is pre-aggregated before it is dealt (one place of each content for each slice).
-
-A text is known by two 64-bit hashes. Copies of a whole text are answered by that text's row with
-the least id: rows with larger ids repeat it throughout. Places are ordered by id, then by the text's
-hash (rows that share an id but not a text), then by position; null ids come last.
+5. merge    windows that the blocks of a hot anchor leave unmarked meet by digest, as in 2;
+6. apply    marked windows return to their texts.
+
+No step holds more than a bounded slice of rows, pairs of copies are never made, and contents
+are pre-aggregated before they are dealt (one place of each content for each slice). Anchors that
+a bounded sample finds in many texts are hot from the start: their contents are dealt by content.
+That only chooses how rows travel; every window meets its equals either way.
+
+Contents are equal where 128 bits of BLAKE2b are; a text is known by 128 bits of SHA-256. Copies of a
+whole text are answered by that text's row with the least id: rows with larger ids repeat it
+throughout. Places are ordered by id, then by the text's hash (rows that share an id but not a
+text), then by position; null ids come last.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .textstats import grams, mix, powers, prefix, slices_of, word_hashes, words
+from .textstats import digests, grams, mix, prefix, single_spaced, slices_of, word_hashes, words
 
 NO_ID = (1 << 63) - 1
 KEY = [T.StructField(n, T.LongType(), False) for n in ("_id", "_hash", "_more")]
@@ -42,7 +47,7 @@ KEY = [T.StructField(n, T.LongType(), False) for n in ("_id", "_hash", "_more")]
 
 @dataclass(frozen=True)
 class Scan:
-    """For each run of windows with one anchor: its text, first and last window (in units), anchor hash, region digest."""
+    """For each run of windows with one anchor: its text, first and last window (in units), anchor hash, region digest (two columns)."""
 
     text: np.ndarray
     first: np.ndarray
@@ -52,13 +57,14 @@ class Scan:
 
 
 def nothing() -> Scan:
-    return Scan(*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
+    return Scan(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """_id, _hash and _more: a row's identity, also where doc_id or text is null."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_hash", F.xxhash64(text)).withColumn("_more", F.xxhash64(F.lit("more"), text))
+    half = lambda at: F.conv(F.substring("_sha", at, 16), 16, -10).cast("long")
+    out = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return out.withColumn("_hash", half(1)).withColumn("_more", half(17)).drop("_sha")
 
 
 def _runs(g: np.ndarray, start_of: np.ndarray, text: np.ndarray, window: int, k: int) -> Scan:
@@ -77,7 +83,7 @@ def _runs(g: np.ndarray, start_of: np.ndarray, text: np.ndarray, window: int, k:
         return nothing()
     turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start_of[1:] != start_of[:-1] + 1) | (text[1:] != text[:-1]))))
     end = np.concatenate((turn[1:], [len(at)])) - 1
-    return Scan(text[turn], start_of[turn], start_of[end], g[at[turn]], np.zeros(0, np.uint64))
+    return Scan(text[turn], start_of[turn], start_of[end], g[at[turn]], np.zeros((0, 2), np.uint64))
 
 
 def _window_starts(per: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +101,7 @@ def scan_bytes(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
         return nothing()
     s, down = prefix(raw)
     got = _runs(mix((s[k:] - s[:-k]) * down[: len(raw) - k + 1]), start, text, window, k)
-    s, down = prefix(raw, second=True)
-    end = got.last + window
-    return replace(got, digest=mix((s[end] - s[got.first]) * down[got.first] + (end - got.first).astype(np.uint64)))
+    return replace(got, digest=digests(raw.tobytes(), got.first, got.last + window))
 
 
 def scan_words(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
@@ -108,11 +112,9 @@ def scan_words(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
         return nothing()
     h = word_hashes(raw, starts, ends)
     got = _runs(grams(h, k), start, text, window, k)
-    up, down = powers(len(h), second=True)
-    s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
-    end = got.last + window
+    line, begin, end = single_spaced(raw, starts, ends)
     first = np.cumsum(per) - per
-    got = replace(got, digest=mix((s[end] - s[got.first]) * down[got.first] + (end - got.first).astype(np.uint64)))
+    got = replace(got, digest=digests(line, begin[got.first], end[got.last + window - 1]))
     return replace(got, first=got.first - first[got.text], last=got.last - first[got.text])
 
 
@@ -178,6 +180,14 @@ class Units:
     def content(self, units, a: int, b: int) -> bytes:
         return b" ".join(units[a:b]) if self.by_words else units[a:b]
 
+    def windows(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the content, start in units, digest) of every window of contents that ``content`` gave."""
+        raw = np.frombuffer(b"".join(contents), np.uint8)
+        offs = np.concatenate(([0], np.cumsum(np.fromiter(map(len, contents), np.int64, len(contents)))))
+        begin, end, per = words(raw, offs) if self.by_words else (np.arange(len(raw)), np.arange(1, len(raw) + 1), np.diff(offs))
+        text, at = _window_starts(per, self.window)
+        return text, at - (np.cumsum(per) - per)[text], digests(raw.tobytes(), begin[at], end[at + self.window - 1])
+
 
 def buckets(docs: DataFrame, each: int = 24 << 20) -> int:
     """Packed rows are dealt to so many buckets: about ``each`` bytes of text stand behind one."""
@@ -186,10 +196,11 @@ def buckets(docs: DataFrame, each: int = 24 << 20) -> int:
 
 PARTS = ("docs", "per", "anchor", "digest", "first", "size")
 KINDS = dict(zip(PARTS, ("<i8", "<u4", "<u8", "<u8", "<u4", "u1"), strict=True))
-PACKED = T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("known", T.BooleanType(), False), *[T.StructField(n, T.BinaryType()) for n in PARTS]])
+PACKED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("known", T.BooleanType()), *[T.StructField(n, T.BinaryType()) for n in PARTS]])
 MET = T.StructType([*KEY, T.StructField("marks", T.BinaryType()), T.StructField("wanted", T.BinaryType())])
 MARK = np.dtype([("first", "<u4"), ("last", "<u4")])
-WANT = np.dtype([("first", "<u4"), ("last", "<u4"), ("anchor", "<u8")])
+WANT = np.dtype([("first", "<u4"), ("last", "<u4"), ("anchor", "<u8"), ("blocks", "<u4")])
+MOST_CONTENTS = 1000  # contents of an anchor that are resolved together
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -208,7 +219,7 @@ def _first_of_group(group: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(group, np.diff(np.concatenate((group, [n]))))
 
 
-def _pack(bucket: int, known: bool, key: np.ndarray, got: Scan) -> tuple:
+def _row(bucket: int, known: bool, key: np.ndarray, got: Scan) -> tuple:
     """One packed row: the texts' keys, entries of each, and the entries in columns."""
     turn = _groups(got.text)
     per = np.diff(np.concatenate((turn, [len(got.text)]))).astype("<u4")
@@ -220,49 +231,37 @@ def _take(got: Scan, at: np.ndarray) -> Scan:
     return Scan(*(getattr(got, f)[at] for f in ("text", "first", "last", "anchor", "digest")))
 
 
-def met_anchors(docs: DataFrame, units: Units, by_document: bool) -> DataFrame:
-    """(_id, _hash, _more, marks, wanted): windows that repeat for sure, and regions of open anchors."""
-    n_buckets = buckets(docs)
-
-    def pack(parts: list[Scan], key: np.ndarray):
-        """Scans of some texts of a batch -> packed rows. Of a content met twice here only the first place is dealt by anchor."""
-        got = _joined(parts)
-        content = mix(got.anchor) + got.digest
-        ids, hashes = key[got.text, 0], key[got.text, 1]
-        order = np.lexsort((got.first, hashes, ids, content))
-        lead = order[_first_of_group(_groups(content[order]), len(order))]
-        later = lead != order
-        if by_document:
-            later &= ids[order] > ids[lead]
-        known, open_ = np.sort(order[later]), np.sort(order[~later])
-        for is_known, rows in ((True, known), (False, open_)):
-            if len(rows):
-                to = (mix(hashes[rows].astype(np.uint64)) if is_known else got.anchor[rows]) % np.uint64(n_buckets)
-                by = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[by], np.arange(n_buckets + 1).astype(np.uint64))
-                for b in range(n_buckets):
-                    if edge[b] < edge[b + 1]:
-                        yield _pack(b, is_known, key, _take(got, rows[by[edge[b] : edge[b + 1]]]))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * len(PARTS)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=PACKED.names)
+def packed_rows(got: Scan, key: np.ndarray, n_buckets: int, by_document: bool, hot: np.ndarray) -> list[tuple]:
+    """Packed rows of some scans. Of a content met twice here only the first place is dealt by anchor (by content, if it's hot)."""
+    ids, hashes = key[got.text, 0], key[got.text, 1]
+    one, two = got.digest[:, 0], got.digest[:, 1]
+    order = np.lexsort((got.first, hashes, ids, two, one))
+    lead = order[_first_of_group(_groups(one[order], two[order]), len(order))]
+    later = lead != order
+    if by_document:
+        later &= ids[order] > ids[lead]
+    out = []
+    for known, rows in ((True, np.sort(order[later])), (False, np.sort(order[~later]))):
+        if not len(rows):
+            continue
+        to = mix(hashes[rows].astype(np.uint64)) if known else np.where(np.isin(got.anchor[rows], hot), one[rows], got.anchor[rows])
+        to = (to % np.uint64(n_buckets)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        turn = _groups(to[by])
+        for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True):
+            out.append(_row(int(to[by[x]]), known, key, _take(got, rows[by[x:y]])))
+    return out
 
-    def scan(batch: pa.RecordBatch):
-        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
-        order = np.lexsort((key[:, 0], key[:, 2], key[:, 1]))
-        once = np.sort(order[_groups(key[order, 1], key[order, 2])])  # of copies of a text the least id
-        key, texts = key[once], batch.column(3).take(pa.array(once))
-        parts, held = [], 0
-        for a, _, raw, offs in slices_of(texts):
-            got = units.scan(raw, offs)
-            parts.append(replace(got, text=got.text + a))
-            held += len(got.text)
-            if held > 250_000:
-                yield batch_of(list(pack(parts, key)))
-                parts, held = [], 0
-        if held:
-            yield batch_of(list(pack(parts, key)))
+
+def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * len(PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=PACKED.names)
+
+
+def meeting(by_document: bool, hot: dict[int, int]):
+    """The function of one bucket of packed rows: sure marks, and wanted regions of open anchors. hot: blocks of the hot anchors."""
+    hot_anchors = np.array(sorted(hot), np.uint64)
+    hot_blocks = np.array([hot[a] for a in sorted(hot)], np.int64)
 
     def meet(rows: pa.Table) -> pa.Table:
         flag = rows.column("known").to_numpy(zero_copy_only=False)
@@ -272,69 +271,138 @@ def met_anchors(docs: DataFrame, units: Units, by_document: bool) -> DataFrame:
             at = np.flatnonzero(flag == known)
             out = {n: np.frombuffer(b"".join(col[n][i] or b"" for i in at), KINDS[n]) for n in PARTS}
             out["key"] = np.repeat(out.pop("docs").reshape(-1, 3), out.pop("per"), axis=0)
+            out["digest"] = out["digest"].reshape(-1, 2)
             return out
 
         o, k = read(False), read(True)
-        content = mix(o["anchor"]) + o["digest"]
-        place = mix((o["key"][:, 1] ^ (o["key"][:, 2] << 1)).astype(np.uint64) + o["first"])
-        order = np.lexsort((o["key"][:, 0], place, content))
-        order = order[_groups(content[order], place[order])]  # copies of a text: the least id
-        ids, hashes = o["key"][order, 0], o["key"][order, 1]
-        order = order[np.lexsort((o["first"][order], hashes, ids, content[order], o["anchor"][order]))]
-        c, anchor, ids = content[order], o["anchor"][order], o["key"][order, 0]
-        groups = _groups(c)
+        one, two, anchor = o["digest"][:, 0], o["digest"][:, 1], o["anchor"]
+        order = np.lexsort((o["key"][:, 0], o["first"], o["key"][:, 2], o["key"][:, 1], two, one))
+        order = order[_groups(one[order], two[order], o["key"][order, 1], o["key"][order, 2], o["first"][order])]  # copies of a text: the least id
+        order = order[np.lexsort((o["first"][order], o["key"][order, 1], o["key"][order, 0], two[order], one[order], anchor[order]))]
+        ids = o["key"][order, 0]
+        groups = _groups(anchor[order], one[order], two[order])
         lead = _first_of_group(groups, len(order))
         later = ids > ids[lead] if by_document else lead != np.arange(len(order))
-        by_anchor = _groups(anchor)
-        contents = np.diff(np.concatenate((np.searchsorted(groups, by_anchor), [len(groups)]))) if len(order) else np.zeros(0, int)
-        is_open = np.repeat(contents > 1, np.diff(np.concatenate((by_anchor, [len(order)])))) if len(order) else np.zeros(0, bool)
+        by_anchor = _groups(anchor[order])
+        contents = np.diff(np.concatenate((np.searchsorted(groups, by_anchor), [len(groups)])))
+        blocks = np.repeat(-(-contents // MOST_CONTENTS) * (contents > 1), np.diff(np.concatenate((by_anchor, [len(order)]))))
+        if len(hot_anchors) and len(order):
+            at = np.minimum(np.searchsorted(hot_anchors, anchor[order]), len(hot_anchors) - 1)
+            blocks = np.where(hot_anchors[at] == anchor[order], hot_blocks[at], blocks)
         out: dict[tuple, list] = {}
 
-        def put(column: int, kind: np.dtype, key: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray | None) -> None:
+        def put(column: int, kind: np.dtype, key: np.ndarray, first: np.ndarray, size: np.ndarray, **more: np.ndarray) -> None:
             by = np.lexsort((first, key[:, 2], key[:, 1], key[:, 0]))
             entry = np.empty(len(by), kind)
             entry["first"], entry["last"] = first[by], first[by].astype(np.int64) + size[by]
-            if anchor is not None:
-                entry["anchor"] = anchor[by]
+            for name, values in more.items():
+                entry[name] = values[by]
             key = key[by]
             turn = _groups(key[:, 0], key[:, 1], key[:, 2])
             for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True) if len(by) else ():
                 out.setdefault(tuple(key[x].tolist()), [None, None])[column] = entry[x:y].tobytes()
 
         mark = order[later]
-        put(0, MARK, np.concatenate((o["key"][mark], k["key"])), np.concatenate((o["first"][mark], k["first"])), np.concatenate((o["size"][mark], k["size"])), None)
-        want = order[is_open & ~later]
-        put(1, WANT, o["key"][want], o["first"][want], o["size"][want], o["anchor"][want])
+        put(0, MARK, np.concatenate((o["key"][mark], k["key"])), np.concatenate((o["first"][mark], k["first"])), np.concatenate((o["size"][mark], k["size"])))
+        pick = (blocks > 0) & ~later
+        want = order[pick]
+        put(1, WANT, o["key"][want], o["first"][want], o["size"][want], anchor=anchor[want], blocks=blocks[pick])
         keys = np.array(list(out), np.int64).reshape(-1, 3)
         return pa.table([*(pa.array(keys[:, i]) for i in range(3)), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1))], names=MET.names)
 
-    packed = common.arrow_map(docs.select("_id", "_hash", "_more", "text"), scan, PACKED)
+    return meet
+
+
+def scanned(units: Units):
+    """An Arrow function: of copies of a text in a batch the least id, in slices (key, scan) of bounded size."""
+
+    def scan(batch: pa.RecordBatch):
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+        order = np.lexsort((key[:, 0], key[:, 2], key[:, 1]))
+        once = np.sort(order[_groups(key[order, 1], key[order, 2])])
+        key, texts = key[once], batch.column(3).take(pa.array(once))
+        parts, held = [], 0
+        for a, _, raw, offs in slices_of(texts):
+            got = units.scan(raw, offs)
+            parts.append(replace(got, text=got.text + a))
+            held += len(got.text)
+            if held > 250_000:
+                yield key, _joined(parts)
+                parts, held = [], 0
+        if held:
+            yield key, _joined(parts)
+
+    return scan
+
+
+SAMPLE, SHARE, MOST_HOT = 8000, 1 / 500, 1000
+
+
+def hot_anchors(docs: DataFrame, units: Units) -> dict[int, int]:
+    """Anchors of many texts, with the blocks to deal their contents in, by a sample of about SAMPLE texts of at most 1 MB.
+
+    Only the way of these anchors' rows depends on it, never a result.
+    """
+    total = docs.agg(F.count("*").alias("n")).first()["n"]
+    some = docs.select("_id", "_hash", "_more", "text").where(F.octet_length("text") <= 1 << 20).sample(fraction=min(1.0, SAMPLE / max(total, 1)), seed=5)
+    scan = scanned(units)
+
+    def anchors(batch: pa.RecordBatch):
+        for key, got in scan(batch):
+            pair = np.stack((got.text.astype(np.uint64), got.anchor), 1)
+            found, texts = np.unique(np.unique(pair, axis=0)[:, 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(texts)], names=["anchor", "texts"])
+
+    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("texts", T.LongType())])
+    counts = common.arrow_map(some, anchors, schema).groupBy("anchor").agg(F.sum("texts").alias("texts"))
+    top = counts.where(F.col("texts") >= max(16, int(min(total, SAMPLE) * SHARE))).orderBy(F.desc("texts"), "anchor").limit(MOST_HOT).collect()
+    scale = max(1.0, total / SAMPLE)
+    return {r["anchor"] % (1 << 64): max(2, -(-int(r["texts"] * scale) // MOST_CONTENTS)) for r in top}
+
+
+def met_anchors(docs: DataFrame, units: Units, by_document: bool) -> DataFrame:
+    """(_id, _hash, _more, marks, wanted): windows that repeat for sure, and regions of open anchors."""
+    texts = docs.select("_id", "_hash", "_more", "text")
+    n_buckets, hot, scan = buckets(docs), hot_anchors(texts, units), scanned(units)
+    names = np.array(sorted(hot), np.uint64)
+
+    def pack(batch: pa.RecordBatch):
+        for key, got in scan(batch):
+            yield packed_batch(packed_rows(got, key, n_buckets, by_document, names))
+
+    return met(common.arrow_map(texts, pack, PACKED), by_document, hot)
+
+
+def met(packed: DataFrame, by_document: bool, hot: dict[int, int]) -> DataFrame:
+    meet = meeting(by_document, hot)
     return packed.groupBy("bucket").applyInArrow(lambda t: meet(t), MET)
 
 
-REGION = T.StructType([T.StructField("anchor", T.LongType(), False), *KEY, T.StructField("first", T.LongType(), False), T.StructField("content", T.BinaryType(), False)])
+REGION = T.StructType([*[T.StructField(n, T.LongType(), False) for n in ("anchor", "block", "blocks")], *KEY, T.StructField("first", T.LongType(), False), T.StructField("content", T.BinaryType(), False)])
 
 
 def regions(docs: DataFrame, met: DataFrame, units: Units) -> DataFrame:
-    """The wanted regions, cut out of their texts."""
+    """The wanted regions, cut out of their texts; those of a hot anchor with the block they fall in."""
     wanted = met.where("wanted IS NOT NULL").groupBy("_id", "_hash", "_more").agg(F.collect_list("wanted").alias("wanted"))
 
     def fetch(batch: pa.RecordBatch):
-        key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
         texts, packed = common.binary(batch.column(3)), batch.column(4).to_pylist()
         who, entries, contents, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            e, w = np.concatenate(entries), np.array(who)
-            return pa.RecordBatch.from_arrays([pa.array(e["anchor"].view(np.int64)), *(pa.array(k[w]) for k in key), pa.array(e["first"].astype(np.int64)), pa.array(contents, pa.binary())], names=REGION.names)
+            e, k = np.concatenate(entries), key[np.array(who)]
+            blocks = e["blocks"].astype(np.int64)
+            block = (mix(k[:, 1].astype(np.uint64) + e["first"]) % blocks.astype(np.uint64)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(e["anchor"].astype(np.int64)), pa.array(block), pa.array(blocks), *(pa.array(k[:, i]) for i in range(3)), pa.array(e["first"].astype(np.int64)), pa.array(contents, pa.binary())], names=REGION.names)
 
         for i in range(batch.num_rows):
             text = units.units(texts[i].as_py())
             e = np.frombuffer(b"".join(packed[i]), WANT)
-            e = np.ascontiguousarray(e[np.argsort(e["first"], kind="stable")])
-            entries.append(np.array([tuple(x) for x in e.tolist()], WANT))
+            e = e[np.argsort(e["first"], kind="stable")]
+            entries.append(e)
             who.extend([i] * len(e))
-            for first, last, _ in e.tolist():
+            for first, last in zip(e["first"].tolist(), e["last"].tolist(), strict=True):
                 contents.append(units.content(text, first, last + units.window))
                 held += len(contents[-1])
             if held > 4 << 20:
@@ -350,29 +418,49 @@ def regions(docs: DataFrame, met: DataFrame, units: Units) -> DataFrame:
 #: resolve(contents, ids, hashes, firsts) -> (index of the content, first window, last window): one entry for each run of
 #: windows that repeats something earlier than the content's place (id, hash, first)
 Resolve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-SOLVED = T.StructType([*KEY, T.StructField("marks", T.BinaryType())])
-
-
-def resolved(rows: DataFrame, resolve: Resolve, most: int = 2 << 20) -> DataFrame:
-    """(_id, _hash, _more, marks) of the regions' windows that repeat something earlier."""
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor")
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t.column(i).to_numpy() for i in (1, 2, 3)], 1)
-        first = t.column(4).to_numpy()
-        who, a, b = resolve(t.column(5).to_pylist(), key[:, 0], key[:, 1], first)
-        mark = np.empty(len(who), MARK)
-        mark["first"], mark["last"] = first[who] + a, first[who] + b
-        key = key[who]
-        by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-        key, mark = key[by], mark[by]
-        turn = _groups(*key.T)
-        packed = [mark[x:y].tobytes() for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True)] if len(by) else []
-        return pa.RecordBatch.from_arrays([*(pa.array(key[turn, i]) for i in range(3)), pa.array(packed, pa.binary())], names=SOLVED.names)
+SOLVED = T.StructType([*[T.StructField(f.name, f.dataType) for f in KEY], T.StructField("marks", T.BinaryType()), *PACKED.fields])
+
+
+def resolved(rows: DataFrame, units: Units, resolve: Resolve, by_document: bool, n_buckets: int, most: int = 2 << 20) -> DataFrame:
+    """Marks of the regions' windows that repeat something earlier, and packed rows of what hot anchors' blocks leave unmarked.
+
+    An anchor's block holds about MOST_CONTENTS contents, so what is held grows with ``most`` and that number only.
+    """
+    rows = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+    names, n_key = SOLVED.names, len(KEY)
+
+    def solve(t: pa.Table):
+        key = np.stack([t.column(n).to_numpy() for n in ("_id", "_hash", "_more")], 1)
+        first, contents = t.column("first").to_numpy(), t.column("content").to_pylist()
+        who, a, b = resolve(contents, key[:, 0], key[:, 1], first)
+        if len(who):
+            mark = np.empty(len(who), MARK)
+            mark["first"], mark["last"] = first[who] + a, first[who] + b
+            by = np.lexsort(key[who].T[::-1])
+            mark, k = mark[by], key[who[by]]
+            turn = _groups(*k.T)
+            packed = [mark[x:y].tobytes() for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(by)], strict=True)]
+            nothing_else = [pa.nulls(len(turn), kind) for kind in (pa.int64(), pa.bool_(), *[pa.binary()] * len(PARTS))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[turn, i]) for i in range(n_key)), pa.array(packed, pa.binary()), *nothing_else], names=names)
+        hot = np.flatnonzero(t.column("blocks").to_numpy() > 1)
+        if len(hot):
+            text, at, digest = units.windows([contents[i] for i in hot])
+            gone = {}
+            for c, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True):
+                gone.setdefault(c, []).append((x, y))
+            left = np.ones(len(at), bool)
+            begin = np.searchsorted(text, np.arange(len(hot)))
+            for n, c in enumerate(hot.tolist()):
+                for x, y in gone.get(c, ()):
+                    left[begin[n] + x : begin[n] + y + 1] = False
+            text, at, digest = text[left], at[left], digest[left]
+            got = Scan(hot[text], first[hot[text]] + at, first[hot[text]] + at, digest[:, 0], digest)
+            batch = packed_batch(packed_rows(got, key, n_buckets, by_document, np.zeros(0, np.uint64)))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(batch), pa.int64())] * n_key, pa.nulls(len(batch), pa.binary()), *batch.columns], names=names)
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:  # sorted by anchor: all but the last anchor are complete
+        for batch in batches:  # sorted: all but the last block are complete
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 held.append(part)
@@ -380,14 +468,16 @@ def resolved(rows: DataFrame, resolve: Resolve, most: int = 2 << 20) -> DataFram
                 if size < most:
                     continue
                 t = pa.Table.from_batches(held)
-                anchors = t.column(0).to_numpy()
-                to = int(np.searchsorted(anchors, anchors[-1], side="left"))
+                anchor, block = t.column("anchor").to_numpy(), t.column("block").to_numpy()
+                to = len(t) - int(np.argmax(((anchor != anchor[-1]) | (block != block[-1]))[::-1]))
+                if anchor[0] == anchor[-1] and block[0] == block[-1]:
+                    to = 0
                 if to:
-                    yield solve(t.slice(0, to))
+                    yield from solve(t.slice(0, to))
                 held = t.slice(to).to_batches()
                 size = sum(b.nbytes for b in held)
         if held and sum(b.num_rows for b in held):
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, SOLVED)
 
@@ -395,14 +485,16 @@ def resolved(rows: DataFrame, resolve: Resolve, most: int = 2 << 20) -> DataFram
 def answers(docs: DataFrame, units: Units, resolve: Resolve, by_document: bool) -> DataFrame:
     """(_hash, _more, _least, marks) of every distinct text: its least id and that row's packed marks."""
     spark = docs.sparkSession
-    met = common.cut(met_anchors(docs, units, by_document))
+    found = common.cut(met_anchors(docs, units, by_document))
     common.release(spark)
-    solved = common.cut(resolved(regions(docs, met, units), resolve))
+    solved = common.cut(resolved(regions(docs, found, units), units, resolve, by_document, 8 * buckets(docs)))
     common.release(spark)
-    marks = met.where("marks IS NOT NULL").select(*SOLVED.names).unionAll(solved)
+    merged = met(solved.where("bucket IS NOT NULL").select(*PACKED.names), by_document, {})
+    marks = [df.where("marks IS NOT NULL").select(*[f.name for f in KEY], "marks") for df in (found, solved, merged)]
     texts = docs.groupBy("_hash", "_more").agg(F.min("_id").alias("_least"))
-    found = texts.withColumnRenamed("_least", "_id").join(marks, ["_id", "_hash", "_more"]).groupBy("_hash", "_more").agg(F.collect_list("marks").alias("marks"))
-    return common.cut(texts.join(found, ["_hash", "_more"], "left"))
+    every = marks[0].unionAll(marks[1]).unionAll(marks[2])
+    packed = texts.withColumnRenamed("_least", "_id").join(every, ["_id", "_hash", "_more"]).groupBy("_hash", "_more").agg(F.collect_list("marks").alias("marks"))
+    return common.cut(texts.join(packed, ["_hash", "_more"], "left"))
 
 
 def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,34 +1,37 @@
 """Vectorised byte-level text primitives: words, their hashes and positions, for many texts at once.
 
 All arithmetic is modulo 2**64 on numpy arrays over the concatenated texts of a slice of rows;
-a zero byte follows each text, so nothing spans two of them (texts keep their own zero bytes:
-boundaries come from offsets, never from content).
+boundaries come from offsets, never from content. Polynomial hashes (``prefix``, ``word_hashes``,
+``grams``) can be made to collide, so they only choose candidates: equality is decided by
+``numbered`` (the words or lines themselves) or by ``digests`` (128 bits of BLAKE2b).
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-OTHER = 0xC2B2AE3D27D4EB4F  # for hashes that must not depend on those of BASE
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i up to n, kept between calls up to 4M entries."""
-    base = OTHER if second else BASE
-    have = _POWERS.get(base)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i up to n, kept between calls up to 4M entries."""
+    have = _POWERS[0] if _POWERS else None
     if have is None or len(have[0]) < n + 1:
         size = max(n + 1, 1 << 18)
-        a, b = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        a, b = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         a[0] = b[0] = 1
         have = (np.multiply.accumulate(a), np.multiply.accumulate(b))
         if size <= 1 << 22:
-            _POWERS[base] = have
+            _POWERS[:] = [have]
     return have[0][: n + 1], have[1][: n + 1]
 
 
@@ -50,9 +53,9 @@ def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def prefix(raw: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(S, inverse powers): the hash of raw[i:j] is (S[j] - S[i]) * inverse[i]."""
-    up, down = powers(len(raw), second)
+    up, down = powers(len(raw))
     s = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=s[1:])
     return s, down
@@ -71,7 +74,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each word; equal words, equal hashes."""
+    """One 64-bit hash for each word; equal words have equal hashes, the reverse can fail."""
     s, down = prefix(raw)
     return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
@@ -88,6 +91,29 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit BLAKE2b digest of each data[start:end], as two columns of 64 bits."""
+    got = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(got, "<u8").reshape(-1, 2)
+
+
+def numbered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each raw[start:end]: equal numbers exactly where the bytes are equal."""
+    data, number = raw.tobytes(), defaultdict(itertools.count().__next__)
+    return np.fromiter([number[data[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64, len(starts))
+
+
+def single_spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words one after another with one space behind each, and where each starts and ends there."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - size - 1
+    line = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    letter = np.ones(len(line), bool)
+    letter[to + size] = False
+    line[letter] = raw[~SPACE[raw]]
+    return line.tobytes(), to, to + size
+
+
 def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of values over each range offs[i]:offs[i+1] (empty ranges give 0)."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

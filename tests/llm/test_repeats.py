@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import bwt, common, substring, suffixdedup
+from emberlog.llm import bwt, common, quality, repeats, substring, suffixdedup
 
 LAST = 1 << 63
 
@@ -19,11 +19,9 @@ def order(rows):
 
 
 def brute_bytes(rows, length=100):
-    from xxhash import xxh64_intdigest
-
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    halves = lambda t: [int.from_bytes(hashlib.sha256(t.encode()).digest()[a : a + 8], "big", signed=True) for a in (0, 8)]
     seen, out = set(), {}
-    for i, t in sorted({(LAST if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], signed(xxh64_intdigest(r[1].encode(), 42)))):
+    for i, t in sorted({(LAST if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], halves(r[1]))):
         b = t.encode()
         gone = np.zeros(len(b) + 1, int)
         for k in range(len(b) - length + 1):
@@ -154,3 +152,64 @@ def test_components_say_when_rounds_run_out(spark):
     with pytest.raises(RuntimeError):
         common.connected_components(edges, most_rounds=1)
     assert {r["component"] for r in common.connected_components(edges).collect()} == {0}
+
+
+def thue_morse(swap=False):
+    """1,024 letters; this text and its swapped one collide under every odd base modulo 2**64."""
+    return "".join("aq"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+def test_colliding_words_and_lines_are_different(spark, docs_of, table_dir):
+    a, b = thue_morse(), thue_morse(True)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a}\n{b}\n"), (4, f"{a} x y z t {b} x y z t"), (5, f"{a} {tail}")]
+    docs = docs_of(*rows)
+    stats = {r["doc_id"]: r["stats"] for r in quality.with_statistics(docs).collect()}
+    assert stats[3]["n_dup_lines"] == 0 and stats[4]["n_repeat_words"] == 0
+    out = {r["doc_id"]: r["n_removed"] for r in substring.op8_substring_dedup(spark, table_dir(documents=docs)).collect()}
+    assert out == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    got = {r["doc_id"]: (r["_removed"], r["_runs"]) for r in suffixdedup.without_repeats(docs).collect()}
+    assert got == {i: want[1:3] for (i, _), want in brute_bytes(rows).items()}
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_hot_anchor_with_many_surroundings(spark, docs_of, table_dir, monkeypatch, listed):
+    """One line in 2,300 texts whose surroundings differ or repeat now and then: more contents than a block takes."""
+    rnd = random.Random(9)
+    line = " ".join(f"common{i}" for i in range(9)) + " aaa"
+    side = lambda: " ".join(rnd.choice(("red", "green", "blue", "grey")) + str(rnd.randint(0, 9)) for _ in range(10))
+    sides = [side() for _ in range(200)]
+    pick = lambda: rnd.choice(sides) if rnd.random() < 0.3 else side()
+    rows = [(i, f"{pick()} {line} {pick()}") for i in range(2300)]
+    if not listed:
+        monkeypatch.setattr(repeats, "hot_anchors", lambda *_: {})
+    docs = docs_of(*rows)
+    want = brute_bytes(rows)
+    out = suffixdedup.without_repeats(docs).select("doc_id", "text", "_bytes", "_removed", "_runs", F.sha2("_kept", 256)).collect()
+    assert [tuple(r)[2:] for r in out if tuple(r)[2:] != want[(r[0], r[1])]] == [] and len(out) == len(rows)
+    got = substring.op8_substring_dedup(spark, table_dir(documents=docs)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {i: v for (i, _), v in brute_words(rows).items()}
+
+
+def test_hot_anchors_are_found(docs_of):
+    rnd = random.Random(3)
+    line = "one line that many of the texts of this table hold, whatever stands around it, again and again"
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(120)) + line * (i % 2) + "".join(rnd.choice("abcdefgh ") for _ in range(90))) for i in range(120)]
+    assert repeats.hot_anchors(repeats.keyed(docs_of(*rows)), repeats.Units(100, 24, by_words=False))
+    assert not repeats.hot_anchors(repeats.keyed(docs_of(*rows[::2])), repeats.Units(100, 24, by_words=False))
+
+
+def test_very_long_texts(spark, docs_of, table_dir):
+    """Texts above the piece sizes (4 MiB of bytes, 16 MiB of words): a repeat across the border is found, others are not."""
+    rnd = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    body = letters[rnd.integers(0, 16, 5_000_000)].tobytes().decode()
+    passage = body[(1 << 22) - 150 : (1 << 22) + 150]
+    rows = [(1, body), (2, "Z" + passage + "Y"), (3, "unrelated " * 3)]
+    out = {r["doc_id"]: (r["_bytes"], r["_removed"], r["_runs"]) for r in suffixdedup.without_repeats(docs_of(*rows)).collect()}
+    assert out == {1: (5_000_000, 0, 0), 2: (302, 300, 1), 3: (30, 0, 0)}
+    words = [f"{n:06x}" for n in rnd.integers(0, 1 << 24, 2_500_000)]
+    border = words[(1 << 20) - 20 : (1 << 20) + 20]
+    docs = docs_of((1, " ".join(words)), (2, " ".join(border)), (3, " ".join(words[-13:])))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.op8_substring_dedup(spark, table_dir(documents=docs)).collect()}
+    assert got == {1: (2_500_000, 0), 2: (40, 40), 3: (13, 13)}
