@@ -28,13 +28,48 @@ DEFAULT_RULES = ("authorization_header", "sensitive_kv", "jwt", "vendor_key", "p
 # ------------------------------------------------------------------------------------------------------------------------
 
 
-def mask_text(text: Column, rules=DEFAULT_RULES) -> Column:
-    """Every rule's matches replaced, in the order of RULES, over the whole text."""
-    return reduce(lambda t, name: F.regexp_replace(t, RULES[name][0], RULES[name][1] + REDACTED.replace("$", "\\$")), [n for n in RULES if n in rules], text)
+#: what a text must hold for a rule to match: literal pieces, any of them (rules of digits alone have none)
+HINTS = {
+    "authorization_header": (":", "="),
+    "sensitive_kv": (":", "="),
+    "jwt": ("eyJ",),
+    "vendor_key": ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "AIza"),
+    "private_key_block": ("PRIVATE KEY-----",),
+    "email": ("@",),
+}
+
+
+def _known(rules) -> list[str]:
+    """The named rules in the order of RULES; an unknown name is an error."""
+    if unknown := sorted(set(rules) - set(RULES)):
+        raise ValueError(f"unknown masking rules: {', '.join(unknown)}")
+    return [n for n in RULES if n in rules]
+
+
+def _hinted(text: Column, names: list[str]) -> Column:
+    """Whether any of the rules can match, by plain substring search."""
+    if any(n not in HINTS for n in names):
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in dict.fromkeys(h for n in names for h in HINTS[n])])
+
+
+def mask_text(text: Column, rules=DEFAULT_RULES, most: int | None = None) -> Column:
+    """Every rule's matches replaced, in the order of RULES, over the whole text.
+
+    With ``most``, only so many characters are masked and shown, followed by a mark that counts the rest.
+    """
+    names = _known(rules)
+    if not names:
+        return text
+    if most is not None:
+        rest = F.length(text) - most
+        return F.concat(mask_text(F.left(text, F.lit(most)), rules), F.when(rest > 0, F.concat(F.lit("...[truncated "), rest.cast("string"), F.lit(" chars]"))).otherwise(""))
+    masked = reduce(lambda t, name: F.regexp_replace(t, RULES[name][0], RULES[name][1] + REDACTED.replace("$", "\\$")), names, text)
+    return F.when(_hinted(text, names), masked).otherwise(text)
 
 
 def contains_sensitive(text: Column, rules=DEFAULT_RULES) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, [text.rlike(RULES[n][0]) for n in rules]), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, [_hinted(text, [n]) & text.rlike(RULES[n][0]) for n in _known(rules)]), F.lit(False))
 
 
 def mask_map(values: Column, rules=DEFAULT_RULES, extra: tuple[str, ...] = ()) -> Column:

@@ -75,16 +75,24 @@ def status_class(status: Column) -> Column:
     return F.concat(F.floor(status / 100).cast("string"), F.lit("xx"))
 
 
-def clean_text(raw: Column, limit: int | None = None) -> Column:
-    """Escapes, control characters and odd spaces go; markers of absence become null."""
+def scrub(raw: Column, limit: int | None = None) -> Column:
+    """Escapes, control characters and odd spaces go; most texts hold none and are only trimmed."""
     t = F.regexp_replace(raw, r"\x1b\[[0-9;?]{0,32}[ -/]{0,8}[@-~]", "")
     t = F.regexp_replace(t, r"[\r\n\x0b\f\u0085\u2028\u2029]+", " ")
     t = F.regexp_replace(t, r"[\x00-\x08\x0e-\x1f\x7f]", "")
     t = F.regexp_replace(t, r"[ \t\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]+", " ")
-    t = F.trim(t)
-    if limit:
-        t = F.left(t, F.lit(limit))
-    return F.when(~F.lower(t).isin(*ABSENT), t)
+    t = F.trim(F.when(raw.rlike(r"^[!-~]*(?: [!-~]+)*$"), raw).otherwise(t))
+    return F.left(t, F.lit(limit)) if limit else t
+
+
+def present(text: Column) -> Column:
+    """Markers of absence become null."""
+    return F.when(~F.lower(text).isin(*ABSENT), text)
+
+
+def clean_text(raw: Column, limit: int | None = None) -> Column:
+    """Escapes, control characters and odd spaces go; markers of absence become null."""
+    return present(scrub(raw, limit))
 
 
 def compose(raw: Column) -> Column:
@@ -98,7 +106,7 @@ def compose(raw: Column) -> Column:
 
 def repair_encoding(raw: Column) -> Column:
     """One round of UTF-8 read as Latin-1 is undone where that is loss-free and gives valid UTF-8."""
-    suspect = raw.rlike("Ã|â€|Â|�") & ~raw.rlike(r"[^\x{0}-\x{ff}]")
+    suspect = raw.rlike("[Ãâ�Â]") & raw.rlike("Ã|â€|Â|�") & ~raw.rlike(r"[^\x{0}-\x{ff}]")
     narrow = F.encode(F.when(suspect, raw), "ISO-8859-1")
     wide = F.try_validate_utf8(narrow.cast("string"))
     return F.coalesce(F.when(suspect, wide), raw)

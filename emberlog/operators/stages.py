@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import masking
-from ..functions.scalars import LEVELS, agent_family, clean_text, endpoint_template, environment, fingerprint, fingerprint_fields, host_name, ip_class, repair_encoding, service_name, status_class, valid_ip
+from ..functions.scalars import LEVELS, agent_family, clean_text, endpoint_template, environment, fingerprint, fingerprint_fields, host_name, ip_class, present, repair_encoding, scrub, service_name, status_class, valid_ip
 from ..schema import LIMITS, conform, is_error
-from .parsers import parse, settle
+from .parsers import fence, parse, settle
 
 CLEANED = ("service", "hostname", "logger", "user_id", "request_id", "user_agent", "referrer")
 MASKED = ("message", "user_agent", "referrer", "endpoint", "user_id", "raw_message")
@@ -24,9 +24,11 @@ def events(parsed: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame, longest_message: int = 32768, repair: bool = True) -> DataFrame:
     fix = repair_encoding if repair else (lambda c: c)
-    cols: dict[str, Column] = {c: clean_text(fix(F.col(c)), LIMITS.get(c)) for c in CLEANED if c in df.columns}
-    cols["message"] = F.coalesce(clean_text(fix(F.col("message")), longest_message), F.lit(""))
-    cols["endpoint"] = clean_text(F.regexp_extract("endpoint", r"^[^?#]*", 0), LIMITS["endpoint"])
+    fixed = [c for c in (*CLEANED, "message") if c in df.columns]
+    df = settle(df, **{c: fix(F.col(c)) for c in fixed}, endpoint=F.regexp_extract("endpoint", r"^[^?#]*", 0))
+    df = settle(df, **{c: scrub(F.col(c), longest_message if c == "message" else LIMITS.get(c)) for c in (*fixed, "endpoint")})
+    cols: dict[str, Column] = {c: present(F.col(c)) for c in (*fixed, "endpoint")}
+    cols["message"] = F.coalesce(cols["message"], F.lit(""))
     cols["metadata"] = F.transform_values("metadata", lambda _, v: F.coalesce(clean_text(v, 4096), F.lit("")))
     return settle(df, **cols)
 
@@ -84,7 +86,7 @@ def validate(df: DataFrame, *, require_timestamp: bool = True, require_message:
         ("invalid_ip", F.col("ip_address").isNotNull() & valid_ip(F.col("ip_address")).isNull()),
         ("schema_violation", F.col("endpoint").isNotNull() & F.col("status_code").isNull() & F.col("http_method").isNull()),
     ]
-    return df.withColumn("reject_reason", reason).withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in soft])))
+    return fence(df.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in soft]))}), "reject_reason")
 
 
 def rejected_lines(parsed: DataFrame, validated: DataFrame) -> DataFrame:

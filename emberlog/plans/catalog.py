@@ -195,7 +195,7 @@ add("fn_ip_class", over(lambda d: d.groupBy(scalars.ip_class(F.col("ip_address")
 add("fn_endpoint_template", over(lambda d: d.groupBy(scalars.endpoint_template(F.col("endpoint")).alias("template")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN endpoint IS NULL THEN NULL ELSE lower(regexp_replace(endpoint, '/[0-9]+$', '/{id}')) END AS template, count(*) AS n FROM scoped GROUP BY 1")
 add("fn_environment", over(lambda d: d.select(scalars.environment(F.concat(F.lit("web-"), F.when(F.col("environment") == "production", "PROD").otherwise("x")), F.concat(F.col("service"), F.lit(".qa"))).alias("env")).groupBy("env").agg(F.count("*").alias("n"))), "SELECT CASE WHEN environment = 'production' THEN 'production' WHEN service IS NULL THEN 'unknown' ELSE 'test' END AS env, count(*) AS n FROM scoped GROUP BY 1")
 add("fn_mask_text", lambda s, sf: s.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(masking.mask_text(F.col("text"), ("email",)), 256).alias("masked"), masking.contains_sensitive(F.col("text"), ("email",)).alias("has_email")),
-    "SELECT doc_id, sha256(regexp_replace(CASE WHEN length(text) > 65536 THEN left(text, 65536) ELSE text END, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b', '***REDACTED***', 'g')) AS masked, regexp_matches(text, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b') AS has_email FROM documents", raw=True)
+    "SELECT doc_id, sha256(regexp_replace(text, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b', '***REDACTED***', 'g')) AS masked, regexp_matches(text, '\\b[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,255}\\.[A-Za-z]{2,24}\\b') AS has_email FROM documents", raw=True)
 add("fn_fingerprint", lambda s, sf: logs(s, sf).select("event_id", scalars.fingerprint(F.col("service"), F.col("message")).alias("f")), "SELECT event_id, left(sha256(coalesce(service, chr(0) || 'none') || chr(31) || message), 32) AS f FROM logs")
 add("stage_dedup_content", lambda s, sf: stages.deduplicate(s.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("event_id"), F.col("text").alias("message"), "doc_id"), "content_hash", order=("doc_id",)).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) > 0 GROUP BY text", raw=True)
 add("stage_dedup_fields", lambda s, sf: stages.deduplicate(logs(s, sf), "fields", fields=("service", "level", "endpoint"), order=("timestamp", "event_id")).select("event_id"), "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY service, level, endpoint ORDER BY timestamp, event_id) AS r FROM logs) WHERE r = 1")

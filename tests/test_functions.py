@@ -91,3 +91,10 @@ def test_fingerprints_mark_nulls(spark):
     a, b = [r[0] for r in df.select(scalars.fingerprint(F.col("x"), F.col("y"))).collect()]
     assert a != b and len(a) == 32
     assert df.limit(1).select(scalars.blake2b_id(F.col("x"))).first()[0]
+
+
+def test_masking_options(spark):
+    shown = each(spark, lambda c: masking.mask_text(c, most=20), ["mail a@b.io and a tail", "short", None])
+    assert shown == ["mail ***REDACTED*** and a ta...[truncated 2 chars]", "short", None]
+    with pytest.raises(ValueError):
+        masking.mask_text(F.lit("x"), ("no such rule",))
