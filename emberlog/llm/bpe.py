@@ -183,6 +183,11 @@ def folded(chunk: str) -> str:
     return unicodedata.normalize("NFC", chunk).lower()
 
 
+def chunks(text: str) -> Iterable[str]:
+    """The runs of a text without Unicode white space."""
+    return [c for c in SEPARATORS.split(text) if c] if ONLY_PYTHON_SPACE.search(text) else text.split()
+
+
 class Memo(dict):
     """Chunk without white space -> its ids as little-endian 32-bit words. Two generations of bounded size: what is
     asked for again outlives a full generation."""
@@ -234,12 +239,9 @@ class Encoder(Memo):
             yield from self.transducer.feed(piece)
             yield from self.transducer.finish()
 
-    def chunks(self, text: str) -> Iterable[str]:
-        return (c for c in SEPARATORS.split(text) if c) if ONLY_PYTHON_SPACE.search(text) else text.split()
-
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit integers."""
-        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text or ""))), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks(text or ""))), "<u4")
 
 
 class Decoder:
@@ -282,16 +284,26 @@ class Decoder:
         return out
 
 
-_HERE: dict[str, Vocabulary] = {}
+_HERE: dict[str, dict] = {}
 
 
-def vocabulary(text: str) -> Vocabulary:
-    """One parsed vocabulary for each worker process and file."""
+def kept(text: str, make):
+    """What ``make`` builds from a tokenizer file, once for each worker process: later tasks find its memo filled."""
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _HERE:
         _HERE.clear()
-        _HERE[key] = Vocabulary(text)
-    return _HERE[key]
+        _HERE[key] = {}
+    if make not in _HERE[key]:
+        _HERE[key][make] = make(text)
+    return _HERE[key][make]
+
+
+def vocabulary(text: str) -> Vocabulary:
+    return kept(text, Vocabulary)
+
+
+def encoder(text: str) -> Encoder:
+    return Encoder(vocabulary(text))
 
 
 def read_file(path: str | None = None) -> str:
@@ -312,12 +324,12 @@ def digests(docs: DataFrame, path: str | None = None, keep: str = "doc_id", text
 
     def run(batches):
         v = vocabulary(shared.value)
-        encoder, decoder = Encoder(v), Decoder(v)
+        memo, decoder = kept(shared.value, encoder), Decoder(v)
         spelled = [b"%d" % i for i in range(len(v.strings))]
         for batch in batches:
             n, a, b = [], [], []
             for value in batch.column(1).to_pylist():
-                ids = encoder.encode(value)
+                ids = memo.encode(value)
                 one, two, first = hashlib.sha256(), hashlib.sha256(), True
                 for at in range(0, len(ids), 1 << 16):
                     part = ids[at : at + (1 << 16)].tolist()

@@ -12,7 +12,7 @@ after its first character, so no text can end its turn; ``unescape`` reverses bo
 
 Defined results: null text and null role count as empty; null turns come first; equal turns are
 ordered by role, then text, and repeated rows are turns of their own; rows without conv_id form
-one conversation; an empty table gives an empty result.
+one conversation; columns beyond the four are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import deque
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .bpe import chunks, kept, read_file
+from .packing import LibraryEncoder
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = (START, SEP, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>")
@@ -44,11 +47,22 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def turn_tokens(text: str) -> int:
-    """Words and a fixed share for the marks; any other counter can be given to ``windows``."""
+def turn_words(text: str) -> int:
+    """A counter without a tokenizer: words and a fixed share for the marks."""
     return len(text.split()) + OVERHEAD
 
 
+class TurnTokens:
+    """Tokens of a tokenizer file (its path on the driver; default as in ``bpe``) and a fixed share for the marks."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.shared = spark.sparkContext.broadcast(read_file(path))
+
+    def __call__(self, text: str) -> int:
+        memo = kept(self.shared.value, LibraryEncoder)
+        return sum(len(memo[c]) for c in chunks(text)) // 4 + OVERHEAD
+
+
 WINDOW = [
     T.StructField("window", T.LongType(), False),
     T.StructField("formatted", T.StringType(), False),
@@ -63,7 +77,7 @@ WINDOW = [
 class Windows:
     """The windows of one conversation, turn by turn."""
 
-    def __init__(self, budget: int, history: int, count=turn_tokens):
+    def __init__(self, budget: int, history: int, count=turn_words):
         self.budget, self.history, self.count = budget, history, count
         self.system: tuple[str, str, int] | None = None
         self.tail: deque[tuple[str, str, int]] = deque()
@@ -111,7 +125,7 @@ class Windows:
         return row
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=turn_tokens) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] = turn_words) -> DataFrame:
     """conv_id and the columns of WINDOW; the windows of a conversation follow each other in one partition."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -199,4 +213,4 @@ def digests(formatted: DataFrame) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = spark.range(2).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(rows.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return digests(windows(rows.unionByName(said)))
+    return digests(windows(rows.unionByName(said), count=TurnTokens(spark)))

@@ -48,9 +48,11 @@ def keeps_columns(stage):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only where the session names none."""
+    """The shared folder for cut lineage. A temporary one only on a local master; a cluster must name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpus-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -153,6 +155,17 @@ def table_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(got["n"] or 0) if got else 0
 
 
+def join_heavy(left: DataFrame, right: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+    """left joined with right, which has one row for each key and in ``size`` (dropped) the number of left's rows with it.
+
+    Keys that hold more than one in ``most`` of left's rows, fewer than ``most`` by counting, are joined by broadcast:
+    none of them lands in one task. left is read twice, so it should be a written table.
+    """
+    total = right.agg(F.sum(size).alias("n")).first()["n"] or 0
+    heavy, rest = (right.where(c).drop(size) for c in (F.col(size) * most > total, F.col(size) * most <= total))
+    return left.join(F.broadcast(heavy), key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key))
+
+
 def connected_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the smallest node reachable.
 

@@ -1,12 +1,12 @@
 """Embedding near-duplicates (1): a random-projection tree forest.
 
-A bounded sample fits the trees: every node projects on random directions and splits one at its
+Equal vectors are one node with a weight, so copies never meet as pairs. A bounded sample fits the trees: every node projects on random directions and splits one at its
 median, points within a margin of the split going to both sides. The margin follows from the
 threshold: a pair at the threshold, and the links that the sample has in the node, may be split
 with the small chance that leaves ``recall`` over all levels and trees. A node where that sends more than ``most_spill`` of its rows to both
 sides, in every direction tried, is dense and stays a leaf. Each row is then sent to all its
-leaves in every tree, leaves are compared by cosine in double precision, and links are joined into
-components. A pair is counted in the first leaf that it shares, which both rows' leaf lists
+leaves in every tree as it stands (floats as floats), leaves are compared by cosine in double precision, and
+links are joined into components. A pair is counted in the first leaf that it shares, which both rows' leaf lists
 tell, so link counts are exact sums over leaves and no pair ever leaves a task: a leaf
 returns a count and a spanning link for each row. Leaves with more than ``most`` rows are cut
 into blocks, and each pair of blocks is compared by its own task.
@@ -22,6 +22,7 @@ kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-THRESHOLD, TREES, LEAF, RECALL, MOST_SPILL, TRIED, SAMPLE, MOST = 0.9, 8, 256, 0.999, 0.3, 8, 20_000, 2048
+THRESHOLD, TREES, LEAF, RECALL, MOST_SPILL, TRIED, SAMPLE, MOST = 0.9, 4, 2048, 0.997, 0.3, 8, 20_000, 4096
+MOST_SAMPLE = 1 << 18
 
 
 def _split_chance(u: np.ndarray) -> np.ndarray:
@@ -111,57 +113,82 @@ class Forest:
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
-    """vec_id and v: one row for each id, v null where the vector can't link."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and v (floats or doubles, as given): one row for each id, v null where the vector can't link."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding").cast(f"array<{kind if kind in ('float', 'double') else 'double'}>")
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
     named = vectors.where("vec_id IS NOT NULL").select("vec_id", F.when(good, v).alias("v"))
     return named.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _floats(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> dict[int, Forest]:
-    """A forest for each vector length, from at most ``sample`` rows (smallest hash of the id first)."""
-    rows = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()
-    counts = {r["d"]: r["n"] for r in rows}
-    got = common.smallest(vectors.select("vec_id", "v"), sample, "vec_id").select("v").collect()
-    found = {}
-    for d, n in counts.items():
-        x = np.array([r["v"] for r in got if len(r["v"]) == d], float)
-        if len(x):
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            found[d] = Forest(x / np.linalg.norm(x, axis=1, keepdims=True), n, **options)
-    return found
+def with_key(vectors: DataFrame) -> DataFrame:
+    """vec_id, v and ``key``: 128 bits of BLAKE2b over the vector's bytes, null where v is."""
+    schema = T.StructType([*vectors.select("vec_id", "v").schema.fields, T.StructField("key", T.BinaryType())])
+
+    def run(batch: pa.RecordBatch):
+        v = batch.column(1)
+        width, data = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+        keys = [blake2b(width[a:b].tobytes(), digest_size=16).digest() if ok else None for a, b, ok in zip(data[:-1].tolist(), data[1:].tolist(), v.is_valid().to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
+
+    return common.arrow_map(vectors.select("vec_id", "v"), run, schema)
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, **options) -> dict[int, Forest]:
+    """A forest for each vector length that the sample holds; vectors of any other length share one leaf.
 
+    The sample: rows with the smallest hash of the id, ``sample`` or 32 for each leaf wanted, MOST_SAMPLE at most.
+    """
+    total = vectors.agg(F.count("*").alias("n")).first()["n"]
+    got = common.smallest(vectors.select("vec_id", "v"), min(MOST_SAMPLE, max(sample, 32 * total // leaf)), "vec_id").select("v").collect()
+    by_length: dict[int, list] = {}
+    for r in got:
+        by_length.setdefault(len(r["v"]), []).append(r["v"])
+    size = F.size("v")
+    counts = {r["d"]: r["n"] for r in vectors.where(size.isin(*by_length)).groupBy(size.alias("d")).agg(F.count("*").alias("n")).collect()} if by_length else {}
+    return {d: Forest(_unit(np.array(by_length[d], float)), n, leaf=leaf, **options) for d, n in counts.items()}
 
-PLACED = T.StructType([T.StructField(n, k, False) for n, k in (("leaf", T.StringType()), ("vec_id", T.LongType()), ("x", T.BinaryType()), ("all", T.BinaryType()))])
+
+PLACED = [T.StructField(n, k, False) for n, k in (("leaf", T.StringType()), ("vec_id", T.LongType()), ("weight", T.LongType()), ("x", T.BinaryType()), ("all", T.BinaryType()))]
 LINKED = T.StructType([T.StructField("vec_id", T.LongType(), False), T.StructField("n", T.LongType(), False), T.StructField("root", T.LongType(), False)])
 
 
-def placed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """A row for each vector and leaf: the unit vector (doubles) and the list of all its leaves."""
+def placed(vectors: DataFrame, forests: dict[int, Forest], leaves_only: bool = False) -> DataFrame:
+    """(vec_id, weight, v) -> a row for each vector and leaf: its bytes and the list of all its leaves. Or just the leaves, counted."""
+    schema = T.StructType([PLACED[0], T.StructField("rows", T.LongType(), False)] if leaves_only else PLACED)
 
     def run(batch: pa.RecordBatch):
-        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        vectors_ = batch.column(2)
+        sizes = np.diff(vectors_.offsets.to_numpy())
         for d in np.unique(sizes):
             at = np.flatnonzero(sizes == d)
             for k in range(0, len(at), 1000):
                 part = batch.take(pa.array(at[k : k + 1000]))
-                x, forest = _unit(part.column(1)), forests.get(int(d))
-                row, leaf = forest.leaves(x) if forest else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                raw, forest = _floats(part.column(2)), forests.get(int(d))
+                row, leaf = forest.leaves(_unit(raw)) if forest else (np.arange(len(raw)), np.zeros(len(raw), np.int64))
+                if leaves_only:
+                    names, rows = np.unique(leaf, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{n}" for n in names.tolist()]), pa.array(rows)], names=schema.names)
+                    continue
                 by = np.lexsort((leaf, row))
                 row, leaf = row[by], leaf[by].astype("<i4")
-                ends = np.searchsorted(row, np.arange(len(x) + 1))
-                every = [leaf[ends[i] : ends[i + 1]].tobytes() for i in range(len(x))]
-                data = [v.tobytes() for v in x]
+                ends = np.searchsorted(row, np.arange(len(raw) + 1))
+                every = [leaf[ends[i] : ends[i + 1]].tobytes() for i in range(len(raw))]
+                data = [v.tobytes() for v in raw]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{n}" for n in leaf.tolist()]), part.column(0).take(take), pa.array(data, pa.binary()).take(take), pa.array(every, pa.binary()).take(take)], names=PLACED.names)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{n}" for n in leaf.tolist()]), part.column(0).take(take), part.column(1).take(take), pa.array(data, pa.binary()).take(take), pa.array(every, pa.binary()).take(take)], names=schema.names)
 
-    return common.arrow_map(vectors, run, PLACED)
+    return common.arrow_map(vectors.select("vec_id", "weight", "v"), run, schema)
 
 
 def _compare(x: np.ndarray, y: np.ndarray, every_x: list, every_y: list, leaf: int, threshold: float):
@@ -201,47 +228,48 @@ def _compare(x: np.ndarray, y: np.ndarray, every_x: list, every_y: list, leaf: i
         yield i, j
 
 
-def _spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index reachable from each of n nodes."""
-    root = np.arange(n)
-    while pairs:
-        before = root.copy()
-        for i, j in pairs:
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-        root = root[root]
+def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (the smallest index known to be reachable from each node) after the links (i, j)."""
+    while True:
+        before = root
+        low = np.minimum(root[i], root[j])
+        root = root.copy()
+        for k in (i, j):
+            np.minimum.at(root, before[k], low)  # the old root follows, and all its nodes with it
+            np.minimum.at(root, k, low)
+        while (root[root] != root).any():
+            root = root[root]
         if (root == before).all():
-            break
-    return root
+            return root
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
-    """placed rows -> (vec_id, links counted in a leaf, smallest vec_id it is linked to there)."""
-    large = rows.groupBy("leaf").count().where(F.col("count") > most).select("leaf", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    cut = rows.join(large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def links(vectors: DataFrame, forests: dict[int, Forest], threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+    """(vec_id, weight, v) -> (vec_id, weight of the links counted in a leaf, smallest vec_id it is linked to there)."""
+    kind = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    # as many rows as large leaves: trees x 2**depth of each length at most
+    large = placed(vectors, forests, leaves_only=True).groupBy("leaf").agg(F.sum("rows").alias("n")).where(F.col("n") > most).select("leaf", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    cut = placed(vectors, forests).join(F.broadcast(large), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = cut.select("*", other).withColumn("tile", F.concat_ws("|", "leaf", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "block", "vec_id", "x", "all")
+    tiles = cut.select("*", other).withColumn("tile", F.concat_ws("|", "leaf", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "block", "vec_id", "weight", "x", "all")
 
     def solve(key, t: pa.Table) -> pa.Table:
         leaf, low, high = key[0].as_py().split("|")
         leaf = int(leaf.split(":")[1])
         t = t.sort_by("vec_id")
-        ids, block = t.column("vec_id").to_numpy(), t.column("block").to_numpy()
-        x = np.frombuffer(b"".join(t.column("x").to_pylist())).reshape(len(ids), -1)
+        ids, block, weight = (t.column(n).to_numpy() for n in ("vec_id", "block", "weight"))
+        x = _unit(np.frombuffer(b"".join(t.column("x").to_pylist()), kind).reshape(len(ids), -1))
         every = t.column("all").to_pylist()
         a, b = np.flatnonzero(block == int(low)), np.flatnonzero(block == int(high))
-        n, pairs = np.zeros(len(ids), np.int64), []
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for i, j in _compare(x[a], x[b], [every[k] for k in a], [every[k] for k in b], leaf, threshold):
             i, j = a[i], b[j]
             other = i != j
             i, j = i[other], j[other]
-            n += np.bincount(i, minlength=len(ids))
+            n += np.bincount(i, weights=weight[j], minlength=len(ids)).astype(np.int64)
             if low != high:
-                n += np.bincount(j, minlength=len(ids))
-            pairs.append((i, j))
-        root = _spanning(len(ids), pairs)
+                n += np.bincount(j, weights=weight[i], minlength=len(ids)).astype(np.int64)
+            root = _spanning(root, i, j)
         has = (n > 0) | (root != np.arange(len(ids)))
         return pa.table([pa.array(ids[has]), pa.array(n[has]), pa.array(ids[root[has]])], names=LINKED.names)
 
@@ -250,18 +278,20 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> Da
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector of (vec_id, embedding)."""
-    every = common.cut(_clean(vectors))
-    good = every.where("v IS NOT NULL")
-    rows = common.cut(placed(good, fit(good, threshold=threshold, **options)))
-    found = common.cut(links(rows, threshold).groupBy("vec_id", "root").agg(F.sum("n").alias("n")))
-    common.drop(rows)
+    every = common.cut(with_key(_clean(vectors)))
+    nodes = common.cut(every.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.min("v").alias("v")))
+    found = common.cut(links(nodes, fit(nodes, threshold=threshold, **options), threshold).groupBy("vec_id", "root").agg(F.sum("n").alias("n")))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     roots = common.connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    out = every.select("vec_id").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    alone = vectors.where("vec_id IS NULL").select(F.col("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(alone)
+    known = nodes.select("key", "vec_id", "weight").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    links_ = (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).cast("long")
+    known = common.cut(known.select("key", "weight", links_.alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    kind = vectors.schema["vec_id"].dataType
+    columns = [F.col("vec_id").cast(kind), "n_links", F.col("component_id").cast(kind), (F.col("vec_id") == F.col("component_id")).alias("kept")]
+    out = common.join_heavy(every.where("key IS NOT NULL").select("vec_id", "key"), known, "key", "weight").select(*columns)
+    alone = every.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).select(*columns)
+    nameless = vectors.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(kind).alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone).unionByName(nameless)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

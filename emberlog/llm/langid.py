@@ -105,7 +105,7 @@ def with_scores(docs: DataFrame, model: Model, into: str = "_scores", text: str
             n = np.bincount(who, minlength=b - a)
             ll = np.stack([np.bincount(who, weights=logp[bucket, j], minlength=b - a) for j in range(logp.shape[1])], 1) if logp.shape[1] else np.zeros((b - a, 0))
             # trigrams overlap and repeat: evidence counts as at most TEMPER independent ones
-            ll *= (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None]
+            ll = ll * (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
             struct = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), lists], names=["n", "ll"])
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), struct], names=schema.names)
@@ -119,11 +119,12 @@ def _best(values: Column, languages: list[str]) -> Column:
 
 
 def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """_host, _prior: log priors of every host, from text-only decisions, smoothed host -> domain -> suffix -> all."""
+    """_host, _prior, _rows: log priors of every host and its rows. Text-only decisions count, smoothed host -> domain -> suffix -> all."""
     n = len(languages)
-    decided = scored.where("_scores.n >= 10").select("_host", "_domain", "_suffix", _best(F.col("_scores.ll"), languages).alias("_lang"))
+    decided = F.when(F.col("_scores.n") >= 10, _best(F.col("_scores.ll"), languages))
     per = [F.sum((F.col("_lang") == x).cast("double")).alias(f"c{i}") for i, x in enumerate(languages)]
-    hosts = decided.groupBy("_host", "_domain", "_suffix").agg(*per)
+    per = [F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(per)]
+    hosts = scored.select("_host", "_domain", "_suffix", decided.alias("_lang")).groupBy("_host", "_domain", "_suffix").agg(*per, F.count("*").alias("_rows"))
     up = [F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]
     domains = hosts.groupBy("_domain", "_suffix").agg(*up)
     suffixes = domains.groupBy("_suffix").agg(*up)
@@ -139,8 +140,8 @@ def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
     known = F.col("_suffix").isin(*COUNTRY)
     s = smooth(suffixes, [F.when(known, boost(i) + F.lit(0.25 * top[i])).otherwise(F.lit(top[i])) for i in range(n)], ["_suffix"], "_ps")
     d = smooth(domains.join(s, "_suffix"), [F.col("_ps")[i] for i in range(n)], ["_domain", "_suffix"], "_pd")
-    h = smooth(hosts.join(d, ["_domain", "_suffix"]), [F.col("_pd")[i] for i in range(n)], ["_host"], "_ph")
-    return h.select("_host", F.transform("_ph", lambda p: F.log(p)).alias("_prior"))
+    h = smooth(hosts.join(d, ["_domain", "_suffix"]), [F.col("_pd")[i] for i in range(n)], ["_host", "_rows"], "_ph")
+    return h.select("_host", "_rows", F.transform("_ph", lambda p: F.log(p)).alias("_prior"))
 
 
 def declared_trust(scored: DataFrame, languages: list[str]) -> Column:
@@ -166,15 +167,14 @@ def with_address(rows: DataFrame, host: Column, declared: Column) -> DataFrame:
     return rows.withColumn("_host", host).withColumn("_domain", F.when(dotted, F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)).otherwise(host)).withColumn("_suffix", F.when(dotted, suffix(host)).otherwise("")).withColumn("_declared", F.lower(F.substring(declared, 1, 2)))
 
 
-def fused(scored: DataFrame, counted: DataFrame, model: Model, *, least: float = 0.5, wanted: list[str] | None = None) -> DataFrame:
-    """scored with _lang, _confidence, _text_lang and _kept. counted: the rows that priors and trust are counted on."""
+def fused(scored: DataFrame, model: Model, *, least: float = 0.5, wanted: list[str] | None = None) -> DataFrame:
+    """scored with _lang, _confidence, _text_lang and _kept. Priors and trust are counted on scored, which should be a written table."""
     languages = model.languages
     if not languages:
         return scored.withColumn("_lang", F.lit(None).cast("string")).withColumn("_confidence", F.lit(0.0)).withColumn("_text_lang", F.lit(None).cast("string")).withColumn("_kept", F.col("_scores.n") > 0)
-    trust = declared_trust(counted, languages)
-    out = scored.join(host_priors(counted, languages), "_host", "left")
-    flat = F.array(*[F.lit(0.0)] * len(languages))
-    total = F.zip_with(F.zip_with(F.col("_scores.ll"), trust, lambda a, b: a + b), F.coalesce("_prior", flat), lambda a, b: a + b)
+    trust = declared_trust(scored, languages)
+    out = common.join_heavy(scored, common.cut(host_priors(scored, languages)), "_host", "_rows")
+    total = F.zip_with(F.zip_with(F.col("_scores.ll"), trust, lambda a, b: a + b), "_prior", lambda a, b: a + b)
     out = out.withColumn("_sum", total)
     out = out.withColumn("_lang", _best(F.col("_sum"), languages)).withColumn("_text_lang", F.when(F.col("_scores.n") > 0, _best(F.col("_scores.ll"), languages)))
     top = F.array_max("_sum")
@@ -194,15 +194,18 @@ def declared_in(html: Column) -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents (source as host, lang as declaration) and all pages (doc_id is -1 - page_id)."""
+    """All documents (source as host) and all pages (doc_id is -1 - page_id).
+
+    The lang of documents labels the fit; only the markup of pages declares a language.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     model = fit(docs.select("text", F.col("lang").alias("language")))
-    one = with_address(docs.select("doc_id", "text", "lang", "source"), F.col("source"), F.col("lang")).drop("lang", "source")
+    one = with_address(docs.select("doc_id", "text", "source"), F.col("source"), F.lit(None).cast("string")).drop("source")
     two = with_address(pages.select((-1 - F.col("page_id")).alias("doc_id"), page_text(F.col("html")).alias("text"), "url", "html"), host_and_path(F.col("url"))[0], declared_in(F.col("html"))).drop("url", "html")
     rows = one.unionByName(two)
     scored = common.cut(with_scores(rows, model, keep=["doc_id", "_host", "_domain", "_suffix", "_declared"]))
-    out = fused(scored, scored, model)
+    out = fused(scored, model)
     return out.select("doc_id", F.col("_lang").alias("language"), F.round("_confidence", 6).alias("confidence"), F.col("_declared").alias("declared"), F.col("_text_lang").alias("text_language"), F.col("_kept").alias("kept"))
 
 
@@ -211,7 +214,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents without a language that can be told go; lang stays as it was."""
     cols = docs.columns
     model = fit(docs.select("text", F.col("lang").alias("language")))
-    rows = with_address(docs, F.col("source"), F.col("lang"))
-    light = ["_host", "_domain", "_suffix", "_declared"]
-    counted = common.cut(with_scores(rows, model, keep=light))
-    return fused(with_scores(rows, model), counted, model).where("_kept").select(*cols)
+    scored = common.cut(with_scores(with_address(docs, F.col("source"), F.lit(None).cast("string")), model))
+    return fused(scored, model).where("_kept").select(*cols)

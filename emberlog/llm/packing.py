@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import MEMO_ENTRIES, ONLY_PYTHON_SPACE, SEPARATORS, Memo, read_file, vocabulary
+from .bpe import MEMO_ENTRIES, Memo, chunks, kept, read_file, vocabulary
 
 ROOM, SALTS, GROUPS = 2048, 32, 32
 
@@ -63,15 +63,14 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end: int
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        memo = LibraryEncoder(shared.value)
+        memo = kept(shared.value, LibraryEncoder)
         for batch in batches:
             texts = common.binary(batch.column(1))
             for a, b in common.slices(texts, 1 << 20):
-                values = [t.decode() for t in texts.slice(a, b - a).to_pylist()]
-                lists = [[c for c in SEPARATORS.split(t) if c] if ONLY_PYTHON_SPACE.search(t) else t.split() for t in values]
+                lists = [chunks(t.decode()) for t in texts.slice(a, b - a).to_pylist()]
                 who, piece, start, length, crc = [], [], [], [], []
-                for i, chunks in enumerate(lists):
-                    ids = b"".join(map(memo.__getitem__, chunks)) + stop
+                for i, parts in enumerate(lists):
+                    ids = b"".join(map(memo.__getitem__, parts)) + stop
                     for k in range(0, len(ids), 4 * room):
                         part = ids[k : k + 4 * room]
                         who.append(a + i)
@@ -241,8 +240,11 @@ def places(bins: list[Bins]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def pack(rows: DataFrame, room: int = ROOM) -> DataFrame:
     """rows with a ``length`` of 1 to room -> the same rows with sequence_id and offset.
 
-    rows is read twice, so it should be written already (``common.cut``).
+    Rows of just ``room`` fill a sequence each and are numbered where they are (below zero). rows is read
+    three times, so it should be written already (``common.cut``).
     """
+    full = rows.where(F.col("length") == room).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = rows.where(F.col("length") < room)
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # room * SALTS rows at most
@@ -266,7 +268,7 @@ def pack(rows: DataFrame, room: int = ROOM) -> DataFrame:
         number = sequence[slot] + rank - (keys[slot] & ((1 << 40) - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:at_salt], pa.array(number), pa.array(offset[slot])], names=schema.names)
 
-    return common.arrow_map(ranked, run, schema)
+    return common.arrow_map(ranked, run, schema).unionByName(full)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def candidate_links(distinct: DataFrame, bits: int = BITS, segments: int = SEGME
         for batch in batches:  # keys come sorted: all but the last key are complete
             parts.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
             held += batch.num_rows
-            if held < 200_000:
+            if held < 200_000 or parts[0][0][0] == parts[-1][0][-1]:
                 continue
             key, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             to = int(np.searchsorted(key, key[-1], side="left"))
@@ -164,12 +164,15 @@ def candidate_links(distinct: DataFrame, bits: int = BITS, segments: int = SEGME
 
 
 def components(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """rows (doc_id, _fp) -> (_fp, _root, component_id) for every distinct fingerprint; _root is the least fingerprint of the component."""
-    distinct = common.cut(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
+    """rows (doc_id, _fp) -> (_fp, _root, component_id, _rows) for every distinct fingerprint.
+
+    _root is the least fingerprint of the component, _rows the number of rows with the fingerprint.
+    """
+    distinct = common.cut(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")))
     roots = common.connected_components(candidate_links(distinct.select("_fp"), bits))
-    named = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("component", "_fp").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return named.join(least, "_root").select("_fp", "_root", "component_id")
+    named = common.cut(distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", "_rows", F.coalesce("component", "_fp").alias("_root")))
+    least = common.cut(named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_size")))
+    return common.cut(common.join_heavy(named, least, "_root", "_size").select("_fp", "_root", "component_id", "_rows"))
 
 
 def hexed(fp: Column) -> Column:
@@ -179,7 +182,7 @@ def hexed(fp: Column) -> Column:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     rows = common.cut(fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]))
-    return rows.join(components(rows), "_fp").select("doc_id", hexed(F.col("_fp")).alias("fingerprint"), "component_id")
+    return common.join_heavy(rows, components(rows), "_fp", "_rows").select("doc_id", hexed(F.col("_fp")).alias("fingerprint"), "component_id")
 
 
 @common.keeps_columns
@@ -192,6 +195,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     named = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64(*cols))
     rows = common.cut(fingerprints(named, keep=["doc_id", "_id", "_row"]))
-    known = rows.join(components(rows.select("doc_id", "_fp")), "_fp")
+    known = common.join_heavy(rows, components(rows.select("doc_id", "_fp")), "_fp", "_rows")
     lead = known.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "_id", "_row")).alias("_lead"))
     return named.join(lead.select("_lead._id", "_lead._row"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*cols)

@@ -12,6 +12,7 @@ by one, so ties, repeated rows and null ids change nothing.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-SAMPLE, TREES, DEPTH, RATE, BINS = 5000, 24, 3, 0.3, 24
+SAMPLE, TREES, DEPTH, RATE, BINS, FOLDS = 5000, 24, 3, 0.3, 24, 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,7 +74,7 @@ def lexical(url: Column) -> dict[str, Column]:
 
 @dataclass
 class Model:
-    """trees: nested (feature, cut, low, high) or a leaf's value; suffixes: smoothed block rate of each known suffix."""
+    """trees: nested (feature, cut, low, high) or a leaf's value; suffixes: smoothed block rate of each suffix of the sample."""
 
     trees: list
     base: float
@@ -139,12 +140,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     if not y or not 0 < sum(y) < len(y):
         return Model([], -1.0, {}, rate)
     mean = sum(y) / len(y)
-    seen: dict[str, list[float]] = {}
-    for r, v in zip(got, y, strict=True):
-        seen.setdefault(r["suffix"], []).append(v)
-    top = sorted(seen, key=lambda s: (-len(seen[s]), s))[:64]
-    suffixes = {s: (sum(seen[s]) + 10 * mean) / (len(seen[s]) + 10) for s in top} | {"": mean}
-    rows = [[float(r[n]) for n in feats] + [suffixes.get(r["suffix"], mean)] for r in got]
+    # statistics of a suffix: a row of the fit sees only those of the other folds, so its own label isn't among them
+    n, hits = Counter((r["suffix"], k % FOLDS) for k, r in enumerate(got)), Counter((r["suffix"], k % FOLDS) for k, r in enumerate(got) if r["blocked"])
+    over = lambda c, s, out: sum(c[s, f] for f in range(FOLDS) if f != out)
+    smooth = lambda s, out=None: (over(hits, s, out) + 10 * mean) / (over(n, s, out) + 10)
+    suffixes = {s: smooth(s) for s, _ in sorted(n)} | {"": mean}
+    rows = [[float(r[c]) for c in feats] + [smooth(r["suffix"], k % FOLDS) if r["suffix"] else mean] for k, r in enumerate(got)]
     cuts = []
     for f in range(len(rows[0])):
         v = sorted({r[f] for r in rows})
@@ -166,22 +167,21 @@ def with_verdict(pages: DataFrame, model: Model, rules=RULES, url: str = "url")
     host, path = host_and_path(F.col(url))
     out = pages.withColumn("host", host).withColumn("path", path)
     rule, action = rule_and_action(F.col("host"), F.col("path"), rules)
-    known = F.lit(model.suffixes.get("", 0.5))
-    for s, v in model.suffixes.items():
-        if s:
-            known = F.when(suffix(F.col("host")) == s, F.lit(v)).otherwise(known)
+    rates = F.create_map(*[F.lit(x) for pair in model.suffixes.items() for x in pair]) if model.suffixes else F.create_map().cast("map<string,double>")
+    known = F.coalesce(rates[suffix(F.col("host"))], F.lit(model.suffixes.get("", 0.5)))
     names = [*feats, "suffix_rate"]
-    out = out.withColumn("_f", F.struct(*[c.alias(n) for n, c in feats.items()], known.alias("suffix_rate")))
+    held = next(n for n in (f"_f{i}" for i in range(len(pages.columns) + 1)) if n not in pages.columns)
+    out = out.withColumn(held, F.struct(*[c.alias(n) for n, c in feats.items()], known.alias("suffix_rate")))
 
     def expression(tree) -> Column:
         if not isinstance(tree, tuple):
             return F.lit(float(tree))
-        return F.when(F.col("_f").getField(names[tree[0]]) <= F.lit(tree[1]), expression(tree[2])).otherwise(expression(tree[3]))
+        return F.when(F.col(held).getField(names[tree[0]]) <= F.lit(tree[1]), expression(tree[2])).otherwise(expression(tree[3]))
 
     score = F.lit(model.base)
     for tree in model.trees:
         score = score + F.lit(model.rate) * expression(tree)
-    return out.withColumn("rule", rule).withColumn("score", score).withColumn("verdict", F.coalesce(action, F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("_f")
+    return out.withColumn("rule", rule).withColumn("score", score).withColumn("verdict", F.coalesce(action, F.when(F.col("score") > 0, "block").otherwise("allow"))).drop(held)
 
 
 def rule_labelled(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from emberlog.llm import embeddings, simhash
 
@@ -118,9 +120,8 @@ def test_hot_leaf_in_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal(32) + rng.standard_normal((150, 32)) * 0.02
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    clean = embeddings._clean(df)
-    rows = embeddings.placed(clean, embeddings.fit(clean))
-    got = embeddings.links(rows, most=40).groupBy("vec_id").sum("n").collect()
+    nodes = embeddings._clean(df).withColumn("weight", F.lit(1).cast("long"))
+    got = embeddings.links(nodes, embeddings.fit(nodes), most=40).groupBy("vec_id").sum("n").collect()
     assert sorted(r[1] for r in got) == [149] * 150
 
 
@@ -135,13 +136,13 @@ def test_odd_vectors(spark, table_dir):
 
 
 def test_forest_keeps_links_of_loose_groups_in_deep_trees():
-    """Recall at depth 10, where a third of 300,000 rows is one loose group: over its pairs and over isolated pairs near the threshold."""
+    """Recall at depth 10, where a third of 2,000,000 rows is one loose group: over its pairs and over isolated pairs near the threshold."""
     rng = np.random.default_rng(5)
     for sigma in (0.2, 0.3, 0.34):
         x = rng.standard_normal((20_000, 64))
         x[:6600] = rng.standard_normal(64) + sigma * rng.standard_normal((6600, 64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        forest = embeddings.Forest(x, 300_000)
+        forest = embeddings.Forest(x, 2_000_000)
         assert forest.depth == 10
 
         def held(v, forest=forest):
@@ -157,3 +158,20 @@ def test_forest_keeps_links_of_loose_groups_in_deep_trees():
         z -= (z * y).sum(1, keepdims=True) * y
         z = 0.91 * y + (1 - 0.91**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
         assert (held(y) * held(z)).any(1).mean() >= 0.99
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_copies_of_vectors_are_one_node(spark, kind):
+    """A vector that a third of the rows repeats: counts and components as if every pair had been compared."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 24)).astype(np.float32)
+    x[:300] = x[0]
+    x[300:310] = x[0] + rng.standard_normal((10, 24)).astype(np.float32) * np.float32(0.1)
+    x[400:420] = x[400] * np.arange(1, 21, dtype=np.float32)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    s = brute_links(x.astype(float))
+    roots = components(len(x), np.argwhere(np.triu(s)).tolist())
+    assert [got[i]["n_links"] for i in range(900)] == s.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(900)] == roots
+    assert all(got[i]["kept"] == (roots[i] == i) for i in range(900))

@@ -143,3 +143,13 @@ def test_chat_rows(spark, table_dir):
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(mine), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest())
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[-7]["n_turns"] == 2 and got[-7]["loss_chars"] == 21 and got[3]["n_windows"] == 2
+
+
+def test_turns_count_as_the_library_counts_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    count = chat.TurnTokens(spark)
+    for text in ("", "Hello  there, World 123!", "\x1cna\u00efve caf\u00e9\u3000\u4f60\u597d", "<|endoftext|> x"):
+        assert count(text) == len(whole.encode(text, add_special_tokens=False).ids) + chat.OVERHEAD
