@@ -189,9 +189,9 @@ class Units:
         return text, at - (np.cumsum(per) - per)[text], digests(raw.tobytes(), begin[at], end[at + self.window - 1])
 
 
-def buckets(docs: DataFrame, each: int = 24 << 20) -> int:
+def buckets(docs: DataFrame, each: int = 16 << 20, least: int = 128) -> int:
     """Packed rows are dealt to so many buckets: about ``each`` bytes of text stand behind one."""
-    return max(8, -(-common.table_bytes(docs) // each))
+    return max(least, -(-common.table_bytes(docs) // each))
 
 
 PARTS = ("docs", "per", "anchor", "digest", "first", "size")
