@@ -118,7 +118,7 @@ def scan_words(raw: np.ndarray, offs: np.ndarray, window: int, k: int) -> Scan:
     return replace(got, first=got.first - first[got.text], last=got.last - first[got.text])
 
 
-MOST_UNITS = 1 << 22  # bytes of one text scanned at once; _runs packs places into 24 bits
+MOST_UNITS = 1 << 20  # bytes of one text scanned at once; _runs packs places into 24 bits
 
 
 def _pieces(raw: np.ndarray, offs: np.ndarray, overlap: int):
@@ -220,15 +220,15 @@ def _first_of_group(group: np.ndarray, n: int) -> np.ndarray:
 
 
 def _row(bucket: int, known: bool, key: np.ndarray, got: Scan) -> tuple:
-    """One packed row: the texts' keys, entries of each, and the entries in columns."""
+    """One packed row: the texts' keys, entries of each, and the entries in columns (no anchors: the digest stands for them)."""
     turn = _groups(got.text)
     per = np.diff(np.concatenate((turn, [len(got.text)]))).astype("<u4")
     docs = key[got.text[turn]].astype("<i8")
-    return (bucket, known, docs.tobytes(), per.tobytes(), *((None, None) if known else (got.anchor.tobytes(), got.digest.tobytes())), got.first.astype("<u4").tobytes(), (got.last - got.first).astype("u1").tobytes())
+    return (bucket, known, docs.tobytes(), per.tobytes(), *((None, None) if known else (None if got.anchor is None else got.anchor.tobytes(), got.digest.tobytes())), got.first.astype("<u4").tobytes(), (got.last - got.first).astype("u1").tobytes())
 
 
 def _take(got: Scan, at: np.ndarray) -> Scan:
-    return Scan(*(getattr(got, f)[at] for f in ("text", "first", "last", "anchor", "digest")))
+    return Scan(*(None if getattr(got, f) is None else getattr(got, f)[at] for f in ("text", "first", "last", "anchor", "digest")))
 
 
 def packed_rows(got: Scan, key: np.ndarray, n_buckets: int, by_document: bool, hot: np.ndarray) -> list[tuple]:
@@ -244,7 +244,7 @@ def packed_rows(got: Scan, key: np.ndarray, n_buckets: int, by_document: bool, h
     for known, rows in ((True, np.sort(order[later])), (False, np.sort(order[~later]))):
         if not len(rows):
             continue
-        to = mix(hashes[rows].astype(np.uint64)) if known else np.where(np.isin(got.anchor[rows], hot), one[rows], got.anchor[rows])
+        to = mix(hashes[rows].astype(np.uint64)) if known else one[rows] if got.anchor is None else np.where(np.isin(got.anchor[rows], hot), one[rows], got.anchor[rows])
         to = (to % np.uint64(n_buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         turn = _groups(to[by])
@@ -275,7 +275,8 @@ def meeting(by_document: bool, hot: dict[int, int]):
             return out
 
         o, k = read(False), read(True)
-        one, two, anchor = o["digest"][:, 0], o["digest"][:, 1], o["anchor"]
+        one, two = o["digest"][:, 0], o["digest"][:, 1]
+        anchor = o["anchor"] if len(o["anchor"]) else one
         order = np.lexsort((o["key"][:, 0], o["first"], o["key"][:, 2], o["key"][:, 1], two, one))
         order = order[_groups(one[order], two[order], o["key"][order, 1], o["key"][order, 2], o["first"][order])]  # copies of a text: the least id
         order = order[np.lexsort((o["first"][order], o["key"][order, 1], o["key"][order, 0], two[order], one[order], anchor[order]))]
@@ -326,7 +327,7 @@ def scanned(units: Units):
             got = units.scan(raw, offs)
             parts.append(replace(got, text=got.text + a))
             held += len(got.text)
-            if held > 250_000:
+            if held > 120_000:
                 yield key, _joined(parts)
                 parts, held = [], 0
         if held:
@@ -335,7 +336,7 @@ def scanned(units: Units):
     return scan
 
 
-SAMPLE, SHARE, MOST_HOT = 8000, 1 / 500, 1000
+SAMPLE, MOST_HOT = 8000, 1000
 
 
 def hot_anchors(docs: DataFrame, units: Units) -> dict[int, int]:
@@ -355,9 +356,9 @@ def hot_anchors(docs: DataFrame, units: Units) -> dict[int, int]:
 
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("texts", T.LongType())])
     counts = common.arrow_map(some, anchors, schema).groupBy("anchor").agg(F.sum("texts").alias("texts"))
-    top = counts.where(F.col("texts") >= max(16, int(min(total, SAMPLE) * SHARE))).orderBy(F.desc("texts"), "anchor").limit(MOST_HOT).collect()
     scale = max(1.0, total / SAMPLE)
-    return {r["anchor"] % (1 << 64): max(2, -(-int(r["texts"] * scale) // MOST_CONTENTS)) for r in top}
+    top = counts.where(F.col("texts") >= max(16, 2 * MOST_CONTENTS / scale)).orderBy(F.desc("texts"), "anchor").limit(MOST_HOT).collect()
+    return {r["anchor"] % (1 << 64): -(-int(r["texts"] * scale) // MOST_CONTENTS) for r in top}
 
 
 def met_anchors(docs: DataFrame, units: Units, by_document: bool) -> DataFrame:
@@ -421,7 +422,7 @@ Resolve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.n
 SOLVED = T.StructType([*[T.StructField(f.name, f.dataType) for f in KEY], T.StructField("marks", T.BinaryType()), *PACKED.fields])
 
 
-def resolved(rows: DataFrame, units: Units, resolve: Resolve, by_document: bool, n_buckets: int, most: int = 2 << 20) -> DataFrame:
+def resolved(rows: DataFrame, units: Units, resolve: Resolve, by_document: bool, n_buckets: int, most: int = 1 << 20) -> DataFrame:
     """Marks of the regions' windows that repeat something earlier, and packed rows of what hot anchors' blocks leave unmarked.
 
     An anchor's block holds about MOST_CONTENTS contents, so what is held grows with ``most`` and that number only.
@@ -454,7 +455,7 @@ def resolved(rows: DataFrame, units: Units, resolve: Resolve, by_document: bool,
                 for x, y in gone.get(c, ()):
                     left[begin[n] + x : begin[n] + y + 1] = False
             text, at, digest = text[left], at[left], digest[left]
-            got = Scan(hot[text], first[hot[text]] + at, first[hot[text]] + at, digest[:, 0], digest)
+            got = Scan(hot[text], first[hot[text]] + at, first[hot[text]] + at, None, digest)
             batch = packed_batch(packed_rows(got, key, n_buckets, by_document, np.zeros(0, np.uint64)))
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(batch), pa.int64())] * n_key, pa.nulls(len(batch), pa.binary()), *batch.columns], names=names)
 

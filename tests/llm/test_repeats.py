@@ -180,7 +180,7 @@ def test_hot_anchor_with_many_surroundings(spark, docs_of, table_dir, monkeypatc
     side = lambda: " ".join(rnd.choice(("red", "green", "blue", "grey")) + str(rnd.randint(0, 9)) for _ in range(10))
     sides = [side() for _ in range(200)]
     pick = lambda: rnd.choice(sides) if rnd.random() < 0.3 else side()
-    rows = [(i, f"{pick()} {line} {pick()}") for i in range(2300)]
+    rows = [(i, f"{pick()} {line} {pick()}") for i in range(2300)]  # above 2 x MOST_CONTENTS: listed, too
     if not listed:
         monkeypatch.setattr(repeats, "hot_anchors", lambda *_: {})
     docs = docs_of(*rows)
@@ -191,7 +191,8 @@ def test_hot_anchor_with_many_surroundings(spark, docs_of, table_dir, monkeypatc
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {i: v for (i, _), v in brute_words(rows).items()}
 
 
-def test_hot_anchors_are_found(docs_of):
+def test_hot_anchors_are_found(docs_of, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_CONTENTS", 20)
     rnd = random.Random(3)
     line = "one line that many of the texts of this table hold, whatever stands around it, again and again"
     rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(120)) + line * (i % 2) + "".join(rnd.choice("abcdefgh ") for _ in range(90))) for i in range(120)]
@@ -200,11 +201,11 @@ def test_hot_anchors_are_found(docs_of):
 
 
 def test_very_long_texts(spark, docs_of, table_dir):
-    """Texts above the piece sizes (4 MiB of bytes, 16 MiB of words): a repeat across the border is found, others are not."""
+    """Texts above the piece sizes (1 MiB of bytes, 16 MiB of words): a repeat across the border is found, others are not."""
     rnd = np.random.default_rng(4)
     letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
     body = letters[rnd.integers(0, 16, 5_000_000)].tobytes().decode()
-    passage = body[(1 << 22) - 150 : (1 << 22) + 150]
+    passage = body[(1 << 20) - 150 : (1 << 20) + 150]
     rows = [(1, body), (2, "Z" + passage + "Y"), (3, "unrelated " * 3)]
     out = {r["doc_id"]: (r["_bytes"], r["_removed"], r["_runs"]) for r in suffixdedup.without_repeats(docs_of(*rows)).collect()}
     assert out == {1: (5_000_000, 0, 0), 2: (302, 300, 1), 3: (30, 0, 0)}
