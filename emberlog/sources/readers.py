@@ -6,6 +6,7 @@ import ipaddress
 import re
 import socket
 from collections.abc import Mapping, Sequence
+from csv import reader
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from ..schema import EVENT
 
 LONGEST_LINE = 1 << 20
-PATTERNS = ("*.log", "*.txt", "*.json", "*.jsonl", "*.ndjson", "*.csv", "*.tsv", "*.gz", "*.out")
 
 
 def text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -25,10 +25,10 @@ def text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def directory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Every file below a directory; unreadable files are skipped."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(path).withColumn("source", F.col("_metadata.file_name"))
+        found = found.option("pathGlobFilter", pattern)
+    rows = found.text(path).withColumn("source", F.col("_metadata.file_name"))
     return rows.where(F.length(F.trim("value")) > 0)
 
 
@@ -38,15 +38,23 @@ def sniff(header: str) -> str:
 
 
 def csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Rows of a delimited file as JSON lines (value), so that the record parser takes them; surplus cells go to ``_extra``."""
+    """Rows of a delimited file or folder as JSON lines (value), so that the record parser takes them.
+
+    Cells beyond the header go to the list ``_extra``, all of them: how many there can be is counted first.
+    """
     lines = spark.read.text(path)
     head = lines.limit(1).first()
     header = (head["value"] if head else "").lstrip("\ufeff")
     sep = delimiter or sniff(header)
-    names = [h.strip().strip('"') or f"column_{i}" for i, h in enumerate(header.split(sep))]
-    schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names) + ", `_extra` string"
+    cells = next(reader([header], delimiter=sep), [])
+    names = [h.strip().replace("`", "") or f"column_{i}" for i, h in enumerate(cells)]
+    most = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))).alias("n")).first()["n"] or 0
+    spare = [f"_surplus_{i}" for i in range(max(0, most + 1 - len(names)))]
+    schema = ", ".join(f"`{n}` string" for n in [*names, *spare])
     rows = spark.read.schema(schema).option("sep", sep).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true").csv(path)
-    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"), F.element_at(F.split(F.lit(path), "/"), -1).alias("source"))
+    extra = F.array_compact(F.array(*[F.col(c) for c in spare])) if spare else F.array().cast("array<string>")
+    named = F.struct(*[F.col(f"`{c}`") for c in names], F.when(F.size(extra) > 0, extra).alias("_extra"))
+    return rows.select(F.to_json(named).alias("value"), F.col("_metadata.file_name").alias("source"))
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:

@@ -11,17 +11,19 @@ from ..functions.times import partition_columns
 from ..schema import PARTITIONS
 
 
+NO_RUN = "none"
+
+
 def _dealt(df: DataFrame, files_per_day: int) -> DataFrame:
     """Rows of a day go to a few tasks instead of a file of every task for every day."""
     return df.repartition(*PARTITIONS, F.pmod(F.xxhash64("event_id"), F.lit(files_per_day)))
 
 
 def write_events(df: DataFrame, root: str, *, format: str = "parquet", run: str | None = None, mode: str = "append", files_per_day: int = 8, hourly: bool = False) -> None:
-    """parquet (zstd), json or csv under year=/month=/day=. With a ``run`` id a repeated run replaces its own files."""
+    """parquet (zstd), json or csv under year=/month=/day=/run=. With a ``run`` id a repeated run replaces its own files."""
     out = _dealt(partition_columns(df, hourly=hourly), files_per_day)
-    keys = [*PARTITIONS, *(["hour"] if hourly else [])]
-    if run:
-        out, keys, mode = out.withColumn("run", F.lit(run)), [*keys, "run"], "overwrite"
+    keys = [*PARTITIONS, *(["hour"] if hourly else []), "run"]  # always there: one layout for all writes of a dataset
+    out, mode = out.withColumn("run", F.lit(run or NO_RUN)), "overwrite" if run else mode
     writer = out.write.mode(mode).partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
     if format == "parquet":
         writer.option("compression", "zstd").parquet(root)
@@ -33,8 +35,8 @@ def write_events(df: DataFrame, root: str, *, format: str = "parquet", run: str
         raise ValueError(f"unknown format {format!r}")
 
 
-def write_dead_letters(df: DataFrame, root: str) -> None:
-    df.withColumn("day", F.date_format("rejected_at", "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(root)
+def write_dead_letters(df: DataFrame, root: str, mode: str = "append") -> None:
+    df.withColumn("day", F.date_format("rejected_at", "yyyy-MM-dd")).write.mode(mode).partitionBy("day").json(root)
 
 
 def rejection_counts(dead: DataFrame) -> DataFrame:
@@ -79,21 +81,31 @@ def expire(spark: SparkSession, root: str, days: int, *, today: date, dry_run: b
 
 
 def compact(spark: SparkSession, root: str, day: date, target_mb: int = 128) -> int:
-    """One day's files rewritten to about ``target_mb`` each: staged first, then swapped by renames. Returns the number of files."""
+    """One day's files rewritten to about ``target_mb`` each, run by run (and hour by hour), so that a repeated run still replaces its own.
+
+    Staged first, then swapped by two renames; between them readers miss the day. Returns the number of files.
+    """
     jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
     source = day_partitions(spark, root)[day]
     fs, _ = _fs(spark, root)
-    size = fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(source)).getLength()
+    size = fs.getContentSummary(path(source)).getLength()
     n = max(1, -(-size // (target_mb << 20)))
     staged, old = f"{root}/_staged_{day:%Y%m%d}", f"{root}/_old_{day:%Y%m%d}"
+    from pyspark.sql import types as T
+
     from ..schema import EVENT
 
-    spark.read.schema(EVENT).option("recursiveFileLookup", "true").parquet(source).repartition(n).write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    path = jvm.org.apache.hadoop.fs.Path
+    keys = [k for k, depth in (("hour", "hour=*"), ("run", "run=*")) if fs.globStatus(path(source, depth)) or fs.globStatus(path(source, f"*/{depth}"))]
+    rows = spark.read.schema(T.StructType([*EVENT.fields, *[T.StructField(k, T.StringType()) for k in keys]])).parquet(source)
+    dealt = rows.repartition(n, *keys, F.pmod(F.xxhash64("event_id"), F.lit(n))) if keys else rows.repartition(n)
+    writer = dealt.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy(*keys) if keys else writer).parquet(staged)
+    files = sum(1 for f in spark.read.parquet(staged).inputFiles())
     fs.rename(path(source), path(old))
     fs.rename(path(staged), path(source))
     fs.delete(path(old), True)
-    return n
+    return files
 
 
 def count_rows(spark: SparkSession, root: str) -> int:

@@ -54,7 +54,7 @@ def start(lines: DataFrame, root: str, dead: str, checkpoint: str, *, parser="js
             parsed, rows = checked(batch, parser)
             ok = rows.where("reject_reason IS NULL").dropDuplicates(["event_id"])
             write_events(stored(ok), root, run=f"batch-{number}")
-            write_dead_letters(rejected_lines(parsed, rows), f"{dead}/batch={number}")
+            write_dead_letters(rejected_lines(parsed, rows), f"{dead}/batch={number}", mode="overwrite")
             if on_batch:
                 on_batch(ok, number)
         finally:

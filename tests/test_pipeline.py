@@ -203,3 +203,27 @@ def test_reports_render(fixture_logs, tmp_path):
     assert json.loads(report.to_json(r))["sections"]["overview"][0]["records"] == 200
     assert "| records |" in report.to_markdown(r) and "<table>" in report.to_html(r)
     assert json.load(open(report.save(r, str(tmp_path / "r.json"))))["name"] == "Log report"
+
+
+def test_csv_keeps_all_surplus_cells(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('"a,x",b\n1,2,3,4,5\n6,"7,8"\n')
+    got = [json.loads(r["value"]) for r in readers.csv(spark, str(tmp_path / "s.csv")).collect()]
+    assert got == [{"a,x": "1", "b": "2", "_extra": ["3", "4", "5"]}, {"a,x": "6", "b": "7,8"}]
+    assert {r["source"] for r in readers.csv(spark, str(tmp_path)).collect()} == {"s.csv"}
+
+
+def test_compaction_and_mixed_runs_stay_readable(spark, sf, tmp_path):
+    from emberlog.plans.eventlog import logs
+    from emberlog.schema import conform
+
+    rows = conform(logs(spark, sf)).limit(300).cache()
+    root = str(tmp_path / "ds")
+    writers.write_events(rows.where("CAST(event_id AS BIGINT) % 2 = 0"), root)
+    for _ in range(2):
+        writers.write_events(rows.where("CAST(event_id AS BIGINT) % 2 = 1"), root, run="batch-1")
+    want = sorted(r[0] for r in rows.select("event_id").collect())
+    for day in writers.day_partitions(spark, root):
+        assert writers.compact(spark, root, day) <= 2
+    assert sorted(r[0] for r in readers.events(spark, root).select("event_id").collect()) == want
+    writers.write_events(rows.where("CAST(event_id AS BIGINT) % 2 = 1"), root, run="batch-1")
+    assert sorted(r[0] for r in readers.events(spark, root).select("event_id").collect()) == want
