@@ -56,11 +56,15 @@ class TurnTokens:
     """Tokens of a tokenizer file (its path on the driver; default as in ``bpe``) and a fixed share for the marks."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.shared = spark.sparkContext.broadcast(read_file(path))
+        self.shared, self.memo = spark.sparkContext.broadcast(read_file(path)), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}  # tasks find their worker's own
 
     def __call__(self, text: str) -> int:
-        memo = kept(self.shared.value, LibraryEncoder)
-        return sum(len(memo[c]) for c in chunks(text)) // 4 + OVERHEAD
+        if self.memo is None:  # once for each task: the look-up hashes the whole file
+            self.memo = kept(self.shared.value, LibraryEncoder)
+        return sum(len(self.memo[c]) for c in chunks(text)) // 4 + OVERHEAD
 
 
 WINDOW = [
