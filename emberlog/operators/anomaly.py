@@ -1,18 +1,21 @@
 """Statistical anomaly detection over bucketed series, as window functions.
 
 A series is (metric, [dimension,] bucket, value); every detector works on all series at once,
-partitioned by series, so nothing is ordered globally. The one recursive detector (ewma) folds
-each series' ordered values in an array (bounded by the number of buckets of the range).
+partitioned by series, so nothing is ordered globally. The one recursive detector (ewma) follows
+each series in one Arrow table (bounded by the number of buckets of the range), in linear time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import lookup
 from ..functions.times import spine
@@ -101,21 +104,25 @@ def detect_iqr(series: DataFrame, config: Config = Config()) -> DataFrame:
 
 def detect_ewma(series: DataFrame, config: Config = Config()) -> DataFrame:
     """Exponentially weighted level and variance; each point is scored before it updates them."""
-    keys, a = _keys(series), config.alpha
-    rows = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("_s"))
-    first = F.col("_s")[0]["value"]
-    nothing = F.slice(F.transform("_s", lambda p: F.struct(p["bucket"].alias("bucket"), p["value"].alias("value"), F.lit(0.0).alias("expected"), F.lit(0.0).alias("score"))), 1, 0)
-    start = F.struct(first.alias("level"), F.lit(0.0).alias("var"), nothing.alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        gap = p["value"] - acc["level"]
-        sd = F.sqrt(acc["var"])
-        score = F.when(sd > 0, F.abs(gap) / sd).otherwise(F.when(gap != 0, F.lit(config.threshold + 1.0)).otherwise(0.0))
-        point = F.struct(p["bucket"].alias("bucket"), p["value"].alias("value"), acc["level"].alias("expected"), score.alias("score"))
-        return F.struct((acc["level"] + gap * a).alias("level"), ((acc["var"] + gap * gap * a) * (1 - a)).alias("var"), F.concat(acc["out"], F.array(point)).alias("out"))
-
-    folded = F.aggregate(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), start, step)["out"]
-    flat = rows.where(F.size("_s") >= config.min_history).select(*keys, F.posexplode(folded).alias("_i", "_p")).select(*keys, (F.col("_i") + 2).alias("_i"), "_p.*")
+    a, flat_score, few = config.alpha, config.threshold + 1.0, config.min_history
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.slice(0, 0) if rows.num_rows < few else rows.sort_by("bucket")
+        level, var, expected, scores = None, 0.0, [], []
+        for v in rows["value"].to_pylist():
+            expected.append(level)
+            if v is None or level is None:
+                scores.append(None)
+                level = v if level is None else level
+                continue
+            gap = v - level
+            scores.append(abs(gap) / math.sqrt(var) if var > 0 else flat_score if gap else 0.0)
+            level, var = level + gap * a, (var + gap * gap * a) * (1 - a)
+        return rows.append_column("expected", pa.array(expected, pa.float64())).append_column("score", pa.array(scores, pa.float64()))
+
+    rows = series.withColumn("value", F.col("value").cast("double"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("expected", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    flat = rows.groupBy(*_keys(series)).applyInArrow(follow, schema)
     return _found(flat, "ewma", F.col("expected"), F.col("score"), F.col("score") >= config.threshold, config)
 
 
@@ -155,17 +162,17 @@ def merged(found: DataFrame) -> DataFrame:
     return found.withColumn("_names", names).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "detector").withColumnRenamed("_names", "detector")
 
 
-def scan(logs: DataFrame, start, end, window: str = "5m", metrics: Sequence[str] = DEFAULT_METRICS, names: Sequence[str] = ("moving_average", "iqr"), config: Config = Config(), least: str = "low", limit: int = 200) -> DataFrame:
+def scan(logs: DataFrame, start, end, window: str = "5m", metrics: Sequence[str] = DEFAULT_METRICS, names: Sequence[str] = ("moving_average", "iqr"), config: Config = Config(), least: str = "low", limit: int = 200, exact: bool = False) -> DataFrame:
     """All metrics in one pass over the logs, then every detector on all series at once."""
-    series = long_series(timeseries(logs, start, end, window, metrics), metrics)
+    series = long_series(timeseries(logs, start, end, window, metrics, exact=exact), metrics)
     return _limited(merged(typed(detect(series, names, config))), least, limit)
 
 
-def scan_by(logs: DataFrame, dimension: str, start, end, window: str = "5m", metric: str = "errors", names: Sequence[str] = ("moving_average", "iqr"), config: Config = Config(), most: int = 20, least: str = "medium", limit: int = 200) -> DataFrame:
+def scan_by(logs: DataFrame, dimension: str, start, end, window: str = "5m", metric: str = "errors", names: Sequence[str] = ("moving_average", "iqr"), config: Config = Config(), most: int = 20, least: str = "medium", limit: int = 200, exact: bool = False) -> DataFrame:
     """One metric by the busiest values of a dimension: one query for all of them, gaps filled for each."""
     named = logs.where(F.col(dimension).isNotNull()).withColumn("dimension", F.col(dimension).cast("string"))
     busiest = named.groupBy("dimension").count().orderBy(F.desc("count"), "dimension").limit(most).select("dimension")
-    got = timeseries(named, start, end, window, [metric], by="dimension")
+    got = timeseries(named, start, end, window, [metric], by="dimension", exact=exact)
     full = spine(logs.sparkSession, start, end, window, dict(logs.dtypes)["timestamp"]).crossJoin(F.broadcast(busiest))  # buckets x at most ``most`` values
     filled = full.join(got, ["bucket", "dimension"], "left").select("dimension", "bucket", F.coalesce(metric, F.lit(0.0)).alias(metric))
     series = long_series(filled, [metric], "dimension")

@@ -19,6 +19,7 @@ from ..functions.times import parse_timestamp
 from ..schema import EVENT
 
 LONGEST, LONGEST_VALUE, MOST_TERMS, MOST_DEPTH, MOST_VALUES = 4096, 512, 64, 8, 50
+MOST_ROWS = 1_000_000
 FIELDS = tuple(f.name for f in EVENT.fields if f.name != "metadata")
 NAMES = {
     "ip": "ip_address", "client_ip": "ip_address", "status": "status_code", "path": "endpoint", "url": "endpoint", "method": "http_method",
@@ -219,10 +220,16 @@ def search(logs: DataFrame, text: str | None = None, filters: Mapping[str, Any]
     return logs if test is None else logs.where(test)
 
 
-def page(found: DataFrame, order: str = "timestamp", descending: bool = True, offset: int = 0, limit: int = 100) -> DataFrame:
-    """One page by offset; ties by event_id, nulls last."""
+def ceiling(limit: int) -> int:
+    """What a caller may ask for at once."""
+    return max(0, min(limit, MOST_ROWS))
+
+
+def page(found: DataFrame, order: str = "timestamp", descending: bool = True, offset: int = 0, limit: int = 100, total: bool = False) -> DataFrame:
+    """One page by offset; ties by event_id, nulls last. ``total`` adds the number of all rows found."""
     c = F.col(order)
-    return found.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.desc("event_id") if descending else F.asc("event_id")).offset(offset).limit(limit)
+    out = found.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.desc("event_id") if descending else F.asc("event_id")).offset(offset).limit(ceiling(limit))
+    return out.join(F.broadcast(found.agg(F.count("*").alias("total"))), how="cross") if total else out  # the count is one row
 
 
 def page_after(found: DataFrame, timestamp: Any = None, event_id: str | None = None, limit: int = 100) -> DataFrame:
@@ -230,7 +237,7 @@ def page_after(found: DataFrame, timestamp: Any = None, event_id: str | None = N
     if timestamp is not None:
         t = F.lit(timestamp).cast(dict(found.dtypes)["timestamp"])
         found = found.where((F.col("timestamp") < t) | ((F.col("timestamp") == t) & (F.col("event_id") < F.lit(event_id))))
-    return found.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    return found.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(ceiling(limit))
 
 
 def by_id(logs: DataFrame, event_id: str) -> DataFrame:

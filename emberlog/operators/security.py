@@ -1,8 +1,9 @@
-"""Scored security detections. Every detection is a grouped aggregate; scores and correlation are expressions."""
+"""Scored security detections. All of them are one grouped aggregate over one scan; scores and correlation are expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ FAILED_LOGIN = (401, 403)
 SENSITIVE_PATHS = ("/admin", "/login", "/api/keys", "/.env", "/.git", "/wp-admin", "/actuator", "/phpmyadmin")
 SUSPICIOUS_AGENTS = ("sqlmap", "nikto", "nmap", "masscan", "havij", "acunetix", "dirbuster", "gobuster", "wpscan", "curl/7.", "python-requests")
 PER_TYPE = 50
+SAMPLES = 10
 # ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -32,53 +34,80 @@ def _seconds() -> Column:
     return (F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 1000000.0
 
 
-def _grouped(rows: DataFrame, subject: Column, volume: Column, distinct: Column) -> DataFrame:
-    return rows.groupBy(subject.alias("subject")).agg(volume.cast("long").alias("event_count"), distinct.cast("long").alias("breadth"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+@dataclass(frozen=True)
+class Detection:
+    """Which rows count for whom, what is counted as breadth, and what a finding needs."""
+
+    kind: str
+    hit: Column
+    item: str = "endpoint"
+    subject: Column | None = None
+    least: int = 1
+    least_breadth: int = 0
+    by_breadth: bool = False
+    least_rate: float = 0.0
+
+
+def findings(logs: DataFrame, *detections: Detection, limit: int = PER_TYPE, samples: int = SAMPLES) -> DataFrame:
+    """All detections from one scan, the ``limit`` largest of each kind.
+
+    A row counts once for each detection it hits. Rows are first counted by (type, subject, item), so a subject's
+    breadth is a plain count and its evidence the first ``samples`` items in order: no set of all items is held.
+    """
+    subject = lambda d: F.col("ip_address") if d.subject is None else d.subject
+    hits = [F.when(d.hit & subject(d).isNotNull(), F.struct(F.lit(d.kind).alias("type"), subject(d).alias("subject"), F.col(d.item).cast("string").alias("item"))) for d in detections]
+    rows = logs.select("timestamp", "user_agent", F.explode(F.array(*hits)).alias("_h")).where("_h IS NOT NULL").select("timestamp", "user_agent", "_h.*")
+    items = rows.groupBy("type", "subject", "item").agg(F.count("*").alias("_n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min("user_agent").alias("user_agent"))
+    first = F.row_number().over(Window.partitionBy("type", "subject").orderBy(F.asc_nulls_last("item"))) <= samples
+    found = items.withColumn("_sample", F.when(first, F.col("item"))).groupBy("type", "subject").agg(
+        F.sum("_n").alias("event_count"), F.count("item").alias("breadth"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min("user_agent").alias("user_agent"), F.array_sort(F.collect_list("_sample")).alias("samples"),
+    )
+    enough = reduce(lambda a, b: a | b, [(F.col("type") == d.kind) & (F.col("event_count") >= d.least) & (F.col("breadth") >= d.least_breadth) for d in detections])
+    size = F.when(F.col("type").isin(*[d.kind for d in detections if d.by_breadth]), F.col("breadth")).otherwise(F.col("event_count"))
+    top = F.row_number().over(Window.partitionBy("type").orderBy(F.desc(size), F.asc("subject")))
+    kept = found.where(enough).withColumn("_r", top).where(F.col("_r") <= limit).drop("_r")
+    rate = F.col("event_count") / F.greatest(_seconds(), F.lit(1.0))
+    return reduce(DataFrame.where, [(F.col("type") != d.kind) | (rate >= d.least_rate) for d in detections if d.least_rate], kept)
 
 
-def _top(found: DataFrame, kind: str, *order: Column, limit: int = PER_TYPE) -> DataFrame:
-    keep = found.orderBy(*order, F.asc("subject")).limit(limit)
-    return keep.select(F.lit(kind).alias("type"), "subject", "event_count", "breadth", "first_seen", "last_seen")
+def _any_like(column: str, patterns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(column).ilike(p) for p in patterns], F.lit(False))
 
 
-def brute_force(logs: DataFrame, threshold: int = 5) -> DataFrame:
-    rows = logs.where(F.col("ip_address").isNotNull() & F.col("status_code").isin(*FAILED_LOGIN))
-    return _top(_grouped(rows, F.col("ip_address"), F.count("*"), F.count_distinct("endpoint")).where(F.col("event_count") >= threshold), "brute_force", F.desc("event_count"))
+def brute_force_of(threshold: int = 5) -> Detection:
+    return Detection("brute_force", F.col("status_code").isin(*FAILED_LOGIN), least=threshold)
 
 
-def credential_stuffing(logs: DataFrame, threshold: int = 5) -> DataFrame:
-    rows = logs.where(F.col("ip_address").isNotNull() & F.col("user_id").isNotNull() & F.col("status_code").isin(*FAILED_LOGIN))
-    return _top(_grouped(rows, F.col("ip_address"), F.count("*"), F.count_distinct("user_id")).where(F.col("breadth") >= max(5, threshold)), "credential_stuffing", F.desc("breadth"))
+def credential_stuffing_of(threshold: int = 5) -> Detection:
+    return Detection("credential_stuffing", F.col("user_id").isNotNull() & F.col("status_code").isin(*FAILED_LOGIN), "user_id", least_breadth=max(5, threshold), by_breadth=True)
 
 
-def endpoint_scanning(logs: DataFrame, threshold: int = 25) -> DataFrame:
-    rows = logs.where(F.col("ip_address").isNotNull() & (F.col("status_code") == 404))
-    return _top(_grouped(rows, F.col("ip_address"), F.count("*"), F.count_distinct("endpoint")).where(F.col("event_count") >= threshold), "endpoint_scanning", F.desc("breadth"))
+def endpoint_scanning_of(threshold: int = 25) -> Detection:
+    return Detection("endpoint_scanning", F.col("status_code") == 404, least=threshold, by_breadth=True)
 
 
-def _any_like(column: str, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(column).ilike(p) for p in patterns], F.lit(False))
+def sensitive_endpoints_of(paths: Sequence[str] = SENSITIVE_PATHS) -> Detection:
+    return Detection("sensitive_endpoint_access", _any_like("endpoint", [f"{p}%" for p in paths]))
 
 
-def sensitive_endpoints(logs: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS) -> DataFrame:
-    rows = logs.where(F.col("ip_address").isNotNull() & _any_like("endpoint", [f"{p}%" for p in paths]))
-    return _top(_grouped(rows, F.col("ip_address"), F.count("*"), F.count_distinct("endpoint")), "sensitive_endpoint_access", F.desc("event_count"))
+def suspicious_agents_of(agents: Sequence[str] = SUSPICIOUS_AGENTS) -> Detection:
+    return Detection("suspicious_user_agent", _any_like("user_agent", [f"%{a}%" for a in agents]))
 
 
-def suspicious_agents(logs: DataFrame, agents: Sequence[str] = SUSPICIOUS_AGENTS) -> DataFrame:
-    rows = logs.where(F.col("ip_address").isNotNull() & _any_like("user_agent", [f"%{a}%" for a in agents]))
-    return _top(_grouped(rows, F.col("ip_address"), F.count("*"), F.count_distinct("endpoint")), "suspicious_user_agent", F.desc("event_count"))
+def request_floods_of(threshold: int = 300, least_rate: float = 1.0) -> Detection:
+    """The rate is tested on the busiest addresses, after their limit."""
+    return Detection("request_flood", F.lit(True), least=threshold, least_rate=least_rate)
 
 
-def request_floods(logs: DataFrame, threshold: int = 300, least_rate: float = 1.0) -> DataFrame:
-    """The rate is tested on the busiest addresses, after their limit."""
-    rows = _grouped(logs.where("ip_address IS NOT NULL"), F.col("ip_address"), F.count("*"), F.count_distinct("endpoint")).where(F.col("event_count") >= threshold)
-    return _top(rows, "request_flood", F.desc("event_count")).where(F.col("event_count") / F.greatest(_seconds(), F.lit(1.0)) >= least_rate)
+def secrets_in_logs_of() -> Detection:
+    return Detection("secret_in_log", F.get_json_object("metadata", "$.masked") == "true", "logger", F.coalesce("service", F.lit("unknown")))
 
 
-def secrets_in_logs(logs: DataFrame) -> DataFrame:
-    rows = logs.where(F.get_json_object("metadata", "$.masked") == "true")
-    return _top(_grouped(rows, F.coalesce("service", F.lit("unknown")), F.count("*"), F.count_distinct("logger")), "secret_in_log", F.desc("event_count"))
+DETECTIONS = {
+    "brute_force": brute_force_of, "credential_stuffing": credential_stuffing_of, "endpoint_scanning": endpoint_scanning_of, "sensitive_endpoints": sensitive_endpoints_of,
+    "suspicious_agents": suspicious_agents_of, "request_floods": request_floods_of, "secrets_in_logs": secrets_in_logs_of,
+}
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -92,7 +121,7 @@ def scored(found: DataFrame) -> DataFrame:
 
 def analyze(logs: DataFrame, limit: int = 100) -> DataFrame:
     """All findings, highest risk first."""
-    found = reduce(DataFrame.unionByName, [f(logs) for f in (brute_force, credential_stuffing, endpoint_scanning, sensitive_endpoints, suspicious_agents, request_floods, secrets_in_logs)])
+    found = findings(logs, *[make() for make in DETECTIONS.values()])
     return scored(found).orderBy(F.desc("risk_score"), "subject", "type").limit(limit)
 
 
@@ -100,4 +129,4 @@ def by_severity(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-__all__ = ["analyze", "by_severity", "rounded", "scored"]
+__all__ = ["DETECTIONS", "analyze", "by_severity", "findings", "rounded", "scored"]

@@ -1,7 +1,7 @@
 """Analytics views. Each view scans the logs once: its breakdowns share one pass by grouping sets.
 
-Shares and rates are rounded to 6 places at the end only. Percentiles are exact by default; at cluster
-scale ``exact=False`` switches to a mergeable sketch of bounded size (see ``quantile``).
+Shares and rates are rounded to 6 places at the end only. Percentiles come from a mergeable sketch of bounded
+size; ``exact=True`` holds every distinct value of a group and interpolates (see ``quantile``).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def scoped(logs: DataFrame, start=None, end=None, filters: Mapping[str, Any] | N
     return logs
 
 
-def quantile(c: str, q: float, exact: bool = True) -> Column:
+def quantile(c: str, q: float, exact: bool = False) -> Column:
     return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000).cast("double")
 
 
@@ -46,7 +46,7 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.when(whole > 0, part / whole), F.lit(0.0))
 
 
-def latency_stats(exact: bool = True, ms: str = "response_time_ms") -> list[Column]:
+def latency_stats(exact: bool = False, ms: str = "response_time_ms") -> list[Column]:
     return [
         F.count(ms).alias("n"),
         rounded(F.coalesce(F.sum(ms), F.lit(0.0))).alias("total"),
@@ -58,7 +58,7 @@ def latency_stats(exact: bool = True, ms: str = "response_time_ms") -> list[Colu
     ]
 
 
-def overview(logs: DataFrame, exact: bool = True) -> DataFrame:
+def overview(logs: DataFrame, exact: bool = False) -> DataFrame:
     """One row. Requests are rows with a status code."""
     errors = F.count_if(is_error())
     return logs.agg(
@@ -117,7 +117,7 @@ def status_codes(logs: DataFrame, top: int = 15) -> DataFrame:
     return top_counts(classes.unionByName(rates), 1000).unionByName(top_counts(single, top))
 
 
-def latency(logs: DataFrame, top: int = 10, exact: bool = True) -> DataFrame:
+def latency(logs: DataFrame, top: int = 10, exact: bool = False) -> DataFrame:
     """Latency statistics over all rows and of the busiest services and endpoints (rows without a latency don't count)."""
     timed = logs.where("response_time_ms IS NOT NULL").withColumn("everything", F.lit("all"))
     got = by_dimension(timed, ["everything", "service", "endpoint"], latency_stats(exact))
@@ -138,7 +138,7 @@ def traffic(logs: DataFrame, start, end, top: int = 10) -> DataFrame:
     return totals.unionByName(count_by(logs, ["ip_address", "endpoint", "user_agent", "http_method"], top))
 
 
-def services(logs: DataFrame, start, end, limit: int = 50, exact: bool = True) -> DataFrame:
+def services(logs: DataFrame, start, end, limit: int = 50, exact: bool = False) -> DataFrame:
     """Health of each service; busiest first."""
     seconds = max(1.0, (end - start).total_seconds())
     bad = F.count_if(is_error())
@@ -150,7 +150,7 @@ def services(logs: DataFrame, start, end, limit: int = 50, exact: bool = True) -
     ).orderBy(F.desc("requests"), F.asc("service")).limit(limit)
 
 
-def metric_columns(metrics: Sequence[str], exact: bool = True) -> list[Column]:
+def metric_columns(metrics: Sequence[str], exact: bool = False) -> list[Column]:
     bad, server = is_error(), F.coalesce(F.col("status_code") >= 500, F.lit(False))
     client = F.coalesce(F.col("status_code").between(400, 499), F.lit(False))
     made = {
@@ -170,7 +170,7 @@ def metric_columns(metrics: Sequence[str], exact: bool = True) -> list[Column]:
     return [rounded(F.coalesce(made[m](), F.lit(0.0))).alias(m) for m in metrics]
 
 
-def timeseries(logs: DataFrame, start, end, window: str = "5m", metrics: Sequence[str] = ("requests",), fill_gaps: bool = True, by: str | None = None, exact: bool = True) -> DataFrame:
+def timeseries(logs: DataFrame, start, end, window: str = "5m", metrics: Sequence[str] = ("requests",), fill_gaps: bool = True, by: str | None = None, exact: bool = False) -> DataFrame:
     """bucket and one column for each metric, in one pass; gaps are 0. ``by`` adds a dimension (no gap filling beyond its own buckets)."""
     unknown = set(metrics) - set(METRICS)
     if unknown or window not in WINDOWS:
@@ -200,7 +200,12 @@ def dataset_summary(logs: DataFrame) -> DataFrame:
     return logs.agg(F.count("*").alias("records"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count_distinct("service").alias("services"))
 
 
-def describe(logs: DataFrame, column: str, *by: str) -> DataFrame:
-    """Exact statistics of any numeric column (deviation 0 for a single value)."""
+def describe(logs: DataFrame, column: str, *by: str, exact: bool = True) -> DataFrame:
+    """Statistics of any numeric column (deviation 0 for a single value), with exact percentiles unless told otherwise."""
     rows = logs.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double"))
-    return (rows.groupBy(*by) if by else rows).agg(*latency_stats(True, column))
+    return (rows.groupBy(*by) if by else rows).agg(*latency_stats(exact, column))
+
+
+def run_stats(runs: DataFrame) -> DataFrame:
+    """Totals over run records (status, records_written)."""
+    return runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed_runs"), F.coalesce(F.sum("records_written"), F.lit(0)).cast("long").alias("records_written"))

@@ -52,7 +52,7 @@ def top_sql(counts: str, top: int) -> str:
 
 
 # -- views ---------------------------------------------------------------------------------------------------------------
-add("agg_overview", over(views.overview), f"""SELECT count(*) AS records, count(status_code) AS requests, count(*) FILTER (WHERE {ERR}) AS errors, round(count(*) FILTER (WHERE {ERR}) / count(*), 6) AS error_rate,
+add("agg_overview", over(lambda d: views.overview(d, exact=True)), f"""SELECT count(*) AS records, count(status_code) AS requests, count(*) FILTER (WHERE {ERR}) AS errors, round(count(*) FILTER (WHERE {ERR}) / count(*), 6) AS error_rate,
   round(coalesce(avg(response_time_ms), 0), 6) AS latency_avg, round(coalesce(quantile_cont(response_time_ms, 0.95), 0), 6) AS latency_p95, round(coalesce(quantile_cont(response_time_ms, 0.99), 0), 6) AS latency_p99, count(DISTINCT service) AS services FROM scoped""")
 add("agg_errors", over(views.errors), f"""SELECT * FROM ({counts_sql(['service', 'endpoint', 'hostname', 'level'], f'(SELECT * FROM scoped WHERE {ERR})')})
   UNION ALL SELECT 'all', 'errors', count(*) FILTER (WHERE {ERR}), round(count(*) FILTER (WHERE {ERR}) * 100.0 / count(*), 6) FROM scoped""")
@@ -60,14 +60,14 @@ add("agg_status_codes", over(views.status_codes), "SELECT * FROM ("
     + top_sql("""(SELECT 'class' AS dimension, CAST(status_code // 100 AS VARCHAR) || 'xx' AS key, count(*) AS n FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL UNION ALL
   SELECT 'rate', CASE WHEN status_code // 100 IN (2, 3) THEN 'success' WHEN status_code // 100 = 4 THEN 'client_error' WHEN status_code // 100 = 5 THEN 'server_error' ELSE 'other' END, count(*) FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL)""", 1000)
     + ") UNION ALL SELECT * FROM (" + top_sql("(SELECT 'code' AS dimension, CAST(status_code AS VARCHAR) AS key, count(*) AS n FROM scoped WHERE status_code IS NOT NULL GROUP BY ALL)", 15) + ")")
-add("agg_latency", over(views.latency), f"""SELECT dimension, key, n, total, mean, least, most, p50, p95, p99, deviation FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS r FROM (
+add("agg_latency", over(lambda d: views.latency(d, exact=True)), f"""SELECT dimension, key, n, total, mean, least, most, p50, p95, p99, deviation FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS r FROM (
   SELECT 'everything' AS dimension, 'all' AS key, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL
   UNION ALL SELECT 'service', service, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL AND service IS NOT NULL GROUP BY service
   UNION ALL SELECT 'endpoint', endpoint, {stats_sql()} FROM scoped WHERE response_time_ms IS NOT NULL AND endpoint IS NOT NULL GROUP BY endpoint)) WHERE r <= 10""")
 add("agg_traffic", over(lambda d: views.traffic(d, START, END)), f"""SELECT * FROM ({counts_sql(['ip_address', 'endpoint', 'user_agent', 'http_method'])})
   UNION ALL SELECT 'total', k, CASE WHEN k = 'bytes' THEN b ELSE n END, CASE k WHEN 'per_minute' THEN round(n * 60.0 / {SECONDS}, 6) WHEN 'per_hour' THEN round(n * 3600.0 / {SECONDS}, 6) WHEN 'per_day' THEN round(n * 86400.0 / {SECONDS}, 6) ELSE 0 END
   FROM (SELECT count(*) AS n, CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) AS b FROM scoped), (VALUES ('requests'), ('bytes'), ('per_minute'), ('per_hour'), ('per_day')) AS t(k)""")
-add("agg_services", over(lambda d: views.services(d, START, END)), f"""SELECT service, requests, errors, round(f, 6) AS failure_rate, round(1 - f, 6) AS availability, round(requests / {SECONDS}, 6) AS throughput, total, mean, least, most, p50, p95, p99, deviation,
+add("agg_services", over(lambda d: views.services(d, START, END, exact=True)), f"""SELECT service, requests, errors, round(f, 6) AS failure_rate, round(1 - f, 6) AS availability, round(requests / {SECONDS}, 6) AS throughput, total, mean, least, most, p50, p95, p99, deviation,
   CASE WHEN f >= 0.10 THEN 'unhealthy' WHEN f >= 0.02 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT service, count(*) AS requests, count(*) FILTER (WHERE {ERR}) AS errors, count(*) FILTER (WHERE {ERR}) / count(*) AS f, {stats_sql(1)}
   FROM scoped WHERE service IS NOT NULL GROUP BY service) ORDER BY requests DESC, service LIMIT 50""")
 add("agg_top_of_all", over(lambda d: views.count_by(d, ["endpoint"], 5, of_all=True)), "SELECT 'endpoint' AS dimension, endpoint AS key, n, round(n * 100.0 / s, 6) AS percentage FROM (SELECT endpoint, count(*) AS n, sum(count(*)) OVER () AS s FROM scoped WHERE endpoint IS NOT NULL GROUP BY endpoint) ORDER BY n DESC, key LIMIT 5")
@@ -77,6 +77,10 @@ add("agg_dataset_summary", lambda s, sf: views.dataset_summary(logs(s, sf)), "SE
 add("agg_count_filtered", lambda s, sf: views.scoped(logs(s, sf), START, END, {"level": "ERROR", "service": ["svc-1", "svc-2"], "hostname": None, "parser": []}).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM scoped WHERE level = 'ERROR' AND service IN ('svc-1', 'svc-2')")
 add("agg_describe", over(lambda d: views.describe(d, "bytes_sent", "level")), f"SELECT level, {stats_sql(0, 'CAST(bytes_sent AS DOUBLE)')} FROM scoped WHERE bytes_sent IS NOT NULL GROUP BY level")
 add("agg_service_errors_p95", over(lambda d: d.groupBy("service").agg(F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"), F.round(F.percentile("response_time_ms", 0.95), 6).alias("p95"))), "SELECT service, count(*) AS n, count(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors, round(quantile_cont(response_time_ms, 0.95), 6) AS p95 FROM scoped GROUP BY service")
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+add("agg_latency_sketch", over(lambda d: d.groupBy("service").agg(*[views.quantile("response_time_ms", q).alias(n) for n, q in QUANTILES.items()])), "SELECT service, " + ", ".join(f"quantile_disc(response_time_ms, {q}) AS {n}" for n, q in QUANTILES.items()) + " FROM scoped GROUP BY service")
+add("agg_run_stats", lambda s, sf: views.run_stats(logs(s, sf).groupBy(F.to_date("timestamp").alias("run")).agg(F.count("*").alias("records_written"), F.when(F.count_if(F.col("status_code") == 503) > 0, "failed").otherwise("succeeded").alias("status"))),
+    "SELECT count(*) AS runs, count(*) FILTER (WHERE f > 0) AS failed_runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS records_written FROM (SELECT count(*) AS n, count(*) FILTER (WHERE status_code = 503) AS f FROM logs GROUP BY CAST(timestamp AS DATE))")
 
 # -- time series ---------------------------------------------------------------------------------------------------------
 METRIC_SQL = {
@@ -96,14 +100,14 @@ def series_sql(window: str, metrics, fill: bool = True) -> str:
 
 for _w in times.WINDOWS:
     _m = views.METRICS if _w in ("1h", "6h", "1d") else ("requests", "errors", "latency_p95")
-    add(f"series_{_w}", over(lambda d, w=_w, m=_m: views.timeseries(d, START, END, w, m)), series_sql(_w, _m))
+    add(f"series_{_w}", over(lambda d, w=_w, m=_m: views.timeseries(d, START, END, w, m, exact=True)), series_sql(_w, _m))
 add("series_sparse", over(lambda d: views.timeseries(d, START, END, "5m", ("requests", "bytes"), fill_gaps=False)), series_sql("5m", ("requests", "bytes"), False))
 add("series_by_service", over(lambda d: views.timeseries(d, START, END, "1d", ("requests", "errors"), by="service")), f"SELECT time_bucket({STEP['1d']}, timestamp) AS bucket, service, CAST(count(*) AS DOUBLE) AS requests, CAST(count(*) FILTER (WHERE {ERR}) AS DOUBLE) AS errors FROM scoped GROUP BY ALL")
 
 
 # -- window operators and anomaly detection ------------------------------------------------------------------------------
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    return views.long_series(views.timeseries(scoped(spark, sf), START, END, "1h", anomaly.DEFAULT_METRICS), anomaly.DEFAULT_METRICS)
+    return views.long_series(views.timeseries(scoped(spark, sf), START, END, "1h", anomaly.DEFAULT_METRICS, exact=True), anomaly.DEFAULT_METRICS)
 
 
 HOURLY = "series AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, bucket, {m} AS value FROM ({series_sql('1h', anomaly.DEFAULT_METRICS)})" for m in anomaly.DEFAULT_METRICS) + ")"
@@ -136,15 +140,32 @@ DETECT_SQL = {
 }
 for _d in anomaly.DETECTORS:
     add_series(f"detect_{_d}", lambda s, sf, d=_d: six("expected", "score")(anomaly.DETECTORS[d](hourly(s, sf))), f"SELECT metric, bucket, value, round(expected, 6) AS expected, round(score, 6) AS score, detector FROM ({DETECT_SQL[_d]}) WHERE {COUNTS}")
-add("anomaly_scan", over(lambda d: anomaly.scan(d, START, END, "1h")))
-add("anomaly_scan_by_service", over(lambda d: anomaly.scan_by(d, "service", START, END, "6h", least="low")))
+TYPE_SQL = "CASE WHEN value <= expected THEN 'traffic_drop' " + " ".join(f"WHEN kind = '{m}' THEN '{anomaly.UPWARD[m]}'" for m in anomaly.DEFAULT_METRICS) + " END"
+RATIO_SQL = "CASE WHEN expected > 0 THEN value / expected WHEN value > 0 THEN 2.0 ELSE 1.0 END"
+RANK_SQL = "CASE WHEN score >= 6 AND ratio >= 5 THEN 5 WHEN score >= 4.5 AND ratio >= 3 THEN 4 WHEN score >= 3 AND ratio >= 1.75 THEN 3 WHEN score >= 2.5 THEN 2 ELSE 1 END"
+
+
+def scan_sql(columns: str, kind: str) -> str:
+    """Findings of moving_average and iqr over ``series``, merged by point; low and above."""
+    found = " UNION ALL ".join(f"SELECT * FROM ({DETECT_SQL[d]})" for d in ("moving_average", "iqr"))
+    ranked = f"SELECT *, {RANK_SQL} AS r, {TYPE_SQL} AS type FROM (SELECT *, {kind} AS kind, {RATIO_SQL} AS ratio FROM ({found}) WHERE {COUNTS})"
+    best = f"SELECT * EXCLUDE (detector), row_number() OVER (PARTITION BY metric, bucket ORDER BY r DESC, score DESC, detector) AS i, CASE WHEN count(*) OVER (PARTITION BY metric, bucket) = 2 THEN 'iqr+moving_average' ELSE detector END AS detector FROM ({ranked})"
+    return f"SELECT {columns}, bucket, value, round(expected, 6) AS expected, round(score, 6) AS score, type, (['info', 'low', 'medium', 'high', 'critical'])[r] AS severity, detector FROM ({best}) WHERE i = 1 AND r >= 2 ORDER BY r DESC, score DESC, metric, bucket LIMIT 200"
+
+
+add_series("anomaly_scan", over(lambda d: anomaly.scan(d, START, END, "1h", exact=True)), scan_sql("metric", "metric"))
+BY_SERVICE = f"""busiest AS (SELECT service FROM scoped WHERE service IS NOT NULL GROUP BY service ORDER BY count(*) DESC, service LIMIT 20),
+  series AS (SELECT service AS metric, bucket, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM busiest CROSS JOIN (SELECT unnest(generate_series({A}, {B}, {STEP['6h']})) AS bucket)
+  LEFT JOIN (SELECT service, time_bucket({STEP['6h']}, timestamp) AS bucket, count(*) FILTER (WHERE {ERR}) AS n FROM scoped GROUP BY ALL) USING (service, bucket))"""
+add("anomaly_scan_by_service", over(lambda d: anomaly.scan_by(d, "service", START, END, "6h", least="low")), f", {BY_SERVICE} {scan_sql("'errors' AS metric, metric AS dimension", "'errors'")}")
+ORACLE_SQL["anomaly_scan_by_service"] = ORACLE_SQL["anomaly_scan_by_service"].replace(") , busiest", "), busiest")
 
 # -- security ------------------------------------------------------------------------------------------------------------
 PUBLIC = "NOT (subject LIKE '10.%')"
 
 
 def finding_sql(kind: str, where: str, breadth: str, having: str, order: str, subject: str = "ip_address") -> str:
-    return f"(SELECT '{kind}' AS type, {subject} AS subject, count(*) AS event_count, count(DISTINCT {breadth}) AS breadth, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM scoped WHERE {where} GROUP BY {subject} HAVING {having} ORDER BY {order} DESC, 2 LIMIT 50)"
+    return f"(SELECT '{kind}' AS type, {subject} AS subject, count(*) AS event_count, count(DISTINCT {breadth}) AS breadth, min(timestamp) AS first_seen, max(timestamp) AS last_seen, min(user_agent) AS user_agent, coalesce(array_to_string(list_sort(list(DISTINCT {breadth}) FILTER (WHERE {breadth} IS NOT NULL))[1:10], ' '), '') AS samples FROM scoped WHERE {where} GROUP BY {subject} HAVING {having} ORDER BY {order} DESC, 2 LIMIT 50)"
 
 
 PATHS = " OR ".join(f"endpoint ILIKE '{p}%'" for p in security.SENSITIVE_PATHS)
@@ -158,9 +179,15 @@ FINDING_SQL = {
     "request_floods": f"(SELECT * FROM {finding_sql('request_flood', 'ip_address IS NOT NULL', 'endpoint', 'count(*) >= 300', '3')} WHERE event_count / greatest(epoch_us(last_seen) - epoch_us(first_seen), 1000000) * 1e6 >= 1)",
     "secrets_in_logs": finding_sql("secret_in_log", "json_extract_string(metadata, '$.masked') = 'true'", "logger", "true", "3", "coalesce(service, 'unknown')"),
 }
+
+
+def one_line(found: DataFrame) -> DataFrame:
+    return found.withColumn("samples", F.array_join("samples", " "))
+
+
 for _k, _sql in FINDING_SQL.items():
-    add(f"sec_{_k}", over(getattr(security, _k)), f"SELECT * FROM {_sql}")
-add("sec_analyze", over(security.analyze), "SELECT * EXCLUDE (pub), CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'info' END AS severity FROM (SELECT *, round(greatest(0, least(100, CASE type "
+    add(f"sec_{_k}", over(lambda d, k=_k: one_line(security.findings(d, security.DETECTIONS[k]()))), f"SELECT * FROM {_sql}")
+add("sec_analyze", over(lambda d: one_line(security.analyze(d))), "SELECT * EXCLUDE (pub), CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 45 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'info' END AS severity FROM (SELECT *, round(greatest(0, least(100, CASE type "
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in security.BASE.items())
     + " END + least(32.0, 8.0 * log10(greatest(event_count, 1))) + least(10.0, 5.0 * log10(greatest(breadth, 1))) + least(15.0, 7.5 * (signals - 1)) - CASE WHEN pub THEN 0 ELSE 12 END)), 2) AS risk_score FROM (SELECT *, type <> 'secret_in_log' AND "
     + PUBLIC + " AS pub, CAST((SELECT count(DISTINCT type) FROM found g WHERE g.subject = f.subject) AS INTEGER) AS signals FROM found f)) ORDER BY risk_score DESC, subject, type LIMIT 100")
@@ -185,6 +212,7 @@ for _k, (_q, _where) in SEARCHES.items():
     add(f"search_{_k}", over(lambda d, q=_q: search.search(d, q).select("event_id", "timestamp", "service", "level")), f"SELECT event_id, timestamp, service, level FROM scoped WHERE {_where}")
 add("search_filters", over(lambda d: search.search(d, "status>=400", {"service": ["svc-1", "svc-4"], "method": "GET", "user": ""}).select("event_id")), "SELECT event_id FROM scoped WHERE status_code >= 400 AND service IN ('svc-1', 'svc-4') AND http_method = 'GET'")
 add("search_page", over(lambda d: search.page(search.search(d, "level=ERROR"), "service", descending=False, offset=20, limit=30).select("event_id", "service")), "SELECT event_id, service FROM scoped WHERE level = 'ERROR' ORDER BY service ASC NULLS LAST, event_id ASC LIMIT 30 OFFSET 20")
+add("search_page_total", over(lambda d: search.page(search.search(d, "level=ERROR"), "timestamp", offset=10, limit=25, total=True).select("event_id", "total")), "SELECT event_id, total FROM (SELECT *, count(*) OVER () AS total FROM scoped WHERE level = 'ERROR') ORDER BY timestamp DESC NULLS LAST, event_id DESC LIMIT 25 OFFSET 10")
 add("search_after", over(lambda d: search.page_after(d, "2024-01-15 12:00:00", "500", 40).select("event_id", "timestamp")), "SELECT event_id, timestamp FROM scoped WHERE timestamp < TIMESTAMP '2024-01-15 12:00:00' OR (timestamp = TIMESTAMP '2024-01-15 12:00:00' AND event_id < '500') ORDER BY timestamp DESC, event_id DESC LIMIT 40")
 add("search_by_id", lambda s, sf: search.by_id(logs(s, sf), "77").select("event_id", "service", "message"), "SELECT event_id, service, message FROM logs WHERE event_id = '77'")
 
