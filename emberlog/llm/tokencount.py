@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 from .bpe import WHITE, Vocabulary, byte_letters, kept
 
-STRETCH, MEMO_ENTRIES, LIMIT, NEVER = 1 << 14, 1 << 18, 1024, 1 << 62
+STRETCH, MEMO_ENTRIES, LIMIT, NEVER = 1 << 14, 1 << 19, 1024, 1 << 62
 BORDER = re.compile(f"(?<=[^{WHITE}])[ \\n\\t]")
 
 
