@@ -6,21 +6,25 @@ import ipaddress
 import re
 import socket
 from collections.abc import Mapping, Sequence
-from csv import reader
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENT
+from .spanning import Begins, Braces, Quoted, spanning
 
 LONGEST_LINE = 1 << 20
 
 
 def text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of plain or compressed files: value and source. Blank lines go, over-long ones are cut and flagged."""
-    rows = spark.read.text(path).withColumn("source", F.col("_metadata.file_name"))
-    return rows.where(F.length(F.trim("value")) > 0).withColumn("too_long", F.length("value") > LONGEST_LINE).withColumn("value", F.left("value", F.lit(LONGEST_LINE)))
+    return _lines(spark.read.text(path))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("source", F.col("_metadata.file_name")).where(F.length(F.trim("value")) > 0)
+    return rows.withColumn("too_long", F.length("value") > LONGEST_LINE).withColumn("value", F.left("value", F.lit(LONGEST_LINE)))
 
 
 def directory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -28,8 +32,7 @@ def directory(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if pattern:
         found = found.option("pathGlobFilter", pattern)
-    rows = found.text(path).withColumn("source", F.col("_metadata.file_name"))
-    return rows.where(F.length(F.trim("value")) > 0)
+    return _lines(found.text(path))
 
 
 def sniff(header: str) -> str:
@@ -40,29 +43,30 @@ def sniff(header: str) -> str:
 def csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """Rows of a delimited file or folder as JSON lines (value), so that the record parser takes them.
 
-    Cells beyond the header go to the list ``_extra``, all of them: how many there can be is counted first.
+    Each file's first line is its header. Quoted cells may hold delimiters and line breaks; cells beyond the header go to
+    the list ``_extra``, empty ones too; short rows lack their last fields; blank rows go. A row of over a million
+    characters is cut and flagged (too_long).
     """
-    lines = spark.read.text(path)
-    head = lines.limit(1).first()
-    header = (head["value"] if head else "").lstrip("\ufeff")
-    sep = delimiter or sniff(header)
-    cells = next(reader([header], delimiter=sep), [])
-    names = [h.strip().replace("`", "") or f"column_{i}" for i, h in enumerate(cells)]
-    most = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))).alias("n")).first()["n"] or 0
-    spare = [f"_surplus_{i}" for i in range(max(0, most + 1 - len(names)))]
-    schema = ", ".join(f"`{n}` string" for n in [*names, *spare])
-    rows = spark.read.schema(schema).option("sep", sep).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true").csv(path)
-    extra = F.array_compact(F.array(*[F.col(c) for c in spare])) if spare else F.array().cast("array<string>")
-    named = F.struct(*[F.col(f"`{c}`") for c in names], F.when(F.size(extra) > 0, extra).alias("_extra"))
-    return rows.select(F.to_json(named).alias("value"), F.col("_metadata.file_name").alias("source"))
+    head = spark.read.option("lineSep", "\n").text(path).limit(1).first()
+    sep = delimiter or sniff((head["value"] if head else "").lstrip("\ufeff"))
+    rows = spanning(spark, path, Quoted(sep))
+    return rows.where("block > 0 OR line > 0").select("value", "source", "too_long")
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of a whole-file JSON array (or a single object), one line each; other items are kept as they are and fail in the parser."""
-    whole = spark.read.option("wholetext", "true").text(path).withColumn("source", F.col("_metadata.file_name"))
-    body = F.trim("value")
-    items = F.from_json(F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))), "array<string>")
-    return whole.select(F.explode(items).alias("value"), "source")
+    """Objects of a JSON array (or a single object), one line each; other items are kept as they are and fail in the parser.
+
+    The file is read in pieces that end at a closing brace, by several tasks; what a task holds is one object.
+    """
+    chunks = spanning(spark, path, Braces())
+    items = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")
+    # a chunk that isn't JSON stays one line, which the parser rejects
+    return chunks.select(F.explode(F.coalesce(items, F.array("value"))).alias("value"), "source")
+
+
+def multiline(spark: SparkSession, path: str | list[str], begins: str, recursive: bool = False) -> DataFrame:
+    """Records of several lines: each begins at a line that matches ``begins``; value holds all its lines."""
+    return spanning(spark, path, Begins(begins), recursive=recursive).select("value", "source", "n_lines", "too_long")
 
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_$]{0,62}$")
