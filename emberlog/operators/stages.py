@@ -102,15 +102,15 @@ KEYS: dict[str, Callable[[], Column]] = {
 }
 
 
-def with_duplicates(df: DataFrame, strategy: str = "event_id", fields: Sequence[str] = ("timestamp", "service", "level", "message"), order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:
-    """df with is_duplicate: every row of a key but the first by ``order``. Rows without a key are never duplicates.
+def with_duplicates(df: DataFrame, strategy: str = "event_id", fields: Sequence[str] = ("timestamp", "service", "level", "message"), order: Sequence[str] = ("timestamp", "event_id"), among: Column | None = None) -> DataFrame:
+    """df with is_duplicate: every row of a key but the first by ``order``. Rows without a key, and those outside ``among``, are never duplicates.
 
     Keyless rows are dealt at random instead of into one task.
     """
     if strategy == "none":
         return df.withColumn("is_duplicate", F.lit(False))
     key = fingerprint_fields(list(fields)) if strategy == "fields" else KEYS[strategy]()
-    known = df.withColumn("_key", key)
+    known = df.withColumn("_key", key if among is None else F.when(among, key))
     salt = F.when(F.col("_key").isNull(), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("_key"))
     ranked = known.withColumn("_salted", salt).withColumn("_r", F.row_number().over(Window.partitionBy("_salted").orderBy(*order)))
     return ranked.withColumn("is_duplicate", F.col("_key").isNotNull() & (F.col("_r") > 1)).drop("_key", "_salted", "_r")
@@ -120,12 +120,12 @@ def deduplicate(df: DataFrame, strategy: str = "event_id", **options) -> DataFra
     return with_duplicates(df, strategy, **options).where("NOT is_duplicate").drop("is_duplicate")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The stored columns; the metadata map as JSON text."""
+def stored(df: DataFrame, *more: str) -> DataFrame:
+    """The stored columns; the metadata map as JSON text. ``more`` columns stay beside them."""
     out = df.withColumn("ingested_at", F.current_timestamp())
     if dict(df.dtypes)["metadata"].startswith("map"):
         out = out.withColumn("metadata", F.when(F.size("metadata") > 0, F.to_json("metadata")))
-    return conform(out)
+    return conform(out, *more)
 
 
 class Rejections(RuntimeError):
@@ -133,10 +133,10 @@ class Rejections(RuntimeError):
 
 
 def ingest(lines: DataFrame, parser="plaintext", *, dedup: str = "event_id", source: str = "unknown", default_service: str | None = None, most_rejected: float = 0.5, limit: int | None = None, check: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(good rows, dead letters) of text lines through every stage, as one lazy plan each."""
-    parsed = parse(lines, parser, source=source)
+    """(good rows, dead letters) of text lines through every stage, as one lazy plan each; ``routing.ingest_to`` writes both in one pass."""
     if limit is not None:
-        parsed = parsed.limit(limit)
+        lines = lines.limit(limit)  # before lines are dealt: both plans take the same ones
+    parsed = parse(lines, parser, source=source)
     checked = validate(transform(events(parsed), (clean, lambda d: normalise(d, default_service), enrich)))
     good = stored(deduplicate(checked.where("reject_reason IS NULL"), dedup))
     dead = rejected_lines(parsed, checked)

@@ -31,7 +31,7 @@ def is_error() -> Column:
     return F.coalesce(F.col("level").isin(*ERROR_LEVELS), F.lit(False)) | F.coalesce(F.col("status_code") >= 500, F.lit(False))
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """df in the stored column order and types; missing columns are null."""
+def conform(df: DataFrame, *more: str) -> DataFrame:
+    """df in the stored column order and types; missing columns are null. ``more`` columns follow as they are."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields], *more)

@@ -14,12 +14,17 @@ from ..schema import PARTITIONS
 NO_RUN = "none"
 
 
-def _dealt(df: DataFrame, files_per_day: int) -> DataFrame:
-    """Rows of a day go to a few tasks instead of a file of every task for every day."""
+def _dealt(df: DataFrame, files_per_day: int | None) -> DataFrame:
+    """Rows of a day go to a few tasks instead of a file of every task for every day.
+
+    Without a number adaptive execution decides: a day with most rows is split by size, small days share a task.
+    """
+    if files_per_day is None:
+        return df.hint("rebalance", *PARTITIONS)
     return df.repartition(*PARTITIONS, F.pmod(F.xxhash64("event_id"), F.lit(files_per_day)))
 
 
-def write_events(df: DataFrame, root: str, *, format: str = "parquet", run: str | None = None, mode: str = "append", files_per_day: int = 8, hourly: bool = False) -> None:
+def write_events(df: DataFrame, root: str, *, format: str = "parquet", run: str | None = None, mode: str = "append", files_per_day: int | None = None, hourly: bool = False) -> None:
     """parquet (zstd), json or csv under year=/month=/day=/run=. With a ``run`` id a repeated run replaces its own files."""
     out = _dealt(partition_columns(df, hourly=hourly), files_per_day)
     keys = [*PARTITIONS, *(["hour"] if hourly else []), "run"]  # always there: one layout for all writes of a dataset
@@ -53,14 +58,14 @@ def export(df: DataFrame, path: str, most: int | None = None) -> None:
     (df if most is None else df.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(most)).write.mode("errorifexists").json(path)
 
 
-def _fs(spark: SparkSession, root: str):
+def filesystem(spark: SparkSession, root: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def day_partitions(spark: SparkSession, root: str) -> dict[date, str]:
     """Day directories of a dataset, from its listing alone."""
-    fs, path = _fs(spark, root)
+    fs, path = filesystem(spark, root)
     found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "year=*/month=*/day=*")) or []
     out = {}
     for status in found:
@@ -74,7 +79,7 @@ def expire(spark: SparkSession, root: str, days: int, *, today: date, dry_run: b
     """Day directories older than ``days``; deleted unless it is a dry run."""
     old = [p for d, p in sorted(day_partitions(spark, root).items()) if d < today - timedelta(days=days)]
     if not dry_run:
-        fs, _ = _fs(spark, root)
+        fs, _ = filesystem(spark, root)
         for p in old:
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), True)
     return old
@@ -88,7 +93,7 @@ def compact(spark: SparkSession, root: str, day: date, target_mb: int = 128) ->
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     source = day_partitions(spark, root)[day]
-    fs, _ = _fs(spark, root)
+    fs, _ = filesystem(spark, root)
     size = fs.getContentSummary(path(source)).getLength()
     n = max(1, -(-size // (target_mb << 20)))
     staged, old = f"{root}/_staged_{day:%Y%m%d}", f"{root}/_old_{day:%Y%m%d}"
