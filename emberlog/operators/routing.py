@@ -34,9 +34,10 @@ _COUNTERS = "internal.metrics.collectMetricsAccumulator"  # how the engine names
 def route(lines: DataFrame, parser: str | Callable[[DataFrame], DataFrame] = "plaintext", *, source: str = "unknown", default_service: str | None = None, dedup: str = "event_id", count: Observation | None = None, **rules) -> DataFrame:
     """Every line with its stored columns and route ('good', 'dead', 'duplicate'), reason, stage and raw.
 
-    ``rules`` go to ``validate``. Rows that validation rejects never make a good row a duplicate.
+    ``lines`` that are parsed already (they have an ``event``) are taken as they are. ``rules`` go to ``validate``. Rows that
+    validation rejects never make a good row a duplicate.
     """
-    parsed = parse(lines, parser, source=source)
+    parsed = lines if "event" in lines.columns else parse(lines, parser, source=source)
     rest = [c for c in parsed.columns if c not in ("event", "source")]
     flat = parsed.select("event.*", *rest, F.col("event").isNotNull().alias("_parsed"))
     rows = validate(transform(flat, (clean, lambda d: normalise(d, default_service), enrich)), **rules)

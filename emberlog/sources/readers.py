@@ -40,7 +40,7 @@ def sniff(header: str) -> str:
     return max(",;\t|", key=lambda d: (header.count(d), -",;\t|".index(d)))
 
 
-def csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
     """Rows of a delimited file or folder as JSON lines (value), so that the record parser takes them.
 
     Each file's first line is its header. Quoted cells may hold delimiters and line breaks; cells beyond the header go to
@@ -53,7 +53,7 @@ def csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFra
     return rows.where("block > 0 OR line > 0").select("value", "source", "too_long")
 
 
-def json_array(spark: SparkSession, path: str) -> DataFrame:
+def json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Objects of a JSON array (or a single object), one line each; other items are kept as they are and fail in the parser.
 
     The file is read in pieces that end at a closing brace, by several tasks; what a task holds is one object.

@@ -4,7 +4,7 @@ from datetime import UTC, date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import anomaly, parsers, report, search, security, stages, views
+from emberlog.operators import anomaly, formats, parsers, report, search, security, stages, views
 from emberlog.schema import EVENT
 from emberlog.sources import generator, readers, writers
 from emberlog.streaming import pipeline as streaming
@@ -102,7 +102,7 @@ SAMPLES = {
 
 @pytest.mark.parametrize("name", sorted(SAMPLES))
 def test_each_format_is_detected(spark, name):
-    assert parsers.detect(lines(spark, *[SAMPLES[name]] * 4)) == name
+    assert formats.detect(lines(spark, *[SAMPLES[name]] * 4)) == name
 
 
 def test_parsed_fields(spark):
@@ -181,7 +181,7 @@ def test_sources(spark, tmp_path):
 def test_generator_is_seeded(spark):
     a, b, c = (generator.lines(spark, 50, "access", seed=s).orderBy("n").collect() for s in (1, 1, 2))
     assert a == b != c
-    assert parsers.detect(generator.lines(spark, 50, "access").select("value")) == "access"
+    assert formats.detect(generator.lines(spark, 50, "access").select("value")) == "access"
 
 
 def test_stream_is_idempotent_and_deduplicated(spark, tmp_path):
