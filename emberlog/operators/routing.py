@@ -31,15 +31,17 @@ LEAST_LINES = 1000  # a rate over fewer lines says nothing yet
 _COUNTERS = "internal.metrics.collectMetricsAccumulator"  # how the engine names an observed metric's counter
 
 
-def route(lines: DataFrame, parser: str | Callable[[DataFrame], DataFrame] = "plaintext", *, source: str = "unknown", default_service: str | None = None, dedup: str = "event_id", count: Observation | None = None, **rules) -> DataFrame:
+def route(lines: DataFrame, parser: str | Callable[[DataFrame], DataFrame] = "plaintext", *, source: str = "unknown", source_type: str = "file", default_service: str | None = None, dedup: str = "event_id", count: Observation | None = None, **rules) -> DataFrame:
     """Every line with its stored columns and route ('good', 'dead', 'duplicate'), reason, stage and raw.
 
     ``lines`` that are parsed already (they have an ``event``) are taken as they are. ``rules`` go to ``validate``. Rows that
     validation rejects never make a good row a duplicate.
     """
-    parsed = lines if "event" in lines.columns else parse(lines, parser, source=source)
+    parsed = lines if "event" in lines.columns else parse(lines, parser, source=source, source_type=source_type)
     rest = [c for c in parsed.columns if c not in ("event", "source")]
-    flat = parsed.select("event.*", *rest, F.col("event").isNotNull().alias("_parsed"))
+    origin = F.coalesce("event.source", F.col("source") if "source" in parsed.columns else F.lit(source))
+    fields = [origin.alias(n) if n == "source" else F.col("event")[n].alias(n) for n in parsed.schema["event"].dataType.names]
+    flat = parsed.select(*fields, *rest, F.col("event").isNotNull().alias("_parsed"))  # a line that no parser took has only its source
     rows = validate(transform(flat, (clean, lambda d: normalise(d, default_service), enrich)), **rules)
     blank = F.length(F.trim(F.coalesce("value", F.lit("")))) == 0
     reason = F.when(~F.col("_parsed"), F.when(blank, "empty_line").otherwise("unparseable")).otherwise(F.col("reject_reason"))

@@ -202,7 +202,9 @@ def compile_query(text: str | None) -> Column | None:
 def compile_filters(filters: Mapping[str, Any]) -> Column | None:
     parts = []
     for name, value in filters.items():
-        values = [str(v) for v in value][:MOST_VALUES] if isinstance(value, (list, tuple, set)) else [] if value in (None, "") else [str(value)]
+        values = [str(v) for v in value] if isinstance(value, (list, tuple, set)) else [] if value in (None, "") else [str(value)]
+        if len(values) > MOST_VALUES:
+            raise SearchError(f"more than {MOST_VALUES} values of {name}")
         if values:
             parts.append(comparison(field(name), "=", values))
     return combine(*parts)

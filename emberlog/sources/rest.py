@@ -1,11 +1,12 @@
 """A paginated REST API as a Spark data source (``rest_records``): one JSON line for each record.
 
-Options: url, records_path, next_path and cursor_param (cursor pages), page_param (numbered pages, one
-task each), max_pages, timeout, max_bytes, allow_private. Redirects are followed by hand, and each is checked.
+Options: url, records_path, next_path and cursor_param (cursor pages), page_param (numbered pages, read by
+page_tasks tasks up to the first empty one), max_pages (more pages than that are an error), timeout, max_bytes, allow_private. Redirects are followed by hand, and each is checked.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import urllib.error
 import urllib.request
@@ -50,22 +51,30 @@ class _Reader(DataSourceReader):
         self.o = {k.lower(): v for k, v in options.items()}
 
     def partitions(self):
-        pages = int(self.o.get("max_pages", "100"))
-        return [InputPartition(i) for i in range(1, pages + 1)] if self.o.get("page_param") else [InputPartition(0)]
+        tasks = min(int(self.o.get("page_tasks", "8")), int(self.o.get("max_pages", "100")))
+        return [InputPartition(i) for i in range(1, tasks + 1)] if self.o.get("page_param") else [InputPartition(0)]
 
     def read(self, partition):
         o, url = self.o, self.o["url"]
         get = lambda u: json.loads(fetch(u, timeout=float(o.get("timeout", "30")), most=int(o.get("max_bytes", str(256 << 20))), allow_private=o.get("allow_private", "false") == "true"))
-        if partition.value:
-            yield from self.rows(get(with_param(url, o["page_param"], str(partition.value))))
-            return
-        for _ in range(int(o.get("max_pages", "100"))):
+        most = int(o.get("max_pages", "100"))
+        if partition.value:  # every page_tasks-th page, up to the first empty one
+            step = min(int(o.get("page_tasks", "8")), most)
+            for number in itertools.count(partition.value, step):
+                found = list(self.rows(get(with_param(url, o["page_param"], str(number)))))
+                if not found:
+                    return
+                if number > most:
+                    raise ValueError(f"more than max_pages={most} pages at {redact_url(url)}")
+                yield from found
+        for _ in range(most):
             page = get(url)
             yield from self.rows(page)
             cursor = dig(page, o["next_path"]) if o.get("next_path") else None
             if cursor in (None, ""):
                 return
             url = str(cursor) if str(cursor).startswith("http") else with_param(url, o.get("cursor_param", "cursor"), str(cursor))
+        raise ValueError(f"more than max_pages={most} pages at {redact_url(o['url'])}")
 
     def rows(self, page):
         found = dig(page, self.o.get("records_path", ""))

@@ -48,9 +48,9 @@ def rejection_counts(dead: DataFrame) -> DataFrame:
     return dead.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def replayable(dead: DataFrame, reasons: tuple[str, ...] = ("storage_error", "transform_error", "unknown")) -> DataFrame:
-    """Lines worth another run."""
-    return dead.where(F.col("reason").isin(*reasons)).select(F.col("raw").alias("value"))
+def replayable(dead: DataFrame, reasons: tuple[str, ...] = ("storage_error", "transform_error", "unknown"), *more: str) -> DataFrame:
+    """Lines worth another run, with ``more`` of their columns."""
+    return dead.where(F.col("reason").isin(*reasons)).select(F.col("raw").alias("value"), *more)
 
 
 def export(df: DataFrame, path: str, most: int | None = None) -> None:
