@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .addresses import class_of, full_ipv6, mapped_ipv4
+
 # -- fixed values: spellings that mean a level, severity ranks, methods, environments, agent families ------------------
 LEVELS = ("TRACE", "DEBUG", "INFO", "NOTICE", "WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY", "UNKNOWN")
 LEVEL_RANK = {"TRACE": 5, "DEBUG": 10, "INFO": 20, "NOTICE": 25, "WARNING": 30, "ERROR": 40, "CRITICAL": 50, "ALERT": 60, "EMERGENCY": 70, "UNKNOWN": 0}
@@ -172,21 +174,22 @@ def ip_number(ip: Column) -> Column:
 
 
 def ip_class(ip: Column) -> Column:
-    """loopback, private, reserved or public for IPv4 by range arithmetic; the common IPv6 blocks by prefix."""
-    number = F.when(ip.rlike(IPV4), ip_number(ip))
-    four = first_match([(F.shiftright(number, 32 - bits) == sum(int(x) << (24 - 8 * i) for i, x in enumerate(net.split("."))) >> (32 - bits), F.lit(name)) for net, bits, name in RANGES], F.lit("public"))
-    low = F.lower(ip)
-    six = first_match(
-        [(low.isin("::1", "0:0:0:0:0:0:0:1"), F.lit("loopback")), (low.rlike("^(f[cd]|fe[89ab]|2001:0?db8:|::$)"), F.lit("private")), (low.rlike("^ff"), F.lit("reserved")), (low.rlike("^[23]"), F.lit("public"))],
-        F.lit("reserved"),
-    )
-    return F.when(number.isNotNull(), four).when(ipv6_like(ip), six)
+    """loopback, private, reserved or public by the special-purpose registries. IPv4-mapped addresses are loopback or private where their
+    IPv4 part is, else reserved, as their block is."""
+
+    def four(number: Column) -> Column:
+        return first_match([(F.shiftright(number, 32 - bits) == sum(int(x) << (24 - 8 * i) for i, x in enumerate(net.split("."))) >> (32 - bits), F.lit(name)) for net, bits, name in RANGES], F.lit("public"))
+
+    def six(full: Column) -> Column:
+        mapped = mapped_ipv4(full)
+        return F.when(mapped.isNotNull(), F.when(four(mapped).isin("loopback", "private"), four(mapped)).otherwise("reserved")).when(full.isNotNull(), class_of(full))
+
+    # the full spelling is bound once by the lambda: repeating it at every comparison would blow the plan up
+    return F.when(ip.rlike(IPV4), four(ip_number(ip))).when(F.contains(ip, F.lit(":")), F.get(F.transform(F.array(full_ipv6(ip)), six), F.lit(0)))
 
 
 def ipv6_like(ip: Column) -> Column:
-    groups = F.size(F.filter(F.split(ip, ":"), lambda g: F.length(g) > 0))
-    shape = ip.rlike(r"^[0-9A-Fa-f:]{2,39}$") & ~ip.rlike(r"[0-9A-Fa-f]{5}") & ~ip.rlike(":::") & ~ip.rlike("::.*::")
-    return shape & ((F.contains(ip, F.lit("::")) & (groups <= 7)) | ((groups == 8) & ~ip.rlike("^:|:$")))
+    return full_ipv6(ip).isNotNull()
 
 
 def valid_ip(raw: Column) -> Column:

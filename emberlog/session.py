@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # call sites of columns in error messages cost three round trips a column: plans of wide rows take three times as long to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
