@@ -15,6 +15,7 @@ from ..schema import EVENT
 from .spanning import Begins, Braces, Quoted, spanning
 
 LONGEST_LINE = 1 << 20
+STORED_TIME, NO_VALUE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "\\N"  # how text stores spell times and missing values
 
 
 def text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -130,14 +131,22 @@ def dig(value, path: str):
     return value
 
 
-def events(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
-    """A stored dataset with its declared schema; the range prunes day partitions."""
+def events(spark: SparkSession, root: str, start=None, end=None, format: str = "parquet") -> DataFrame:
+    """A stored dataset (parquet, json or csv) with its declared schema; the range prunes day partitions.
+
+    Times of JSON and CSV stores are read back to the microsecond; in CSV an empty text and a missing one are kept apart.
+    """
     from pyspark.sql import types as T
 
     from ..functions.times import in_range
 
-    schema = T.StructType([*EVENT.fields, *[T.StructField(n, T.StringType()) for n in ("year", "month", "day")]])
-    return in_range(spark.read.schema(schema).parquet(root), start, end)
+    schema = T.StructType([*EVENT.fields, *[T.StructField(n, T.StringType()) for n in ("year", "month", "day", "run")]])
+    reader = spark.read.schema(schema).option("timestampFormat", STORED_TIME)
+    if format == "csv":
+        reader = reader.option("header", "true").option("multiLine", "true").option("nullValue", NO_VALUE).option("escape", '"')
+    elif format not in ("parquet", "json"):
+        raise ValueError(f"unknown format {format!r}")
+    return in_range(reader.format(format).load(root), start, end)
 
 
 def dead_letters(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import partition_columns
 from ..schema import PARTITIONS
+from .readers import NO_VALUE, STORED_TIME
 
 
 NO_RUN = "none"
@@ -33,9 +34,9 @@ def write_events(df: DataFrame, root: str, *, format: str = "parquet", run: str
     if format == "parquet":
         writer.option("compression", "zstd").parquet(root)
     elif format == "json":
-        writer.json(root)
+        writer.option("timestampFormat", STORED_TIME).json(root)
     elif format == "csv":
-        writer.option("header", "true").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(root)
+        writer.option("header", "true").option("timestampFormat", STORED_TIME).option("nullValue", NO_VALUE).option("escape", '"').csv(root)
     else:
         raise ValueError(f"unknown format {format!r}")
 
