@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from . import common
 
 UNIT, LEAST_DOCUMENTS, TOP = 1_000_000_000, 10, 10
-SEATS, AT_ONCE = 32, 4
+SEATS, AT_ONCE, LEAST_BLOCKS = 32, 4, 8
 TEAM_ENTRIES = 1 << 20  # terms x groups of one team's block
 HELD_TERMS = 1 << 18  # distinct (group, term) entries that a scan task holds before it passes them on
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -190,7 +190,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, seats:
     size = per_lang.agg(F.max("groups").alias("groups"), F.max("terms").alias("terms")).first()
     most_groups, most_terms = size["groups"] or 0, size["terms"] or 0
     teams = max(2, min(seats, most_groups + most_groups % 2))
-    blocks = max(1, -(-most_terms * -(-most_groups // teams) // TEAM_ENTRIES))
+    blocks = max(LEAST_BLOCKS, -(-most_terms * -(-most_groups // teams) // TEAM_ENTRIES))
 
     # terms get their numbers inside (lang, block), in UTF-8 order
     numbered = kept.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
