@@ -98,3 +98,23 @@ def test_masking_options(spark):
     assert shown == ["mail ***REDACTED*** and a ta...[truncated 2 chars]", "short", None]
     with pytest.raises(ValueError):
         masking.mask_text(F.lit("x"), ("no such rule",))
+
+
+PLAIN = {
+    "2026-08-07 12:00:00 ERROR database is down": ("2026-08-07 12:00:00", "ERROR", None, "database is down"),
+    "2026-08-07 12:00:00 INFO [payment.handler] order created": ("2026-08-07 12:00:00", "INFO", "payment.handler", "order created"),
+    "[2026-08-07T12:00:00Z] [warn] (worker-3) - low  memory": ("2026-08-07 12:00:00", "WARNING", "worker-3", "low  memory"),
+    "1704067200 app.core.db: Error: lost connection": ("2024-01-01 00:00:00", "ERROR", "app.core.db", "lost connection"),
+    "2024/01/02 03:04:05 [main] FATAL stop": ("2024-01-02 03:04:05", "CRITICAL", "main", "stop"),
+    "01/Jan/2024:00:00:00 +0000 | debug | x=1": ("2024-01-01 00:00:00", "DEBUG", None, "x=1"),
+    "no time and no such word at all, although error comes late": (None, "UNKNOWN", None, "no time and no such word at all, although error comes late"),
+    "ERROR": (None, "ERROR", None, ""),
+}
+
+
+def test_plain_lines(spark):
+    from emberlog.operators.parsers import plain_text
+
+    df = plain_text(spark.createDataFrame([(k,) for k in PLAIN], "value string"))
+    got = {r["value"]: (r["ts"], r["level"], r["logger"], r["message"] or "") for r in df.select("value", F.date_format("event.timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event.level", "event.logger", "event.message").collect()}
+    assert got == PLAIN
