@@ -33,8 +33,13 @@ def scoped(logs: DataFrame, start=None, end=None, filters: Mapping[str, Any] | N
     return logs
 
 
+QUANTILES = (0.5, 0.95, 0.99)
+
+
 def quantile(c: str, q: float, exact: bool = False) -> Column:
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000).cast("double")
+    """One of QUANTILES; a group keeps one sketch (or one table of its values) for all of them, as equal aggregates are one."""
+    every = F.percentile(c, QUANTILES) if exact else F.percentile_approx(c, QUANTILES, 10000)
+    return F.get(every, F.lit(QUANTILES.index(q))).cast("double")
 
 
 def rounded(c: Column) -> Column:

@@ -6,7 +6,7 @@ import ipaddress
 import re
 import socket
 from collections.abc import Mapping, Sequence
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, unquote, urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +155,27 @@ def dead_letters(spark: SparkSession, root: str, since: str | None = None) -> Da
     return rows.where(F.col("rejected_at") >= F.lit(since).cast("timestamp")) if since else rows
 
 
+#: database URLs of other tools and the JDBC scheme that reads them
+JDBC_SCHEMES = {"postgres": "postgresql", "postgresql": "postgresql", "mysql": "mysql", "mariadb": "mariadb", "sqlite": "sqlite", "duckdb": "duckdb", "mssql": "sqlserver", "oracle": "oracle:thin"}
+
+
+def jdbc_target(target: str) -> tuple[str, str, dict[str, str]] | None:
+    """(JDBC URL, table, options) of ``scheme[+driver]://user:password@host/database#table``, or None. The password never stands in the URL."""
+    parts = urlsplit(target)
+    scheme = JDBC_SCHEMES.get(parts.scheme.split("+")[0])
+    if scheme is None:
+        return None
+    if not parts.fragment:
+        raise ValueError("name the table behind a #")
+    options = {k: unquote(v) for k, v in (("user", parts.username), ("password", parts.password)) if v}
+    query = f"?{parts.query}" if parts.query else ""
+    if not parts.hostname:  # a file
+        return f"jdbc:{scheme}:{parts.path[1:] if parts.path.startswith('//') else parts.path}{query}", parts.fragment, options
+    host = parts.hostname + (f":{parts.port}" if parts.port else "")
+    place = f"@//{host}{parts.path}" if scheme.startswith("oracle") else f"//{host};databaseName={parts.path[1:]}" if scheme == "sqlserver" else f"//{host}{parts.path}"
+    return f"jdbc:{scheme}:{place}{query}", parts.fragment, options
+
+
 def for_target(spark: SparkSession, target: str) -> DataFrame:
     """Lines of whatever a target names: URL, JDBC, directory or file by its ending."""
     if target.startswith(("http://", "https://")):
@@ -165,6 +186,8 @@ def for_target(spark: SparkSession, target: str) -> DataFrame:
     if target.startswith("jdbc:"):
         url, _, table = target.partition("#")
         return records(database(spark, url, table))
+    if found := jdbc_target(target):
+        return records(database(spark, found[0], found[1], options=found[2]))
     bare = target.lower().removesuffix(".gz")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():

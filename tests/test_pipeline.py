@@ -184,6 +184,25 @@ def test_generator_is_seeded(spark):
     assert formats.detect(generator.lines(spark, 50, "access").select("value")) == "access"
 
 
+def test_generator_has_incidents_and_dirt(spark):
+    r = generator.records(spark, 20_000, credentials=8).agg(F.count_if(F.col("timestamp").between("2024-01-01 12:00:00", "2024-01-01 12:14:24")).alias("burst"), F.count("secret").alias("secrets")).first()
+    assert r["burst"] > 1000 and r["secrets"] >= 8 + 5
+    seen = {x["secret"] for x in generator.records(spark, 800, credentials=8, leaks=0.0).where("secret IS NOT NULL").collect()}
+    assert seen == set(generator.CREDENTIALS)
+    ok, dead = stages.ingest(generator.lines(spark, 3000, "json", credentials=12, bad_times=0.02).select("value"), "json")
+    stored = str(ok.collect()) + str(dead.collect())
+    assert not any(x in stored for x in ("Wint3r-storm", "demo-0123456789", "bearer-value_42", "demo.person"))
+    assert {x["reason"] for x in dead.collect()} == {"unparseable", "missing_timestamp"}
+
+
+@pytest.mark.parametrize("target, want", [
+    ("postgresql+psycopg://ann:p%40ss@db.example:5432/logs?ssl=true#app.events", ("jdbc:postgresql://db.example:5432/logs?ssl=true", "app.events", {"user": "ann", "password": "p@ss"})),
+    ("mysql://h/d#t", ("jdbc:mysql://h/d", "t", {})), ("sqlite:////data/x.db#t", ("jdbc:sqlite:/data/x.db", "t", {})), ("mssql://h/d#t", ("jdbc:sqlserver://h;databaseName=d", "t", {})), ("/a/b.log", None),
+])
+def test_database_targets(target, want):
+    assert readers.jdbc_target(target) == want
+
+
 def test_stream_is_idempotent_and_deduplicated(spark, tmp_path):
     inbox, root, dead = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "dead")
     inbox.mkdir()
