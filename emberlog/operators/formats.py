@@ -93,8 +93,11 @@ def formats(spark: SparkSession, path: str, pattern: str | None = None) -> dict[
 
 
 def read_events(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Parsed lines (value, source, event) of a folder whose files have formats of their own; each file is parsed once."""
-    parts = []
+    """Parsed lines (value, source, event) of a folder whose files have formats of their own; each file is parsed once.
+
+    Files that one parser takes are one branch of the plan, whatever their reader.
+    """
+    lines_of: dict[str, list[DataFrame]] = {}
     for name, files in formats(spark, path, pattern).items():
         if name in ("csv", "tsv"):
             lines, parser = readers.csv(spark, files, "\t" if name == "tsv" else None), "json"
@@ -102,7 +105,7 @@ def read_events(spark: SparkSession, path: str, pattern: str | None = None) -> D
             lines, parser = readers.json_array(spark, files), "json"
         else:
             lines, parser = readers.text(spark, files), name
-        parts.append(parse(lines.select("value", "source"), parser))
-    if not parts:
+        lines_of.setdefault(parser, []).append(lines.select("value", "source"))
+    if not lines_of:
         return parse(spark.createDataFrame([], "value string, source string"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [parse(reduce(DataFrame.unionByName, lines), parser) for parser, lines in lines_of.items()])
