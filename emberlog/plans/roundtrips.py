@@ -176,6 +176,23 @@ add("stream_live_window", live, f"""SELECT * FROM (SELECT count(*) AS events, co
     .replace("FROM newest", "FROM (SELECT * FROM logs ORDER BY timestamp DESC, event_id LIMIT 10000)"))
 
 
+def tailed(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows as a rotating log, taken as a stream of so many lines a batch, and read back from the store."""
+    log, root, dead, checkpoint = (folder(spark, n) for n in ("log", "events", "dead", "checkpoint"))
+    n = F.col("event_id").cast("long")
+    logs(spark, sf).select(F.when(n % 20 == 0, F.lit("{broken")).otherwise(LINES["json"]()).alias("value")).write.text(log)
+    q = streaming.start(streaming.tail_stream(spark, log, most_records=10 * PER_FILE), root, dead, checkpoint, watermark=None, every="0 seconds")  # rows are in no order of time
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    good = readers.events(spark, root).groupBy("level", "service").agg(F.count("*").alias("n"))
+    return good.unionByName(readers.dead_letters(spark, dead).groupBy(F.col("reason").alias("level"), F.col("stage").alias("service")).agg(F.count("*").alias("n")))
+
+
+add("stream_tail", tailed, f"SELECT level, service, count(*) AS n FROM logs WHERE {ID} % 20 <> 0 GROUP BY ALL UNION ALL SELECT 'unparseable', 'parse', count(*) FROM logs WHERE {ID} % 20 = 0")
+
+
 # -- functions over planted values -----------------------------------------------------------------------------------------
 def planted(name: str, fn: Callable[[Column], Column], cases: list[tuple[str | None, str | None]]) -> None:
     """Every event carries one of the inputs; the query counts what the function makes of it, the SQL what it has to be."""

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.routing import route
 from ..schema import conform, is_error
+from ..sources import tail
 from ..sources.writers import filesystem, write_dead_letters, write_events
 
 WATERMARK = "10 minutes"
@@ -25,6 +26,15 @@ def text_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.text(path)
 
 
+def tail_stream(spark: SparkSession, path: str, *, most_records: int | None = None, most_bytes: int = 64 << 20, position: str | None = None, **options: str) -> DataFrame:
+    """Lines of a rotating log as they are written, so many a batch; ``position`` tells how far they are stored."""
+    tail.register(spark)
+    reader = spark.readStream.format("log_tail").options(path=path, most_bytes=str(most_bytes), **options)
+    for name, value in (("most_records", most_records), ("position", position)):
+        reader = reader if value is None else reader.option(name, str(value))
+    return reader.load()
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str, *, per_trigger: int | None = None, start: str = "latest") -> DataFrame:
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", start)
     if per_trigger:
