@@ -26,6 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from . import common
 
 THRESHOLD, TREES, LEAF, RECALL, MOST_SPILL, TRIED, SAMPLE, MOST = 0.9, 4, 2048, 0.997, 0.3, 8, 20_000, 4096
-MOST_SAMPLE = 1 << 18
+MOST_SAMPLE, MOST_BYTES = 1 << 18, 128 << 20  # of the sample that the driver fits on: rows, and bytes of their components
 
 
 def _split_chance(u: np.ndarray) -> np.ndarray:
@@ -147,16 +148,18 @@ def with_key(vectors: DataFrame) -> DataFrame:
 def fit(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, **options) -> dict[int, Forest]:
     """A forest for each vector length that the sample holds; vectors of any other length share one leaf.
 
-    The sample: rows with the smallest hash of the id, ``sample`` or 32 for each leaf wanted, MOST_SAMPLE at most.
+    The sample: rows with the smallest hash of the id, ``sample`` or 32 for each leaf wanted, MOST_SAMPLE rows and about
+    MOST_BYTES at most. It reaches the driver as one Arrow table.
     """
-    total = vectors.agg(F.count("*").alias("n")).first()["n"]
-    got = common.smallest(vectors.select("vec_id", "v"), min(MOST_SAMPLE, max(sample, 32 * total // leaf)), "vec_id").select("v").collect()
-    by_length: dict[int, list] = {}
-    for r in got:
-        by_length.setdefault(len(r["v"]), []).append(r["v"])
     size = F.size("v")
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
+    total, mean = vectors.agg(F.count("*"), F.avg(size)).first()
+    most = min(MOST_SAMPLE, max(1, int(MOST_BYTES / ((4 if kind == "float" else 8) * (mean or 1)))))
+    got = common.smallest(vectors.select("vec_id", "v"), min(most, max(sample, 32 * total // leaf)), "vec_id").select("v").toArrow().column(0)
+    lengths = np.array(pc.list_value_length(got))
+    by_length = {int(d): _floats(got.filter(pa.array(lengths == d)).combine_chunks()) for d in np.unique(lengths)}
     counts = {r["d"]: r["n"] for r in vectors.where(size.isin(*by_length)).groupBy(size.alias("d")).agg(F.count("*").alias("n")).collect()} if by_length else {}
-    return {d: Forest(_unit(np.array(by_length[d], float)), n, leaf=leaf, **options) for d, n in counts.items()}
+    return {d: Forest(_unit(by_length[d]), n, leaf=leaf, **options) for d, n in counts.items()}
 
 
 PLACED = [T.StructField(n, k, False) for n, k in (("leaf", T.StringType()), ("vec_id", T.LongType()), ("weight", T.LongType()), ("x", T.BinaryType()), ("all", T.BinaryType()))]

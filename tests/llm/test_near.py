@@ -175,3 +175,15 @@ def test_copies_of_vectors_are_one_node(spark, kind):
     assert [got[i]["n_links"] for i in range(900)] == s.sum(1).tolist()
     assert [got[i]["component_id"] for i in range(900)] == roots
     assert all(got[i]["kept"] == (roots[i] == i) for i in range(900))
+
+
+@pytest.mark.parametrize("kind, room, want", [("float", 64 * 1000, 2000), ("double", 64 * 1000, 1000), ("float", 1 << 30, 3000), ("float", 1, 1)])
+def test_sample_of_the_forest_is_bounded_in_bytes(spark, monkeypatch, kind, room, want):
+    """The rows that the driver fits on follow from their components' width; more columns of floats mean fewer rows."""
+    rows = spark.range(6000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.rand(3) + k).cast(f"array<{kind}>").alias("v"))
+    held = []
+    monkeypatch.setattr(embeddings, "MOST_BYTES", room)
+    monkeypatch.setattr(embeddings, "Forest", lambda x, n, **options: held.append((x.shape, n)))
+    assert list(embeddings.fit(rows, sample=3000)) == [8]
+    assert held == [((want, 8), 6000)]
+    assert embeddings.fit(rows.where("false")) == {}
