@@ -78,6 +78,16 @@ def test_trees_generalise_to_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == r["blocked"] for r in got) >= 0.98 * len(got)
 
 
+def test_a_rare_label_is_learned(spark):
+    """Two in a thousand URLs are blocked: a plain sample of 1,000 would hold two of them, a hundred are taken."""
+    good = spark.range(60_000).select(F.concat(F.lit("https://site"), (F.col("id") % 50).cast("string"), F.lit(".example.com/en/page"), F.col("id").cast("string"), F.lit(".html")).alias("url"), F.lit(False).alias("blocked"), "id")
+    bad = spark.range(120).select(F.concat(F.lit("http://x"), F.sha2(F.col("id").cast("string"), 256), F.lit(".example.net/a/b/c/d?u="), F.col("id").cast("string"), F.lit("&v=1&w=2")).alias("url"), F.lit(True).alias("blocked"), "id")
+    rows = good.unionAll(bad)
+    got = urls.with_verdict(rows.where("id % 2 = 1"), urls.fit(rows.where("id % 2 = 0"), sample=1000), rules=())
+    wrong = got.where((F.col("verdict") == "block") != F.col("blocked")).count()
+    assert wrong == 0 and got.where("blocked").count() == 60
+
+
 def test_verdicts_against_plain_trees(spark, sf):
     """The nested conditional expression gives what walking the trees in Python gives, on every page."""
     pages = common.table(spark, sf, "pages").select("page_id", "url")
