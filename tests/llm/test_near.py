@@ -125,6 +125,33 @@ def test_hot_leaf_in_blocks(spark):
     assert sorted(r[1] for r in got) == [149] * 150
 
 
+def test_dense_groups_are_balls_and_never_compared(spark):
+    """A third of the rows in one dense group, a tenth in a looser one: exact counts, and no block of a ball meets its own."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 32))
+    x[:2000] = x[0] + rng.standard_normal((2000, 32)) * 0.12
+    x[2000:2600] = x[2000] + rng.standard_normal((600, 32)) * 0.3
+    x[2600:2700] = x[0] + rng.standard_normal((100, 32)) * 0.45  # near the ball, partly linked with it
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = embeddings._clean(df).withColumn("weight", F.lit(1).cast("long"))
+    (forest,) = embeddings.fit(nodes, leaf=256, most=200).values()
+    ball = forest.balls(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert (ball[:2000] == ball[0]).mean() > 0.9 and ball[0] >= 0
+    s = brute_links(x)
+    for b in range(len(forest.centres)):
+        inside = np.flatnonzero(ball == b)
+        assert s[np.ix_(inside, inside)].sum() == len(inside) * (len(inside) - 1)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, leaf=256, most=200).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= s.sum(1)).all() and found.sum() >= 0.99 * s.sum()
+    roots = components(len(x), np.argwhere(np.triu(s)).tolist())
+    assert np.mean([got[i]["component_id"] == roots[i] for i in range(len(x))]) > 0.99
+    with_balls = embeddings.links(nodes, {32: forest}, most=200)
+    total = with_balls.agg(F.sum("n")).first()[0]
+    inside = embeddings.within(nodes, {32: forest}).agg(F.sum("n")).first()[0]
+    assert total == found.sum() and inside > 0.8 * s[:2000, :2000].sum()  # from weights, not from comparisons
+
+
 def test_odd_vectors(spark, table_dir):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, [2.0, 4.0, 6.0]), (2, [2.0, 4.0, 6.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (None, v), (9, [1.0, 2.0]), (10, [1e300, 2e300, 3e300])]
