@@ -93,13 +93,13 @@ class Forest:
                 break
             centre = some[near[k]].mean(axis=0)
             centre /= np.linalg.norm(centre)
-            p = x[left] @ centre
+            p = (x @ centre)[left]  # no copy of the sample
             inside = p >= self.core
             if inside.sum() * rows > most * len(x):
                 found.append(centre)
                 left = left[~inside]
             else:  # a loose place: no ball, and not looked at again
-                left = left[(p < self.threshold) & (x[left] @ some[k] < self.threshold)]
+                left = left[(p < self.threshold) & ((x @ some[k])[left] < self.threshold)]
         return np.array(found).reshape(len(found), x.shape[1])
 
     def balls(self, x: np.ndarray) -> np.ndarray:
