@@ -294,7 +294,7 @@ def _parts(cutter: Cutter, loose: bool, longest: int):
                 if now != key:
                     if key is not None:
                         put(True)
-                    key, line, head, count = now, 0, True, 0
+                    key, start, line, head, count = now, 0, 0, True, 0
                     first = batch.column(7)[a].as_py()
                     cutter.begin(batch.column(4)[a].as_py(), batch.column(5)[a].as_py(), batch.column(6)[a].as_py(), first)
                 lines = batch.column(2).slice(a, b - a).to_pylist()

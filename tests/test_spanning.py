@@ -45,6 +45,27 @@ def test_a_record_longer_than_the_bound_is_cut_and_flagged(spark, tmp_path, spli
     assert sorted((r["value"], r["too_long"]) for r in rows) == [("> one\n" + "y" * 34, True), ("> two", False)]
 
 
+def test_splits_of_several_files_in_one_task(spark, tmp_path):
+    """The rests of larger files share a task: what ends a record there keeps its place before the rest's own records."""
+    settings = {"spark.sql.files.maxPartitionBytes": "1000b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    want = []
+    for n in range(6):
+        records = [f"> {n}.{i}" + "".join(f"\n  frame {k} of {n}.{i}" for k in range(3)) for i in range(24 + n)]
+        (tmp_path / f"{n}.log").write_text("\n".join(records) + "\n")
+        want += [(f"{n}.log", r, 4) for r in records]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(str(tmp_path))
+        assert lines.rdd.getNumPartitions() < 12  # two splits a file at least
+        got = spanning.spanning(spark, str(tmp_path), spanning.Begins("^>")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r["source"], r["value"], r["n_lines"]) for r in got) == sorted(want)
+
+
 def rows_of_csv(text, delimiter=","):
     rows = [r for r in plain_csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)]
     names = [h.strip() for h in rows[0]]
