@@ -1,12 +1,14 @@
 """Analytics views. Each view scans the logs once: its breakdowns share one pass by grouping sets.
 
 Shares and rates are rounded to 6 places at the end only. Percentiles come from a mergeable sketch of bounded
-size; ``exact=True`` holds every distinct value of a group and interpolates (see ``quantile``).
+size; ``exact=True`` holds every distinct value of a group and interpolates (see ``quantile``);
+``disc_quantiles`` are exact without holding a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -42,6 +44,31 @@ def quantile(c: str, q: float, exact: bool = False) -> Column:
     return F.get(every, F.lit(QUANTILES.index(q))).cast("double")
 
 
+def disc_quantiles(rows: DataFrame, by: str, c: str, quantiles: Mapping[str, float], accuracy: int = 10000) -> DataFrame:
+    """A row for each value of ``by`` (few values: their cuts are broadcast): the exact value at place ceil(q n) of its sorted ones.
+
+    A sketch only says where to cut: rows are counted between the cuts around every quantile, which tells the stretch that
+    holds it and its place there, and of those stretches alone values are counted one by one. A bad sketch makes
+    stretches longer, never a value wrong; no task holds a group. The rows are read three times.
+    """
+    near = sorted({min(max(q + d, 0.0), 1.0) for q in quantiles.values() for d in (-5 / accuracy, 5 / accuracy)})
+    cuts = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(c, near, accuracy).alias("_cuts"))
+    some = rows.where(F.col(c).isNotNull()).select(by, F.col(c).alias("_value")).join(F.broadcast(cuts), F.col(by).eqNullSafe(F.col("_by")))
+    some = some.select("_by", "_value", F.size(F.filter("_cuts", lambda x: x < F.col("_value"))).alias("_stretch"))
+    group = Window.partitionBy("_by")
+    n = F.col("_n")
+    placed = some.groupBy("_by", "_stretch").agg(F.count("*").alias("_n")).withColumns({"_upto": F.sum("_n").over(group.orderBy("_stretch")), "_all": F.sum("_n").over(group)})
+    places = [F.greatest(F.ceil(F.col("_all").cast("decimal(20,0)") * F.lit(Decimal(str(q)))).cast("long"), F.lit(1)) for q in quantiles.values()]
+    wanted = placed.select("_by", "_stretch", n, "_upto", F.posexplode(F.array(*places)).alias("_which", "_place")).where("_place > _upto - _n AND _place <= _upto")
+    wanted = wanted.select(F.col("_by").alias("_of"), F.col("_stretch").alias("_in"), "_which", (F.col("_place") - F.col("_upto") + n).alias("_place"))
+    same = F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_stretch") == F.col("_in"))
+    values = some.join(F.broadcast(wanted.select("_of", "_in").distinct()), same, "left_semi").groupBy("_by", "_stretch", "_value").agg(F.count("*").alias("_n"))
+    values = values.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_by", "_stretch").orderBy("_value")))
+    found = values.join(F.broadcast(wanted), same).where("_place > _upto - _n AND _place <= _upto")
+    found = found.groupBy("_of").agg(*[F.max(F.when(F.col("_which") == k, F.col("_value"))).alias(name) for k, name in enumerate(quantiles)])
+    return cuts.join(found, F.col("_by").eqNullSafe(F.col("_of")), "left").select(F.col("_by").alias(by), *quantiles)
+
+
 def rounded(c: Column) -> Column:
     return F.round(c, DIGITS)
 

@@ -1,10 +1,13 @@
 import json
+import math
 from datetime import UTC, date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import anomaly, formats, parsers, report, search, security, stages, views
+from emberlog.plans import catalog
 from emberlog.schema import EVENT
 from emberlog.sources import generator, readers, writers
 from emberlog.streaming import pipeline as streaming
@@ -246,3 +249,26 @@ def test_compaction_and_mixed_runs_stay_readable(spark, sf, tmp_path):
     assert sorted(r[0] for r in readers.events(spark, root).select("event_id").collect()) == want
     writers.write_events(rows.where("CAST(event_id AS BIGINT) % 2 = 1"), root, run="batch-1")
     assert sorted(r[0] for r in readers.events(spark, root).select("event_id").collect()) == want
+
+
+def test_latency_quantiles_are_exact_beyond_the_sketch(spark, tmp_path):
+    """300,000 rows of two services, all values different: more than a sketch keeps apart."""
+    rows = spark.range(300_000).selectExpr("id AS event_id", "timestamp'2024-01-02' + make_interval(0, 0, 0, 0, 0, 0, id % 86400) AS ts", "id % 2 AS user_id", "'view' AS event_type", "(id * 7919 % 300007) / 128D AS value", "'{}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLE_SQL["agg_latency_sketch"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["agg_latency_sketch"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 3
+
+
+@pytest.mark.parametrize("accuracy", [2, 10000])
+def test_quantiles_are_exact_whatever_the_sketch(spark, accuracy):
+    groups = {"a": [float(i % 70) for i in range(1000)], "b": [2.5], "c": [None, None], None: [7.0, None, 7.0, 1.0], "d": [float(i) for i in range(20)]}
+    rows = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, v double")
+    asked = {"none": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    got = {r["k"]: [r[n] for n in asked] for r in views.disc_quantiles(rows, "k", "v", asked, accuracy).collect()}
+    for k, values in groups.items():
+        known = sorted(v for v in values if v is not None)
+        assert got[k] == [known[max(math.ceil(len(known) * round(100 * q) / 100 - 1e-9), 1) - 1] if known else None for q in asked.values()]
+    assert len(got) == len(groups)
