@@ -14,6 +14,7 @@ from ..schema import LIMITS, conform, is_error
 from .parsers import fence, parse, settle
 
 CLEANED = ("service", "hostname", "logger", "user_id", "request_id", "user_agent", "referrer")
+INFERRED = "_inferred"  # beside the map, so that who only asks for validity doesn't wait for all its masked values
 MASKED = ("message", "user_agent", "referrer", "endpoint", "user_id", "raw_message")
 
 
@@ -30,14 +31,19 @@ def clean(df: DataFrame, longest_message: int = 32768, repair: bool = True) -> D
     cols: dict[str, Column] = {c: present(F.col(c)) for c in (*fixed, "endpoint")}
     cols["message"] = F.coalesce(cols["message"], F.lit(""))
     cols["metadata"] = F.transform_values("metadata", lambda _, v: F.coalesce(clean_text(v, 4096), F.lit("")))
+    cols[INFERRED] = F.coalesce(clean_text(F.col("metadata")["timestamp_inferred"], 4096) == "true", F.lit(False))
     return settle(df, **cols)
 
 
-def _put(meta: Column, **items: Column) -> Column:
-    """metadata with items that aren't null added (they win over equal keys)."""
+def _put(df: DataFrame, meta: Column, **items: Column) -> DataFrame:
+    """df with metadata: meta with items that aren't null added (they win over equal keys).
+
+    Both maps are columns first: inside a lambda the items would be evaluated again for every key.
+    """
     new = F.map_filter(F.create_map(*[x for k, v in items.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
-    old = F.map_filter(F.coalesce(meta, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    return F.map_concat(old, new)
+    df = settle(df, _old=F.coalesce(meta, F.create_map().cast("map<string,string>")), _new=new)
+    old = F.map_filter("_old", lambda k, _: ~F.array_contains(F.map_keys("_new"), k))
+    return settle(df, metadata=F.map_concat(old, "_new")).drop("_old", "_new")
 
 
 def normalise(df: DataFrame, default_service: str | None = None) -> DataFrame:
@@ -45,18 +51,18 @@ def normalise(df: DataFrame, default_service: str | None = None) -> DataFrame:
     named = F.coalesce(service_name(F.col("service")), F.lit(default_service))
     template = F.col("_template")
     env = F.when(F.coalesce(F.col("environment"), F.lit("unknown")) != "unknown", F.col("environment")).otherwise(environment(F.col("hostname"), F.col("service"), F.col("source")))
-    meta = _put(F.col("metadata"), endpoint_raw=F.when(template != F.col("endpoint"), F.col("endpoint")), ua_family=F.col("_family"), ip_class=F.col("_class"))
-    return settle(df, metadata=meta, environment=env, service=named, hostname=host_name(F.col("hostname")), endpoint=template).drop("_template", "_family", "_class")
+    df = _put(df, F.col("metadata"), endpoint_raw=F.when(template != F.col("endpoint"), F.col("endpoint")), ua_family=F.col("_family"), ip_class=F.col("_class"))
+    return settle(df, environment=env, service=named, hostname=host_name(F.col("hostname")), endpoint=template).drop("_template", "_family", "_class")
 
 
 def enrich(df: DataFrame, rules: Sequence[str] = masking.DEFAULT_RULES, drop_raw: bool = False) -> DataFrame:
-    secret = reduce(lambda a, b: a | b, [masking.contains_sensitive(F.col(c), rules) for c in ("message", "raw_message")])
+    df = settle(df, _secret=reduce(lambda a, b: a | b, [masking.contains_sensitive(F.col(c), rules) for c in ("message", "raw_message")]))
     hidden = masking.mask_map(F.coalesce("metadata", F.create_map().cast("map<string,string>")), rules)
-    meta = _put(hidden, status_class=status_class(F.col("status_code")), is_error=F.when(is_error(), F.lit("true")), masked=F.when(secret, F.lit("true")))
+    df = _put(df, hidden, status_class=status_class(F.col("status_code")), is_error=F.when(is_error(), F.lit("true")), masked=F.when(F.col("_secret"), F.lit("true"))).drop("_secret")
     cols = {c: masking.mask_text(F.col(c), rules) for c in MASKED}
     if drop_raw:
         cols["raw_message"] = F.lit(None).cast("string")
-    return settle(df, **cols, metadata=meta)
+    return settle(df, **cols)
 
 
 def transform(df: DataFrame, stages: Sequence[Callable[[DataFrame], DataFrame]] = (clean, normalise, enrich)) -> DataFrame:
@@ -68,7 +74,8 @@ def validate(df: DataFrame, *, require_timestamp: bool = True, require_message:
     now = F.current_timestamp() if now is None else now
     ts, rt = F.col("timestamp"), F.col("response_time_ms")
     blank = F.length(F.trim(F.coalesce("message", F.lit("")))) == 0
-    inferred = F.coalesce(F.col("metadata")["timestamp_inferred"] == "true", F.lit(False)) if dict(df.dtypes)["metadata"].startswith("map") else F.lit(False)
+    kept = F.col("metadata")["timestamp_inferred"] == "true" if dict(df.dtypes)["metadata"].startswith("map") else F.lit(False)
+    inferred = F.col(INFERRED) if INFERRED in df.columns else F.coalesce(kept, F.lit(False))
     fatal = [
         ("missing_timestamp", F.lit(require_timestamp) & (ts.isNull() | inferred)),
         ("timestamp_out_of_range", (ts < F.lit("1990-01-01").cast("timestamp")) | (ts > F.lit("2100-01-01").cast("timestamp")) | (ts > now + F.make_interval(secs=F.lit(max_future_s)))),

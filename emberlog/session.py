@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # call sites of columns in error messages cost three round trips a column: plans of wide rows take three times as long to build
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # the JVM never compiles a method of over 8,000 bytecodes: a stage of wide expressions would be interpreted for every row
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -23,3 +25,10 @@ def build(name: str = "emberlog", master: str | None = None, **conf: str) -> Spa
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def prefer(spark: SparkSession, *keys: str) -> None:
+    """Our defaults of these keys in a session that others built; what is set already stays."""
+    for key in keys:
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, DEFAULTS[key])
