@@ -96,11 +96,17 @@ def validate(df: DataFrame, *, require_timestamp: bool = True, require_message:
     return fence(df.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in soft]))}), "reject_reason")
 
 
-def rejected_lines(parsed: DataFrame, validated: DataFrame) -> DataFrame:
-    """Dead letters: lines no parser took and rows that validation rejected, masked; reason and stage."""
-    lines = parsed.where("event IS NULL").select(masking.mask_text(F.col("value")).alias("raw"), F.when(F.length(F.trim("value")) == 0, "empty_line").otherwise("unparseable").alias("reason"), F.lit("parse").alias("stage"))
-    rows = validated.where("reject_reason IS NOT NULL").select(masking.mask_text(F.col("raw_message")).alias("raw"), F.col("reject_reason").alias("reason"), F.lit("validate").alias("stage"))
-    return lines.unionByName(rows).withColumn("rejected_at", F.current_timestamp())
+def with_lost(parsed: DataFrame) -> DataFrame:
+    """All lines with the columns of their event: null, but for ``_parsed`` and the line itself, where no parser took them."""
+    return parsed.select(*[F.col("event")[n].alias(n) for n in parsed.schema["event"].dataType.names], F.col("event").isNotNull().alias("_parsed"), "value")
+
+
+def rejected_lines(validated: DataFrame) -> DataFrame:
+    """Dead letters of ``with_lost`` rows: lines no parser took and rows that validation rejected, masked; reason and stage."""
+    lost = ~F.col("_parsed")
+    blank = F.length(F.trim("value")) == 0
+    bad = validated.where(lost | F.col("reject_reason").isNotNull())
+    return bad.select(masking.mask_text(F.when(lost, F.col("value")).otherwise(F.col("raw_message"))).alias("raw"), F.when(lost, F.when(blank, "empty_line").otherwise("unparseable")).otherwise(F.col("reject_reason")).alias("reason"), F.when(lost, "parse").otherwise("validate").alias("stage"), F.current_timestamp().alias("rejected_at"))
 
 
 KEYS: dict[str, Callable[[], Column]] = {
@@ -144,9 +150,9 @@ def ingest(lines: DataFrame, parser="plaintext", *, dedup: str = "event_id", sou
     if limit is not None:
         lines = lines.limit(limit)  # before lines are dealt: both plans take the same ones
     parsed = parse(lines, parser, source=source)
-    checked = validate(transform(events(parsed), (clean, lambda d: normalise(d, default_service), enrich)))
-    good = stored(deduplicate(checked.where("reject_reason IS NULL"), dedup))
-    dead = rejected_lines(parsed, checked)
+    steps = (clean, lambda d: normalise(d, default_service), enrich)
+    good = stored(deduplicate(validate(transform(events(parsed), steps)).where("reject_reason IS NULL"), dedup))
+    dead = rejected_lines(validate(transform(with_lost(parsed), steps)))  # one pass over the lines for both kinds
     if check:
         n = parsed.agg(F.count("*").alias("n")).first()["n"]
         bad = dead.agg(F.count("*").alias("n")).first()["n"]

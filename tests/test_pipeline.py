@@ -317,3 +317,11 @@ def test_masks_by_hints_are_the_rules_in_order(spark, text):
     for name in masking.DEFAULT_RULES:
         plain = F.regexp_replace(plain, masking.RULES[name][0], masking.RULES[name][1] + masking.REDACTED)
     assert one.select(masking.mask_text(F.col("t")) == plain).first()[0]
+
+
+def test_dead_letters_read_the_lines_once(spark):
+    rows = [("oops",), ("  ",), ('{"msg": "no time, token=abc"}',), ('{"msg": "ok", "time": "2024-01-01T00:00:00Z"}',)]
+    _, dead = stages.ingest(spark.createDataFrame(rows, "value string"), "json")
+    assert dead._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    found = sorted((r["reason"], r["stage"], r["raw"]) for r in dead.collect())
+    assert found == [("empty_line", "parse", "  "), ("missing_timestamp", "validate", '{"msg": "no time, token=***REDACTED***"}'), ("unparseable", "parse", "oops")]
