@@ -171,3 +171,18 @@ def test_histogram_rounds_are_few():
     assert sum(c[2] for c in cells) == 30000 and len(asked) <= 12
     assert all(c[2] <= 1500 or c[0] == c[1] for c in cells)
     assert all(a[1] < b[0] for a, b in zip(cells, cells[1:]))
+
+
+def test_a_batch_of_few_pieces_is_cut_over_the_tasks(tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"{n:09d}\n" for n in range(50_000)))
+    (tmp_path / "b.log").write_text("".join(f"{n:09d}\n" for n in range(50_000, 80_000)) + "x" * 100_001 + "\n")
+
+    def pieces(**options):
+        reader = tail._Reader({"path": str(tmp_path), "most_records": "90000", **options})
+        return reader, reader.partitions(reader.initialOffset(), reader.latestOffset())
+
+    assert len(pieces()[1]) == 2 and 8 <= len(pieces(tasks="8")[1]) <= 9 and len(pieces(tasks="1000")[1]) == 15  # 64 KiB at least
+    assert len(pieces(tasks="2", piece="1000")[1]) == 901
+    reader, parts = pieces(tasks="8")
+    rows = [v for p in parts for batch in reader.read(p) for v in batch.column(0).to_pylist()]
+    assert rows == [f"{n:09d}" for n in range(80_000)] + ["x" * 100_001]
